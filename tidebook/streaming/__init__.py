@@ -1,0 +1,5 @@
+"""No streaming operator exists: every computation is over complete batches.
+
+Immature periods are excluded by an explicit cut-off date, see
+``tidebook.operators.forecast.weekly_series``.
+"""
