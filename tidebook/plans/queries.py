@@ -759,17 +759,17 @@ def box_stats_score(c):
     return sales.box_stats(reviews.review_delivery(c.review_rows()), "days_to_delivery", "score")
 
 
-@query("total:i percent")
+@query("total:i percent:2")
 def top_category_share(c):
     return reviews.top_category_share(c.review_rows())
 
 
-@query("score:i total:i percent place:i")
+@query("score:i total:i percent:2 place:i")
 def category_share_by_score(c):
     return reviews.category_share_by_score(c.review_rows())
 
 
-@query("total:i percent")
+@query("total:i percent:2")
 def state_share(c):
     return reviews.share_of_total(c.enriched(["customer_state", "order_status"]), "customer_state", "order_status")
 
@@ -795,12 +795,12 @@ def freight_by_region(c):
     return wide.select("seller_state", *[F.col(f"`{n}`").alias(n.lower().replace(" ", "_")) for n in wide.columns[1:]])
 
 
-@query("order_item_id:i " + " ".join(f"score_{s}" for s in range(1, 6)))
+@query("order_item_id:i " + " ".join(f"score_{s}:2" for s in range(1, 6)))
 def items_score_crosstab(c):
     return sales.items_score_crosstab(c.t)
 
 
-@query("total:i percent")
+@query("total:i percent:2")
 def payment_share(c):
     return reviews.share_of_total(c.t["payments"], "payment_type", "order_id")
 
@@ -813,7 +813,7 @@ def class_share(c):
     return sales.class_share(counted.join(scores, "order_id"), "product_category_name", "review_score")
 
 
-@query("total:i percent")
+@query("total:i percent:2")
 def item_count_buckets(c):
     return sales.item_count_buckets(c.t["items"])
 
