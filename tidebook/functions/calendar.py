@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidebook.functions.scalar import col
 
@@ -109,7 +110,17 @@ def dense_months(
     return spine.select(key, "month", *filled)
 
 
-def date_spine(bounds: DataFrame, first: str, last: str, step_days: int, name: str) -> DataFrame:
-    """Every ``step_days``-th date between two date columns of a one-row frame."""
-    step = F.expr(f"INTERVAL {step_days} DAYS")
-    return bounds.where(F.col(first).isNotNull()).select(F.explode(F.sequence(F.col(first), F.col(last), step)).alias(name))
+def fill_dates(df: DataFrame, day: str, values: dict[str, Column], step_days: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """Insert the dates missing between consecutive rows, every ``step_days`` days.
+
+    ``values`` gives each value column its filler. Every row emits itself and the gap up to its
+    successor, so the frame is read once and needs no join with a spine.
+    """
+    followed = df.withColumn("_next", F.lead(day).over(W.partitionBy(*by).orderBy(day)))
+    until = F.coalesce(F.date_sub("_next", step_days), F.col(day))
+    dates = F.sequence(F.col(day), until, F.expr(f"INTERVAL {step_days} DAYS"))
+    grown = followed.withColumn("_day", F.explode(dates))
+    own = F.col("_day") == F.col(day)
+    return grown.select(
+        *by, F.col("_day").alias(day), *[F.when(own, F.col(c)).otherwise(filler).alias(c) for c, filler in values.items()]
+    )

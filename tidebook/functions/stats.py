@@ -43,9 +43,9 @@ def spearman_importance(df: DataFrame, features: Sequence[str], target: str) ->
     ranked = pairs.select(
         "feature", average_rank("_f", ["feature"]).alias("_rf"), average_rank("_t", ["feature"]).alias("_rt")
     )
-    corr = ranked.groupBy("feature").agg(
-        F.when((F.min("_rf") != F.max("_rf")) & (F.min("_rt") != F.max("_rt")), F.abs(F.corr("_rf", "_rt"))).alias("importance")
-    )
+    # A constant column has no correlation: NULL, not a division error.
+    spread = F.stddev_pop("_rf") * F.stddev_pop("_rt")
+    corr = ranked.groupBy("feature").agg(F.abs(F.try_divide(F.covar_pop("_rf", "_rt"), spread)).alias("importance"))
     names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return names.join(corr, "feature", "left")
 

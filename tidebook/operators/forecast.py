@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidebook.functions.calendar import date_spine
+from tidebook.functions.calendar import fill_dates
 from tidebook.operators.enrich import delivered
 
 FORECAST_COLUMNS = ("order_id", "order_date", "is_delivered")
@@ -25,9 +25,7 @@ def weekly_series(enriched: DataFrame, cutoff: str | None = "2018-08-27") -> Dat
         .groupBy(F.date_sub(day, F.weekday(day)).alias("week_start"))
         .agg(F.countDistinct("order_id").alias("n"))
     )
-    bounds = weekly.agg(F.min("week_start").alias("first"), F.max("week_start").alias("last"))
-    spine = date_spine(bounds, "first", "last", 7, "week_start")
-    series = spine.join(weekly, "week_start", "left").select("week_start", F.coalesce("n", F.lit(0)).cast("double").alias("y"))
+    series = fill_dates(weekly, "week_start", {"n": F.lit(0)}, 7).select("week_start", F.col("n").cast("double").alias("y"))
     return series if cutoff is None else series.where(F.col("week_start") <= F.lit(cutoff).cast("date"))
 
 

@@ -99,9 +99,12 @@ IMPACT_METRICS = {
 }
 
 
-def business_impact(enriched: DataFrame, ranking: DataFrame, monthly: DataFrame) -> DataFrame:
+def business_impact(
+    enriched: DataFrame, ranking: DataFrame, monthly: DataFrame, payments: DataFrame | None = None
+) -> DataFrame:
     """Mean category-month in peak and normal months, all years, one row per metric."""
-    p90 = percentile_scalar(order_payments(enriched), "payment_value", 0.9)
+    source = order_payments(enriched) if payments is None else payments
+    p90 = percentile_scalar(source, "payment_value", 0.9)
     by_month = (
         delivered(enriched)
         .withColumn("_p90", p90)

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.calendar import date_spine
+from tidebook.functions.calendar import fill_dates
 from tidebook.functions.geo import haversine_km
 from tidebook.functions.scalar import is_true, sum0, time_between, whole_days
 
@@ -133,20 +133,18 @@ def delivery_data(tables: Tables) -> DataFrame:
     )
 
 
-def _resampled(data: DataFrame, ts: str, basis: str) -> DataFrame:
-    daily = data.groupBy(F.to_date(ts).alias("day")).agg(
-        F.sum("count").alias("count"), (F.sum(F.col("wait_time") * F.col("count")) / F.sum("count")).alias("mean_wait_time")
-    )
-    bounds = daily.agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    return date_spine(bounds, "first", "last", 1, "day").join(daily, "day", "left").select(
-        F.lit(basis).alias("basis"), "day", F.coalesce("count", F.lit(0)).alias("count"),
-        F.weekday("day").alias("dow"), "mean_wait_time",
-    )
-
-
 def daily_resample(data: DataFrame) -> DataFrame:
     """Items per calendar day by purchase and by delivery, gaps 0, with the mean wait."""
-    return _resampled(data, _BOUGHT, "purchase").unionByName(_resampled(data, _RECEIVED, "delivery"))
+    both = F.inline(
+        F.array(
+            *[F.struct(F.lit(b).alias("basis"), F.to_date(ts).alias("day")) for b, ts in (("purchase", _BOUGHT), ("delivery", _RECEIVED))]
+        )
+    )
+    daily = data.select("count", "wait_time", both).groupBy("basis", "day").agg(
+        F.sum("count").alias("count"), (F.sum(F.col("wait_time") * F.col("count")) / F.sum("count")).alias("mean_wait_time")
+    )
+    filled = fill_dates(daily, "day", {"count": F.lit(0), "mean_wait_time": F.lit(None)}, by=["basis"])
+    return filled.withColumn("dow", F.weekday("day"))
 
 
 def directed_error(data: DataFrame, predicted: str = "estimated_wait", actual: str = "wait_time", weight: str = "count") -> DataFrame:

@@ -14,6 +14,7 @@ ORDER_KEYS = (
     "payment_installments", "payment_type", "customer_state", "delivery_time_days",
     "estimated_delivery_delta_days", "review_score",
 )
+PAYMENT_COLUMNS = ("order_id", "payment_value", "is_delivered")
 ORDER_LEVEL_COLUMNS = ORDER_KEYS + ("price", "freight_value", "order_item_id", CATEGORY, "is_delivered")
 MONTHLY_COLUMNS = tuple(dict.fromkeys(ORDER_LEVEL_COLUMNS + ("product_id",)))
 
@@ -34,9 +35,13 @@ def order_payments(enriched: DataFrame) -> DataFrame:
     return delivered(enriched).select("order_id", "payment_value").distinct()
 
 
-def order_flags(orders: DataFrame) -> DataFrame:
-    """Mark orders whose payment reaches the global P90 / P75."""
-    cut = percentiles_struct(orders, "payment_value", {"p90": 0.9, "p75": 0.75})
+def order_flags(orders: DataFrame, payments: DataFrame | None = None) -> DataFrame:
+    """Mark orders whose payment reaches the global P90 / P75.
+
+    ``payments`` may supply the order payments more cheaply than the order-grain table does.
+    """
+    source = orders if payments is None else payments
+    cut = percentiles_struct(source, "payment_value", {"p90": 0.9, "p75": 0.75})
     return (
         orders.withColumn("_cut", cut)
         .withColumns(
@@ -49,7 +54,7 @@ def order_flags(orders: DataFrame) -> DataFrame:
     )
 
 
-def monthly_metrics(enriched: DataFrame) -> DataFrame:
+def monthly_metrics(enriched: DataFrame, payments: DataFrame | None = None) -> DataFrame:
     """Fourteen order- and item-level measures per purchase month."""
     items = (
         delivered(enriched)
@@ -67,7 +72,7 @@ def monthly_metrics(enriched: DataFrame) -> DataFrame:
         )
     )
     orders = (
-        order_flags(order_level(enriched))
+        order_flags(order_level(enriched), payments)
         .where(F.col("year_month").isNotNull())
         .groupBy("year_month")
         .agg(
@@ -88,10 +93,10 @@ def monthly_metrics(enriched: DataFrame) -> DataFrame:
     )
 
 
-def weekly_metrics(enriched: DataFrame) -> DataFrame:
+def weekly_metrics(enriched: DataFrame, payments: DataFrame | None = None) -> DataFrame:
     """Orders, revenue, mean order value and large-purchase share per week."""
     return (
-        order_flags(order_level(enriched))
+        order_flags(order_level(enriched), payments)
         .where(F.col("week").isNotNull())
         .groupBy("week")
         .agg(

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from tidebook.functions.quantiles import percentile_columns
 from tidebook.functions.scalar import safe_div, time_between, whole_days
+from tidebook.sources.settle import settle
 
 FOLDS = 10
 POSITION_BUCKETS = 4096
@@ -69,8 +70,9 @@ def delivery_matrix(data: DataFrame, folds: int = FOLDS) -> DataFrame:
 def delivery_lr_cv(matrix: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Cross-validated linear-regression predictions, one model per contiguous fold.
 
-    ``matrix`` should be persisted or written: it is read once per fold.
+    The matrix is stored first: every fold reads it again.
     """
+    matrix = settle(matrix)
     out: DataFrame | None = None
     for k in range(folds):
         fit = LinearRegression(labelCol="wait_time", weightCol="count", solver="normal", regParam=1e-9).fit(
@@ -108,7 +110,11 @@ def operational_factors(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def order_clusters(factors: DataFrame, k: int = 6, seed: int = 32123, scale: bool = False) -> DataFrame:
-    """KMeans labels on the six factors; raw values unless ``scale``."""
+    """KMeans labels on the six factors; raw values unless ``scale``.
+
+    The factors are stored first: every iteration reads them again.
+    """
+    factors = settle(factors)
     stages = [VectorAssembler(inputCols=list(FACTORS), outputCol="_raw")]
     if scale:
         stages.append(MinMaxScaler(inputCol="_raw", outputCol="_scaled"))
@@ -148,7 +154,7 @@ def freight_glm(items: DataFrame) -> DataFrame:
     The fit runs on one weighted row per position, which has the same likelihood equations as
     the items; the dispersion is Pearson's chi-square over the residual degrees of freedom.
     """
-    moments = _by_position(items).cache()
+    moments = settle(_by_position(items))
     vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(moments)
     model = GeneralizedLinearRegression(
         family="poisson", link="log", labelCol="mean", weightCol="n", maxIter=50, tol=1e-10
@@ -168,7 +174,7 @@ def freight_poly(items: DataFrame, degree: int = 6) -> DataFrame:
     Positions are mapped to [-1, 1] and expanded in Legendre polynomials, which spans the same
     functions as raw powers but stays well conditioned.
     """
-    moments = _by_position(items).cache()
+    moments = settle(_by_position(items))
     ends = moments.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
     low, high, distinct = ends
     degree = min(degree, distinct - 1)

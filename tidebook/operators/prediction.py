@@ -24,6 +24,7 @@ from tidebook.operators.early import early_eligible
 from tidebook.operators.enrich import CATEGORY, delivered
 from tidebook.operators.impact import seasonal_threshold
 from tidebook.operators.seasonality import eligible
+from tidebook.sources.settle import settle
 
 FEATURE_SOURCE = (
     CATEGORY, "is_delivered", "order_id", "price", "freight_value", "freight_share", "payment_installments",
@@ -87,7 +88,7 @@ def _fit_forest(data: DataFrame, features: Sequence[str], label: str, trees: int
     )
     size = F.count(F.lit(1)).over(W.partitionBy("is_test"))
     per_class = F.count(F.lit(1)).over(W.partitionBy("is_test", "label"))
-    parts = parts.withColumn("weight", size / (2.0 * per_class))
+    parts = settle(parts.withColumn("weight", size / (2.0 * per_class)))
     train, test = parts.where("NOT is_test"), parts.where("is_test")
     filled = [f"_f_{f}" for f in features]
     stages = [
@@ -101,7 +102,7 @@ def _fit_forest(data: DataFrame, features: Sequence[str], label: str, trees: int
         numTrees=trees, minInstancesPerNode=2, seed=SEED, featureSubsetStrategy="sqrt",
     )
     model = Pipeline(stages=[*stages, forest]).fit(train)
-    scored = model.transform(test).select("category", "label", vector_to_array("probability")[1].alias("score"))
+    scored = settle(model.transform(test).select("category", "label", vector_to_array("probability")[1].alias("score")))
     return scored, list(model.stages[-1].featureImportances.toArray())
 
 
@@ -138,13 +139,13 @@ def _predict(data, features, label, target, name, trees, min_rows, scale) -> tup
 
 def predictability(features: DataFrame, trees: int = 400, min_rows: int = 20) -> tuple[DataFrame, DataFrame]:
     """(scores, feature importances) of predicting seasonal categories from their features."""
-    data = eligible(features)
+    data = settle(eligible(features))
     return _predict(data, FEATURES, "is_seasonal", "seasonality_score", "random_forest", trees, min_rows, True)
 
 
 def early_predictability(features: DataFrame, trees: int = 500, min_rows: int = 18) -> tuple[DataFrame, DataFrame]:
     """(scores, feature importances) of predicting second-half seasonality from the first half."""
-    data = early_eligible(features)
+    data = settle(early_eligible(features))
     return _predict(
         data, H1_FEATURES, "is_h2_seasonal", "h2_seasonality_score", "h1_to_h2_random_forest", trees, min_rows, False
     )
@@ -156,7 +157,7 @@ def seasonality_clusters(index_matrix: DataFrame, seed: int = SEED, restarts: in
     k is a fifth of the categories, between 2 and 6.
     """
     months = [c for c in index_matrix.columns if c != "category"]
-    data = VectorAssembler(inputCols=months, outputCol="features").transform(index_matrix.na.fill(0.0)).cache()
+    data = VectorAssembler(inputCols=months, outputCol="features").transform(settle(index_matrix.na.fill(0.0)))
     n = data.count()
     if n < 2:
         return data.select("category", *months, F.lit(0).alias("cluster"))

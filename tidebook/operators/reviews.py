@@ -62,7 +62,7 @@ def drop_matching_columns(df: DataFrame, part: str) -> DataFrame:
 def share_of_total(df: DataFrame, key: str, counted: str, name: str = "total") -> DataFrame:
     """Non-null rows per key and their share of all in percent, two digits."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(counted).alias(name))
-    whole = counts.agg(F.sum(name).alias("s")).scalar()
+    whole = F.sum(name).over(W.partitionBy())  # one row per key
     return counts.withColumn("percent", half_up(safe_div(name, whole) * 100, 2))
 
 

@@ -20,6 +20,7 @@ from tidebook.operators import audit, early, enrich, forecast, geo, granularity,
 from tidebook.operators import models, prediction, reviews, sales, seasonality
 from tidebook.operators.enrich import CATEGORY, build_enriched
 from tidebook.session import tune
+from tidebook.sources.settle import settle
 from tidebook.sources.star import YEAR, StarTables
 
 CUTOFF = "2001-07-23"
@@ -32,12 +33,22 @@ class Context:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune(spark)
         self.t = StarTables(spark, sf_dir)
+        self._settled: dict[str, DataFrame] = {}
 
     def enriched(self, columns: Iterable[str] | None = None) -> DataFrame:
         return build_enriched(self.t, columns)
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A small frame several steps of this query read, computed once."""
+        if name not in self._settled:
+            self._settled[name] = settle(build())
+        return self._settled[name]
+
+    def payments(self) -> DataFrame:
+        return metrics.order_payments(self.enriched(metrics.PAYMENT_COLUMNS))
+
     def daily(self) -> DataFrame:
-        return seasonality.category_daily(self.enriched(seasonality.DAILY_COLUMNS))
+        return self.once("daily", lambda: seasonality.category_daily(self.enriched(seasonality.DAILY_COLUMNS)))
 
     def monthly(self) -> DataFrame:
         return seasonality.monthly_profile(self.daily(), YEAR)
@@ -56,16 +67,18 @@ class Context:
         return self.enriched(large.LARGE_COLUMNS)
 
     def early(self) -> DataFrame:
-        return early.early_features(self.enriched(early.EARLY_COLUMNS), self.daily(), self.ranking(), YEAR)
+        build = lambda: early.early_features(self.enriched(early.EARLY_COLUMNS), self.daily(), self.ranking(), YEAR)
+        return self.once("early", build)
 
     def labelled(self) -> DataFrame:
-        return prediction.prediction_features(self.enriched(prediction.FEATURE_SOURCE), self.ranking())
+        build = lambda: prediction.prediction_features(self.enriched(prediction.FEATURE_SOURCE), self.ranking())
+        return self.once("labelled", build)
 
     def holdout(self) -> DataFrame:
         return forecast.forecast_holdout(self.weekly())
 
     def weekly(self) -> DataFrame:
-        return forecast.weekly_series(self.enriched(forecast.FORECAST_COLUMNS), CUTOFF)
+        return self.once("weekly", lambda: forecast.weekly_series(self.enriched(forecast.FORECAST_COLUMNS), CUTOFF))
 
     def points(self) -> DataFrame:
         return geo.geo_points(self.t["geolocation"])
@@ -254,7 +267,7 @@ def order_level(c):
 
 @query("order_id:i payment_value:2")
 def order_flags(c):
-    return metrics.order_flags(metrics.order_level(c.enriched(metrics.ORDER_LEVEL_COLUMNS))).select(
+    return metrics.order_flags(metrics.order_level(c.enriched(metrics.ORDER_LEVEL_COLUMNS)), c.payments()).select(
         "order_id", "payment_value", "large_purchase_p90", "large_purchase_p75"
     )
 
@@ -265,12 +278,12 @@ def order_flags(c):
     "avg_review_score avg_delivery_time_days gmv:2 year:i month:i"
 )
 def monthly_metrics(c):
-    return metrics.monthly_metrics(c.enriched(metrics.MONTHLY_COLUMNS))
+    return metrics.monthly_metrics(c.enriched(metrics.MONTHLY_COLUMNS), c.payments())
 
 
 @query("orders_count:i revenue:2 avg_order_value:2 large_purchase_share")
 def weekly_metrics(c):
-    return metrics.weekly_metrics(c.enriched(metrics.ORDER_LEVEL_COLUMNS))
+    return metrics.weekly_metrics(c.enriched(metrics.ORDER_LEVEL_COLUMNS), c.payments())
 
 
 # --- seasonality ---------------------------------------------------------------------------
@@ -290,7 +303,7 @@ def category_week(c):
 
 @query("orders_count:i items_sold:i revenue:2")
 def category_daily(c):
-    return c.daily()
+    return seasonality.category_daily(c.enriched(seasonality.DAILY_COLUMNS))
 
 
 @query("orders_count:i rolling_mean_30 rolling_std_30 z_score")
@@ -425,7 +438,7 @@ def peak_flagged_items(c):
 
 @query("normal_months:2 peak_months:2 delta_abs:2 delta_pct")
 def business_impact(c):
-    return impact.business_impact(c.enriched(impact.IMPACT_COLUMNS), c.profile(), c.monthly())
+    return impact.business_impact(c.enriched(impact.IMPACT_COLUMNS), c.profile(), c.monthly(), c.payments())
 
 
 @query("normal_months:2 peak_months:2 delta_abs:2 delta_pct")
@@ -569,24 +582,19 @@ def roc_points(c):
 
 @query("roc_auc f1 accuracy n_train:i n_test:i target_threshold")
 def predictability(c):
-    first, _ = prediction.predictability(_kept(c.labelled()), trees=100)
-    second, _ = prediction.early_predictability(_kept(c.early()), trees=100)
+    first, _ = prediction.predictability(c.labelled(), trees=100)
+    second, _ = prediction.early_predictability(c.early(), trees=100)
     return first.unionByName(second)
 
 
 @query("importance")
 def feature_importance(c):
-    _, first = prediction.predictability(_kept(c.labelled()), trees=100)
-    _, second = prediction.early_predictability(_kept(c.early()), trees=100)
+    _, first = prediction.predictability(c.labelled(), trees=100)
+    _, second = prediction.early_predictability(c.early(), trees=100)
     tagged = lambda df, m: df.withColumn("model", F.lit(m))
     return tagged(first, "seasonality").unionByName(tagged(second, "h1_to_h2"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Iterative estimators read their (category-grain) input many times."""
-    return df.persist()
-
-
 def _clusters(c) -> DataFrame:
     return prediction.seasonality_clusters(seasonality.seasonal_index_matrix(c.profile(), c.monthly(), None), restarts=5)
 
@@ -938,8 +946,7 @@ def price_vs_delivery(c):
 
 @query("rows:i directed_error")
 def delivery_lr_cv(c):
-    matrix = models.delivery_matrix(c.delivery()).persist()
-    return models.cv_report(models.delivery_lr_cv(matrix), "linear_regression")
+    return models.cv_report(models.delivery_lr_cv(models.delivery_matrix(c.delivery())), "linear_regression")
 
 
 @query("cluster:i rows:i " + " ".join(f"avg_{f}" for f in models.FACTORS))

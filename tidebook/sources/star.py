@@ -22,12 +22,18 @@ class StarTables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
+        self._built: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._raw[name]
 
     def __getitem__(self, name: str) -> DataFrame:
-        return getattr(self, name)()
+        if name not in self._built:
+            self._built[name] = getattr(self, name)()
+        return self._built[name]
 
     def keys(self):
         return (
