@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebook.functions.geo import inside_box, mercator_x, mercator_y
 from tidebook.functions.quantiles import percentile_columns
 from tidebook.functions.scalar import is_true, safe_div, sum0, whole_days
+from tidebook.sources.settle import small_side
 
 ZIP = "geolocation_zip_code_prefix"
 
@@ -48,7 +49,7 @@ def geo_trim(points: DataFrame, level: str, name: str | int | None = None, low:
     out = points if name is None else points.where(F.col(level) == F.lit(name))
     out = out.where(F.col(level).isNotNull())
     for axis in ("x", "y"):
-        cuts = percentile_columns(out, axis, {"_low": low, "_high": high}, [level])
+        cuts = small_side(percentile_columns(out, axis, {"_low": low, "_high": high}, [level]))
         out = out.join(cuts, level).where(F.col(axis).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
     return out
 
@@ -94,5 +95,6 @@ def zip3_metrics(places: DataFrame) -> DataFrame:
 def points_with_metric(points: DataFrame, metrics: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Left join of map points with per-zip3 metrics."""
     key = F.col(f"{ZIP}_3_digits")
-    right = metrics.select(F.col("zip3").alias("_zip3"), *columns)
+    # A three-character integer takes at most 1,099 values, so this side is bounded.
+    right = F.broadcast(metrics.select(F.col("zip3").alias("_zip3"), *columns))
     return points.join(right, key == F.col("_zip3"), "left").drop("_zip3")

@@ -17,6 +17,7 @@ from tidebook.operators.enrich import CATEGORY, delivered
 from tidebook.operators.granularity import category_items
 from tidebook.operators.metrics import order_payments
 from tidebook.operators.seasonality import eligible
+from tidebook.sources.settle import small_side
 
 PEAK, NORMAL = "peak_months", "normal_months"
 PEAK_INDEX = 1.25
@@ -74,13 +75,9 @@ def peak_flagged_counts(enriched: DataFrame, ranking: DataFrame, monthly: DataFr
 
 
 def seasonal_items(enriched: DataFrame, ranking: DataFrame, year: int | None = None) -> DataFrame:
-    """Delivered items that belong to a seasonal category.
-
-    The category list is measured at run time and broadcast only when it is small.
-    """
-    return delivered(enriched, year).withColumn("category", F.col(CATEGORY)).join(
-        seasonal_categories(ranking).select("category"), "category", "left_semi"
-    )
+    """Delivered items that belong to a seasonal category; the list is broadcast if small."""
+    names = small_side(seasonal_categories(ranking).select("category"))
+    return delivered(enriched, year).withColumn("category", F.col(CATEGORY)).join(names, "category", "left_semi")
 
 
 IMPACT_METRICS = {

@@ -124,12 +124,11 @@ def _predict(data, features, label, target, name, trees, min_rows, scale) -> tup
     sizes = stratified_split(data, label, "category").agg(
         F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test")
     )
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    result = (
-        one(binary_scores(scored, "label", "score"))
-        .join(one(sizes), "_one")
-        .join(one(threshold), "_one")
-        .select(F.lit(name).alias("model"), "roc_auc", "f1", "accuracy", "n_train", "n_test", "target_threshold")
+    result = binary_scores(scored, "label", "score").select(
+        F.lit(name).alias("model"), "roc_auc", "f1", "accuracy",
+        sizes.select("n_train").scalar().alias("n_train"),
+        sizes.select("n_test").scalar().alias("n_test"),
+        threshold.scalar().alias("target_threshold"),
     )
     importance = spark.createDataFrame(
         [(f, float(v)) for f, v in zip(features, importances)], "feature string, importance double"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidebook.functions.scalar import guarded_days, half_up, safe_div
+from tidebook.sources.settle import small_side
 
 # Items only decide which categories an order holds, and duplicates of the joined rows are
 # dropped afterwards, so the category list per order is made distinct before the join.
@@ -92,7 +93,7 @@ def review_delivery(clean: DataFrame) -> DataFrame:
     days = guarded_days("order_approved", "delivered_carrier").cast("double")
     complete = clean.dropna().withColumn("days_raw", days)
     # The mean per state comes from a small aggregate: a window would gather a hot state in one task.
-    means = complete.groupBy("customer_state").agg(F.abs(F.avg("days_raw")).alias("_mean"))
+    means = small_side(complete.groupBy("customer_state").agg(F.abs(F.avg("days_raw")).alias("_mean")))
     return complete.join(means, "customer_state", "left").withColumn(
         "days_to_delivery", F.coalesce("days_raw", "_mean")
     ).drop("_mean")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 100_000
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> bool:
@@ -34,3 +37,13 @@ def settle(df: DataFrame) -> DataFrame:
     if _ensure_checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
     return df.persist()  # recomputed from its lineage if an executor is lost
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """A join side expected to be small: broadcast if its counted rows allow it.
+
+    Without the hint the planner would shuffle the large side on a skewed key before it learns
+    the size of this aggregate. Beyond ``max_rows`` the ordinary shuffled join applies.
+    """
+    stored = settle(df)
+    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
