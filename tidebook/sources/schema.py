@@ -1,6 +1,6 @@
 """Explicit schemas of the nine source tables (no inference scans).
 
-Column names, misspellings included, and file names are fixed values of the data set.
+Column names, misspellings included, are fixed values of the data set.
 """
 
 from __future__ import annotations
@@ -87,16 +87,17 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
+# File name patterns: exports differ in their prefix only.
 FILES: dict[str, str] = {
-    "orders": "olist_orders_dataset.csv",
-    "items": "olist_order_items_dataset.csv",
-    "products": "olist_products_dataset.csv",
+    "orders": "*_orders_dataset.csv",
+    "items": "*_order_items_dataset.csv",
+    "products": "*_products_dataset.csv",
     "translations": "product_category_name_translation.csv",
-    "payments": "olist_order_payments_dataset.csv",
-    "reviews": "olist_order_reviews_dataset.csv",
-    "customers": "olist_customers_dataset.csv",
-    "sellers": "olist_sellers_dataset.csv",
-    "geolocation": "olist_geolocation_dataset.csv",
+    "payments": "*_order_payments_dataset.csv",
+    "reviews": "*_order_reviews_dataset.csv",
+    "customers": "*_customers_dataset.csv",
+    "sellers": "*_sellers_dataset.csv",
+    "geolocation": "*_geolocation_dataset.csv",
 }
 
 # Macro regions of the 27 states.
