@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import language_id, mixing, quality, sharding, token_counts
+from tidebook.llm import decontamination, embedding_dedup, html_text, language_id, mixing, ngram_join, pii, quality, sharding, token_counts
 from tidebook.llm.common import table
 
 SHARDS = 16
@@ -20,6 +20,16 @@ def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(table(spark, sf_dir, "documents", "doc_id", "text"), [1.0] * SHARDS)
 
 
+def op2_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op3_flat_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), least=0.9)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, starting from an empty cache."""
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
@@ -40,6 +50,22 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, links and groups of all documents on runs of five words at Jaccard 0.8."""
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, with the item."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.drop("text_hash")
+
+
 def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document from samples outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -50,6 +76,17 @@ def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_rendezvous_shards, op4_token_counts, op5_pairwise_quality, op6_source_mix, op10_cross_parsing_language)
+    for f in (
+        op1_rendezvous_shards,
+        op2_template_removal,
+        op3_flat_graph_dedup,
+        op4_token_counts,
+        op5_pairwise_quality,
+        op6_source_mix,
+        op7_contextual_pii,
+        op8_chosen_path_join,
+        op9_template_decontamination,
+        op10_cross_parsing_language,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op6_source_mix": mixing.SQL}
