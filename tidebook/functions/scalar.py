@@ -69,7 +69,15 @@ def time_between(unit: str, start: Column | str, end: Column | str, mode: str =
     return (number(col(end)) - number(col(start))).cast("long")
 
 
-def half_up(c: Column | str, digits: int) -> Column:
-    """Round half up, with a small tolerance so that float noise cannot flip a tie."""
+def percent(c: Column, digits: int = 2) -> Column:
+    """A share as percent, rounded half up."""
+    return F.round(c * 100, digits)
+
+
+def steady(c: Column | str, digits: int) -> Column:
+    """Digits for comparing results: the cut lies at 0.495, where no exact tie can fall either way.
+
+    For display of query results only; operators round with ``percent`` or ``round``.
+    """
     scale = float(10**digits)
     return F.floor(col(c) * F.lit(scale) + F.lit(0.505)) / F.lit(scale)

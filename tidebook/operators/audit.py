@@ -204,6 +204,6 @@ def shifted_logs(df: DataFrame, value: str) -> DataFrame:
 
 
 def outliers(df: DataFrame, value: str, k: float = 2.5) -> DataFrame:
-    """Rows above mean + k population standard deviations, with the bound."""
-    bound = df.agg((F.avg(value) + F.lit(k) * F.stddev_pop(value)).alias("b")).scalar()
+    """Rows above mean + k sample standard deviations, with the bound."""
+    bound = df.agg((F.avg(value) + F.lit(k) * F.stddev_samp(value)).alias("b")).scalar()
     return df.withColumn("outlier_bound", bound).where(F.col(value) > F.col("outlier_bound"))

@@ -95,17 +95,23 @@ FACTORS = ("act_lead_days", "approval_mins", "order_item_id", "price", "freight_
 
 
 def operational_factors(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Complete item rows with the six clustering factors, status and purchase quarter."""
+    """Complete item rows with the six clustering factors, status and purchase quarter.
+
+    A row counts if nothing is missing in its order, item, product with English category, seller
+    and customer.
+    """
     ts = "order_purchase_timestamp"
     orders = tables["orders"].dropna().select(
-        "order_id", "order_status",
+        "order_id", "order_status", "customer_id",
         F.concat(F.year(ts).cast("string"), F.lit("."), F.quarter(ts).cast("string")).alias("year_quarter"),
         whole_days(ts, "order_delivered_customer_date").alias("act_lead_days"),
         time_between("MINUTE", ts, "order_approved_at").alias("approval_mins"),
     )
-    products = tables["products"].dropna().select("product_id", "product_weight_g")
-    items = tables["items"].dropna().select("order_id", "product_id", "order_item_id", "price", "freight_value")
-    joined = items.join(products, "product_id").join(orders, "order_id")
+    named = tables["translations"].dropna().select("product_category_name")
+    products = tables["products"].dropna().join(named, "product_category_name", "left_semi").select("product_id", "product_weight_g")
+    items = tables["items"].dropna().select("order_id", "product_id", "seller_id", "order_item_id", "price", "freight_value")
+    orders = orders.join(tables["customers"].dropna(), "customer_id", "left_semi")
+    joined = items.join(products, "product_id").join(tables["sellers"].dropna(), "seller_id", "left_semi").join(orders, "order_id")
     return joined.select("order_id", "order_status", "year_quarter", *[F.col(c).cast("double").alias(c) for c in FACTORS])
 
 
@@ -119,7 +125,7 @@ def order_clusters(factors: DataFrame, k: int = 6, seed: int = 32123, scale: boo
     if scale:
         stages.append(MinMaxScaler(inputCol="_raw", outputCol="_scaled"))
     vectors = "_scaled" if scale else "_raw"
-    stages.append(KMeans(k=k, seed=seed, maxIter=100, featuresCol=vectors, predictionCol="cluster"))
+    stages.append(KMeans(k=k, seed=seed, maxIter=1000, featuresCol=vectors, predictionCol="cluster"))
     return Pipeline(stages=stages).fit(factors).transform(factors).drop("_raw", "_scaled")
 
 
@@ -177,9 +183,8 @@ def freight_poly(items: DataFrame, degree: int = 6) -> DataFrame:
     moments = settle(_by_position(items))
     ends = moments.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
     low, high, distinct = ends
-    degree = min(degree, distinct - 1)
-    if degree < 1:
-        return moments.select("x", "n", "mean", F.col("mean").alias("fitted"))
+    if not 1 <= degree < distinct:
+        raise ValueError(f"a polynomial of degree {degree} needs more than {degree} item positions, there are {distinct}")
     t = (F.col("x") - F.lit(low)) * 2 / F.lit(high - low) - 1
     terms = [F.lit(1.0), t]
     for k in range(1, degree):

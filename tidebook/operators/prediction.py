@@ -74,11 +74,21 @@ def prediction_features(enriched: DataFrame, ranking: DataFrame) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.35, seed: int = SEED) -> DataFrame:
-    """Add is_test: the same share of every class, chosen by a seeded hash of the key."""
+    """Add is_test: ceil(rows x share) test rows, chosen by a seeded hash of the key.
+
+    They are spread over the classes in proportion; what is left after rounding down goes to the
+    classes with the largest remainders, the larger class first among equals.
+    """
     order = W.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)
     place = F.row_number().over(order)
-    size = F.count(F.lit(1)).over(W.partitionBy(label))
-    return df.withColumn("is_test", place <= F.ceil(size * F.lit(test_share)))
+    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))  # one row per class
+    whole = W.partitionBy()
+    exact = F.ceil(F.round(F.sum("_n").over(whole) * F.lit(test_share), 9)) * F.col("_n") / F.sum("_n").over(whole)
+    sizes = sizes.withColumn("_exact", exact).withColumn("_rest", F.round(F.col("_exact") - F.floor("_exact"), 9))
+    left = F.round(F.sum("_rest").over(whole))
+    turn = F.row_number().over(W.orderBy(F.desc("_rest"), F.desc("_n"), "_class"))
+    quotas = sizes.select("_class", (F.floor("_exact") + (turn <= left).cast("long")).alias("_quota"))
+    return df.join(quotas, F.col(label).eqNullSafe(F.col("_class"))).withColumn("is_test", place <= F.col("_quota")).drop("_class", "_quota")
 
 
 def _fit_forest(data: DataFrame, features: Sequence[str], label: str, trees: int, scale: bool) -> tuple[DataFrame, list[float]]:

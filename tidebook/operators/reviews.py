@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidebook.functions.scalar import guarded_days, half_up, safe_div
+from tidebook.functions.scalar import guarded_days, percent, safe_div
 from tidebook.sources.settle import small_side
 
-# Items only decide which categories an order holds, and duplicates of the joined rows are
-# dropped afterwards, so the category list per order is made distinct before the join.
+# Items only decide which categories an order holds. They are counted per order and category
+# before the join, and item_rows carries how many rows of the plain join a row stands for.
 REVIEW_QUERY = """
 SELECT r.review_id, r.review_score, r.review_comment_title, r.review_comment_message,
        r.review_creation_date, o.order_status, o.order_approved_at, o.order_delivered_carrier_date,
-       o.order_estimated_delivery_date, c.customer_state, p.product_category_name
+       o.order_estimated_delivery_date, c.customer_state, p.product_category_name, p.item_rows
 FROM {reviews} r
 JOIN {orders} o ON r.order_id = o.order_id
 JOIN {customers} c ON c.customer_id = o.customer_id
-JOIN (SELECT DISTINCT i.order_id, q.product_category_name
-      FROM {items} i JOIN {products} q ON q.product_id = i.product_id) p ON o.order_id = p.order_id
+JOIN (SELECT i.order_id, q.product_category_name, count(*) AS item_rows
+      FROM {items} i JOIN {products} q ON q.product_id = i.product_id
+      GROUP BY i.order_id, q.product_category_name) p ON o.order_id = p.order_id
 """
 
 # Column names after cleaning, in their order.
@@ -41,7 +42,7 @@ CLEAN_NAMES = {
 
 
 def review_sql_join(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The five-way inner join, written as SQL over the given tables."""
+    """The five-way inner join as SQL over the given tables; ``item_rows`` is each row's multiplicity."""
     spark = tables["reviews"].sparkSession
     return spark.sql(REVIEW_QUERY, **{n: tables[n] for n in ("reviews", "orders", "customers", "items", "products")})
 
@@ -49,7 +50,7 @@ def review_sql_join(tables: Mapping[str, DataFrame]) -> DataFrame:
 def review_clean(joined: DataFrame) -> DataFrame:
     """Distinct rows, renamed and reordered, integer score, empty text as NULL."""
     text = {f.name for f in joined.schema.fields if f.dataType.simpleString() == "string"}
-    out = joined.dropDuplicates().withColumn("review_score", F.col("review_score").cast("int"))
+    out = joined.drop("item_rows").dropDuplicates().withColumn("review_score", F.col("review_score").cast("int"))
     return out.select(
         *[(F.nullif(F.col(c), F.lit("")) if c in text else F.col(c)).alias(n) for c, n in CLEAN_NAMES.items()]
     )
@@ -64,7 +65,7 @@ def share_of_total(df: DataFrame, key: str, counted: str, name: str = "total") -
     """Non-null rows per key and their share of all in percent, two digits."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(counted).alias(name))
     whole = F.sum(name).over(W.partitionBy())  # one row per key
-    return counts.withColumn("percent", half_up(safe_div(name, whole) * 100, 2))
+    return counts.withColumn("percent", percent(safe_div(name, whole)))
 
 
 def top_category_share(clean: DataFrame, n: int = 3) -> DataFrame:
@@ -81,7 +82,7 @@ def category_share_by_score(clean: DataFrame, n: int = 10) -> DataFrame:
     )
     by_score = W.partitionBy("score")
     place = F.row_number().over(by_score.orderBy(F.desc("total"), "product_category"))
-    share = half_up(safe_div("total", F.sum("total").over(by_score)) * 100, 2)
+    share = percent(safe_div("total", F.sum("total").over(by_score)))
     return counts.withColumns({"percent": share, "place": place}).where(F.col("place") <= n)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from tidebook.functions.calendar import month_label, weekday_name, with_calendar, with_fine_calendar
 from tidebook.functions.quantiles import percentile_columns
-from tidebook.functions.scalar import elapsed_days, half_up, safe_div, sum0, time_between
+from tidebook.functions.scalar import elapsed_days, percent, safe_div, sum0, time_between
 from tidebook.operators.enrich import CATEGORY
 
 Tables = Mapping[str, DataFrame]
@@ -112,8 +112,8 @@ def items_score_crosstab(tables: Tables, top: int = 12) -> DataFrame:
         .groupBy("order_item_id").pivot("review_score", [1, 2, 3, 4, 5]).agg(F.sum("_w"))
     )
     total = sum((F.coalesce(F.col(str(s)), F.lit(0)) for s in range(1, 6)), F.lit(0))
-    percent = [half_up(safe_div(F.coalesce(F.col(str(s)), F.lit(0)), total) * 100, 2).alias(f"score_{s}") for s in range(1, 6)]
-    return cells.select("order_item_id", *percent).orderBy("order_item_id").limit(top)
+    shares = [percent(safe_div(F.coalesce(F.col(str(s)), F.lit(0)), total)).alias(f"score_{s}") for s in range(1, 6)]
+    return cells.select("order_item_id", *shares).orderBy("order_item_id").limit(top)
 
 
 # --- shares and distributions --------------------------------------------------------------
@@ -124,12 +124,17 @@ def class_share(df: DataFrame, group: str, value: str) -> DataFrame:
     return counts.withColumn("percent_qty", safe_div("qty", F.sum("qty").over(W.partitionBy(group))))
 
 
-def item_count_buckets(items: DataFrame) -> DataFrame:
-    """Rows per item position, 7 to 10 and 10 to 20 pooled, with share in percent."""
+def item_count_buckets(tables: Tables) -> DataFrame:
+    """Merged rows per item position, 7 to 10 and 10 to 20 pooled, with share in percent.
+
+    An item stands in as many rows of the merge as its order has pairs of payment and review.
+    """
     n = F.col("order_item_id")
+    pairs = order_multiplicities(tables).where("in_orders = 1").select("order_id", _times("n_pay", "n_rev").alias("_w"))
+    positions = tables["items"].where(n.isNotNull()).groupBy("order_id", "order_item_id").agg(F.count(F.lit(1)).alias("_n"))
     label = F.when(n.between(7, 10), "7 to 10").when(n > 10, "10 to 20").otherwise(n.cast("string"))
-    counts = items.where(n.isNotNull()).groupBy(label.alias("bucket")).agg(F.count(F.lit(1)).alias("total"))
-    return counts.withColumn("percent", half_up(safe_div("total", F.sum("total").over(W.partitionBy())) * 100, 2))
+    counts = positions.join(pairs, "order_id").groupBy(label.alias("bucket")).agg(F.sum(F.col("_n") * F.col("_w")).alias("total"))
+    return counts.withColumn("percent", percent(safe_div("total", F.sum("total").over(W.partitionBy()))))
 
 
 FIVE_NUMBERS = {"min_value": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max_value": 1.0}

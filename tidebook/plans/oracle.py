@@ -451,7 +451,9 @@ VIEWS: dict[str, str] = {
                order_item_id, price, freight_value, product_weight_g
         FROM items_c i JOIN orders_c o ON i.order_id = o.order_id JOIN products_c p ON i.product_id = p.product_id
         WHERE order_approved_at IS NOT NULL AND order_delivered_customer_date IS NOT NULL AND product_category_name IS NOT NULL
-          AND product_description_lenght IS NOT NULL AND product_photos_qty IS NOT NULL""",
+          AND product_description_lenght IS NOT NULL AND product_photos_qty IS NOT NULL
+          AND p.product_category_name IN (SELECT product_category_name FROM translations_c)
+          AND o.customer_id IN (SELECT customer_id FROM customers_c) AND i.seller_id IN (SELECT seller_id FROM sellers_c)""",
     "freight_moments": """
         SELECT CAST(order_item_id AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n, avg(freight_value) AS mean, sum(freight_value) AS sy,
                sum(freight_value * freight_value) AS syy FROM items_c GROUP BY 1""",
@@ -631,7 +633,7 @@ def _long(source: str, keys: str, columns: list[str], name: str, value: str) ->
 
 def _share_sql(source: str, key: str, counted: str) -> str:
     return f"""
-        SELECT {key}, count({counted}) AS total, 100.0 * count({counted}) / sum(count({counted})) OVER () AS percent
+        SELECT {key}, count({counted}) AS total, round(CAST(100.0 * count({counted}) / sum(count({counted})) OVER () AS DECIMAL(20, 9)), 2) AS percent
         FROM {source} WHERE {key} IS NOT NULL GROUP BY {key}"""
 
 
@@ -692,7 +694,7 @@ SQL.update(
             for c in ("price", "freight_value")
         ),
         "price_outliers": """SELECT order_id, order_item_id, price, b AS outlier_bound
-            FROM items_c, (SELECT avg(price) + 1.6 * stddev_pop(price) AS b FROM items_c) WHERE price > b""",
+            FROM items_c, (SELECT avg(price) + 1.6 * stddev_samp(price) AS b FROM items_c) WHERE price > b""",
         "enriched_items": "SELECT * FROM enriched",
         "calendar_features": f"""SELECT order_id, {_TS}, {_CALENDAR}, day({_TS}) AS monthday, hour({_TS}) AS hour,
             CAST(year({_TS}) AS VARCHAR) || '.' || CAST(quarter({_TS}) AS VARCHAR) AS year_quarter, {_month_label(f'month({_TS})')} AS month_label
@@ -797,9 +799,13 @@ SQL.update(
         "prediction_features": """SELECT f.*, r.seasonality_score, r.confidence_level, r.seasonality_type,
             CASE WHEN r.seasonality_score >= cut THEN 1 ELSE 0 END AS is_seasonal
             FROM features f JOIN ranking r ON f.category = r.category, score_cut""",
-        "strat_split": """SELECT CASE WHEN seasonality_score >= cut THEN 'seasonal' ELSE 'other' END AS label,
-            count(*) - CAST(ceil(count(*) * 0.35) AS BIGINT) AS n_train, CAST(ceil(count(*) * 0.35) AS BIGINT) AS n_test
-            FROM eligible, score_cut GROUP BY 1""",
+        # two classes: the test rows of the smaller one are rounded to the nearest, as its remainder and the other's add up to one
+        "strat_split": """SELECT label, n - t AS n_train, t AS n_test FROM (
+            SELECT label, n, CASE WHEN n < total - n OR (2 * n = total AND label = 'other')
+                THEN CAST(floor(test * n / total + 0.4999999) AS BIGINT) ELSE CAST(ceil(test * n / total - 0.5) AS BIGINT) END AS t
+            FROM (SELECT *, ceil(0.35 * total) AS test FROM (
+                SELECT CASE WHEN seasonality_score >= cut THEN 'seasonal' ELSE 'other' END AS label, count(*) AS n, sum(count(*)) OVER () AS total
+                FROM eligible, score_cut GROUP BY 1)))""",
         "spearman_importance": _spearman_sql(),
         "auc_rank_sum": """SELECT sum(win) / count(*) AS roc_auc, max(f1) AS f1, max(accuracy) AS accuracy FROM (
                 SELECT CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END AS win
@@ -864,22 +870,19 @@ SQL.update(
         "avg(approval_mins) AS avg_approval_mins, avg(purchase_to_carrier_days) AS avg_purchase_to_carrier_days, "
         f"avg(carrier_to_customer_days) AS avg_carrier_to_customer_days FROM (SELECT order_status, CAST(year({_TS}) AS VARCHAR) || '.' || "
         f"CAST(quarter({_TS}) AS VARCHAR) AS year_quarter, {_lead_columns()} FROM orders_c) GROUP BY 1, 2",
-        "review_sql_join": """SELECT order_status, customer_state, review_score, count(*) AS "rows" FROM (
-            SELECT DISTINCT * FROM (SELECT r.rn, j.* FROM (SELECT *, row_number() OVER () AS rn FROM reviews_c) r
-                JOIN (SELECT o.order_id, o.order_status, c.customer_state, p.product_category_name FROM orders_c o
-                      JOIN customers_c c ON c.customer_id = o.customer_id JOIN items_c i ON i.order_id = o.order_id
-                      JOIN products_c p ON p.product_id = i.product_id) j ON r.order_id = j.order_id
-                ) ) d JOIN (SELECT *, row_number() OVER () AS rn FROM reviews_c) r2 USING (rn) GROUP BY 1, 2, 3""",
+        "review_sql_join": """SELECT o.order_status, c.customer_state, r.review_score, count(*) AS "rows" FROM reviews_c r
+            JOIN orders_c o ON r.order_id = o.order_id JOIN customers_c c ON c.customer_id = o.customer_id
+            JOIN items_c i ON i.order_id = o.order_id JOIN products_c p ON p.product_id = i.product_id GROUP BY 1, 2, 3""",
         "review_clean": "SELECT * FROM review_rows",
         "review_delivery_imputed": "SELECT review_id, product_category, customer_state, score, order_approved, days_raw, days_to_delivery FROM review_days",
         "slow_scores": "SELECT score, count(*) AS reviews_count FROM review_days WHERE days_to_delivery > 3 GROUP BY 1",
         "box_stats_score": "SELECT score, " + _BOX.format("days_to_delivery") + " FROM review_days GROUP BY 1",
         "top_category_share": "SELECT * FROM (" + _share_sql("review_rows", "product_category", "customer_state") + ") ORDER BY total DESC, product_category LIMIT 3",
         "category_share_by_score": """SELECT * FROM (SELECT score, product_category, count(customer_state) AS total,
-                100.0 * count(customer_state) / sum(count(customer_state)) OVER (PARTITION BY score) AS percent,
+                round(CAST(100.0 * count(customer_state) / sum(count(customer_state)) OVER (PARTITION BY score) AS DECIMAL(20, 9)), 2) AS percent,
                 row_number() OVER (PARTITION BY score ORDER BY count(customer_state) DESC, product_category) AS place
             FROM review_rows WHERE score IS NOT NULL AND product_category IS NOT NULL GROUP BY 1, 2) WHERE place <= 10""",
-        "state_share": _share_sql("enriched", "customer_state", "order_status"),
+        "state_share": _share_sql("review_rows", "customer_state", "score"),
         "category_review_score": """SELECT product_category_name_english AS category, count(review_score) AS count, avg(review_score) AS mean
             FROM enriched WHERE product_category_name_english IS NOT NULL GROUP BY 1 HAVING count(review_score) > 50""",
         "full_outer_base": """SELECT 'total' AS dimension, 'rows' AS value, count(*) AS "rows" FROM merged
@@ -890,16 +893,16 @@ SQL.update(
         + ", ".join(f"avg(freight_value) FILTER (region = '{n}') AS {a}" for n, a in _REGION_NAMES.items())
         + " FROM merged JOIN nations_c ON customer_state = state WHERE price IS NOT NULL AND seller_state IS NOT NULL GROUP BY 1",
         "items_score_crosstab": "SELECT order_item_id, "
-        + ", ".join(f"100.0 * count(*) FILTER (review_score = {s}) / count(*) AS score_{s}" for s in range(1, 6))
+        + ", ".join(f"round(CAST(100.0 * count(*) FILTER (review_score = {s}) / count(*) AS DECIMAL(20, 9)), 2) AS score_{s}" for s in range(1, 6))
         + " FROM merged WHERE order_item_id IS NOT NULL AND review_score IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 12",
         "payment_share": _share_sql("payments_c", "payment_type", "order_id"),
         "class_share": """SELECT product_category_name, review_score, count(*) AS qty,
                 count(*) / sum(count(*)) OVER (PARTITION BY product_category_name) AS percent_qty
             FROM (SELECT DISTINCT i.order_id, product_category_name FROM items_c i JOIN products_c p ON i.product_id = p.product_id) k
             JOIN reviews_c r ON k.order_id = r.order_id WHERE product_category_name IS NOT NULL AND review_score IS NOT NULL GROUP BY 1, 2""",
-        "item_count_buckets": """SELECT bucket, count(*) AS total, 100.0 * count(*) / sum(count(*)) OVER () AS percent FROM (
+        "item_count_buckets": """SELECT bucket, count(*) AS total, round(CAST(100.0 * count(*) / sum(count(*)) OVER () AS DECIMAL(20, 9)), 2) AS percent FROM (
             SELECT CASE WHEN order_item_id BETWEEN 7 AND 10 THEN '7 to 10' WHEN order_item_id > 10 THEN '10 to 20'
-                        ELSE CAST(order_item_id AS VARCHAR) END AS bucket FROM items_c) GROUP BY 1""",
+                        ELSE CAST(order_item_id AS VARCHAR) END AS bucket FROM merged WHERE order_item_id IS NOT NULL) GROUP BY 1""",
         "box_stats": "SELECT year, " + _BOX.format("price") + " FROM enriched GROUP BY 1",
         "box_stats_state": "SELECT customer_state, " + _BOX.format("price_log") + " FROM (SELECT customer_state, ln(price + 1.5) AS price_log FROM enriched) GROUP BY 1",
         "payment_quantiles": "SELECT payment_type, avg(payment_value) AS avg_value, "
@@ -951,11 +954,20 @@ SQL.update(
         "freight_glm": """SELECT b0 AS intercept, b1 AS slope,
                 sum((syy - 2 * exp(b0 + b1 * x) * sy + n * exp(b0 + b1 * x) * exp(b0 + b1 * x)) / exp(b0 + b1 * x)) / (sum(n) - 2) AS dispersion,
                 sum(n) AS "rows" FROM freight_moments, (SELECT * FROM newton WHERE k = 30) GROUP BY b0, b1""",
+        # normal equations of the parabola in x - m, solved by determinants
+        "freight_parabola": """SELECT x, n, mean, (d0 + d1 * (x - m) + d2 * (x - m) * (x - m)) / d AS fitted FROM freight_moments,
+            (SELECT m, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS d,
+                    t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2) AS d0,
+                    s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2) AS d1,
+                    s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2) AS d2
+             FROM (SELECT m, sum(n) AS s0, sum(n * z) AS s1, sum(n * z * z) AS s2, sum(n * z * z * z) AS s3, sum(n * z * z * z * z) AS s4,
+                          sum(n * mean) AS t0, sum(n * z * mean) AS t1, sum(n * z * z * mean) AS t2
+                   FROM (SELECT n, mean, m, x - m AS z FROM freight_moments, (SELECT avg(x) AS m FROM freight_moments)) GROUP BY m))""",
         "freight_poly": "SELECT x, n, mean, mean AS fitted FROM freight_moments",
     }
 )
 
-VIEWS["sc"] = "SELECT floor(early_warning_score * 10000.0 + 0.505) / 10000.0 AS t, is_h2_seasonal AS y FROM scorecard"
+VIEWS["sc"] = "SELECT early_warning_score AS t, is_h2_seasonal AS y FROM scorecard"
 # Newton steps for the two coefficients of the log-link Poisson regression.
 VIEWS["newton"] = """
         SELECT 0 AS k, ln(sum(sy) / sum(n)) AS b0, CAST(0 AS DOUBLE) AS b1 FROM freight_moments

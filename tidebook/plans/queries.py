@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.calendar import with_calendar
-from tidebook.functions.scalar import half_up, sum0
+from tidebook.functions.scalar import steady, sum0
 from tidebook.functions.stats import binary_scores, roc_curve, spearman_importance
 from tidebook.operators import audit, early, enrich, forecast, geo, granularity, impact, large, logistics, metrics
 from tidebook.operators import models, prediction, reviews, sales, seasonality
@@ -119,7 +119,7 @@ def present(df: DataFrame, spec: dict[str, str]) -> DataFrame:
         elif kind == "i":
             out.append(quoted.cast("long").alias(name))
         else:
-            out.append(half_up(quoted.cast("double"), int(kind)).alias(name))
+            out.append(steady(quoted.cast("double"), int(kind)).alias(name))
     return df.select(*out)
 
 
@@ -577,26 +577,26 @@ def auc_rank_sum(c):
 @query("threshold fpr tpr", "roc_curve")
 def roc_points(c):
     scored = early.early_warning_scorecard(c.early())
-    return roc_curve(scored.withColumn("score", half_up("early_warning_score", 4)), "is_h2_seasonal", "score")
+    return roc_curve(scored, "is_h2_seasonal", "early_warning_score")
 
 
 @query("roc_auc f1 accuracy n_train:i n_test:i target_threshold")
 def predictability(c):
-    first, _ = prediction.predictability(c.labelled(), trees=100)
-    second, _ = prediction.early_predictability(c.early(), trees=100)
+    first, _ = prediction.predictability(c.labelled())
+    second, _ = prediction.early_predictability(c.early())
     return first.unionByName(second)
 
 
 @query("importance")
 def feature_importance(c):
-    _, first = prediction.predictability(c.labelled(), trees=100)
-    _, second = prediction.early_predictability(c.early(), trees=100)
+    _, first = prediction.predictability(c.labelled())
+    _, second = prediction.early_predictability(c.early())
     tagged = lambda df, m: df.withColumn("model", F.lit(m))
     return tagged(first, "seasonality").unionByName(tagged(second, "h1_to_h2"))
 
 
 def _clusters(c) -> DataFrame:
-    return prediction.seasonality_clusters(seasonality.seasonal_index_matrix(c.profile(), c.monthly(), None), restarts=5)
+    return prediction.seasonality_clusters(seasonality.seasonal_index_matrix(c.profile(), c.monthly(), None))
 
 
 @query("cluster:i " + " ".join(_MONTHS))
@@ -742,7 +742,7 @@ def lead_time_by_quarter(c):
 @query("review_score:i rows:i")
 def review_sql_join(c):
     joined = reviews.review_sql_join(c.t)
-    return joined.groupBy("order_status", "customer_state", "review_score").agg(F.count(F.lit(1)).alias("rows"))
+    return joined.groupBy("order_status", "customer_state", "review_score").agg(F.sum("item_rows").alias("rows"))
 
 
 @query("review_id:i score:i")
@@ -779,7 +779,7 @@ def category_share_by_score(c):
 
 @query("total:i percent:2")
 def state_share(c):
-    return reviews.share_of_total(c.enriched(["customer_state", "order_status"]), "customer_state", "order_status")
+    return reviews.share_of_total(c.review_rows(), "customer_state", "score")
 
 
 @query("count:i mean")
@@ -823,7 +823,7 @@ def class_share(c):
 
 @query("total:i percent:2")
 def item_count_buckets(c):
-    return sales.item_count_buckets(c.t["items"])
+    return sales.item_count_buckets(c.t)
 
 
 @query("year:i min_value:2 q1:2 median:2 q3:2 max_value:2")
@@ -974,5 +974,10 @@ def freight_poly(c):
     return models.freight_poly(c.t["items"])
 
 
+@query("x:i n:i mean fitted")
+def freight_parabola(c):
+    return models.freight_poly(c.t["items"], 2)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in QUERIES.items()}

@@ -10,22 +10,23 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 100_000
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> bool:
-    """True if reliable checkpoints can be written.
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """See to a folder for reliable checkpoints.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. A temporary folder is
-    used only where that is unset and the session runs inside one machine, as in tests.
+    The cluster names its shared folder in ``spark.checkpoint.dir``; without it this is an error.
+    A temporary folder is used only where that is unset and the session runs inside one machine,
+    as in tests. ``spark.cleaner.referenceTracking.cleanCheckpoints`` lets Spark delete what is no
+    longer referred to.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
-        return True
+        return
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
-            return False
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidebook-checkpoint-")
     context.setCheckpointDir(folder)
-    return True
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -34,16 +35,16 @@ def settle(df: DataFrame) -> DataFrame:
     For tables several later steps read: the small (category, day) and category-grain tables,
     and the inputs of iterative estimators.
     """
-    if _ensure_checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df.persist()  # recomputed from its lineage if an executor is lost
+    _ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """A join side expected to be small: broadcast if its counted rows allow it.
 
     Without the hint the planner would shuffle the large side on a skewed key before it learns
-    the size of this aggregate. Beyond ``max_rows`` the ordinary shuffled join applies.
+    the size of this aggregate. Beyond ``max_rows`` the ordinary shuffled join applies; only the
+    plan depends on the size, never the result.
     """
     stored = settle(df)
     return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
