@@ -141,8 +141,8 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     content = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(key).cast("long").alias("doc_id"), content.alias("content"))
     digest = F.unhex(F.sha2("content", 256))
-    misses = read.select(digest.alias("digest"), "content").join(stored().select("digest"), "digest", "left_anti")
-    distinct = misses.groupBy("digest").agg(F.first("content").alias("content"))
+    distinct = read.groupBy(digest.alias("digest")).agg(F.first("content").alias("content"))
+    distinct = distinct.join(stored().select("digest"), "digest", "left_anti")
     distinct.mapInArrow(_encode(path, version), CACHE_SCHEMA).write.mode("append").parquet(folder)
     narrow = read.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), digest.alias("digest"))
     counted = narrow.join(stored(), "digest")
