@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidebook.llm.common import unit
+
 #: Code points above this one share a class, as do all characters that aren't letters.
 TABLE = 1 << 16
 #: A text is parsed in stretches of so many characters, a phrase ending with its stretch.
@@ -58,10 +60,12 @@ class SuffixAutomaton:
         states = np.repeat(np.arange(len(nexts)), [len(x) for x in nexts])
         keys = np.fromiter((c for x in nexts for c in x), np.int64, len(states))
         goals = np.fromiter((s for x in nexts for s in x.values()), np.int32, len(states))
-        fresh = np.zeros(size, np.int32)
+        # a symbol that doesn't occur is a phrase of its own: a last state from which nothing goes on
+        fresh = np.full(size, len(nexts), np.int32)
         fresh[keys[states == 0]] = goals[states == 0]
-        self.step = np.tile(-fresh - 1, (len(nexts), 1))
+        self.step = np.tile(-fresh - 1, (len(nexts) + 1, 1))
         self.step[states, keys] = goals
+        self.step[0] = fresh
         self.flat, self.width, self.bits = self.step.reshape(-1), size, math.log2(len(symbols) + 1)
 
     def phrases(self, block: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -131,11 +135,13 @@ def learn(docs: DataFrame, sample_chars: int = 100_000, piece_chars: int = 2_000
     most, so that a long document is not a language's whole sample. These two parameters bound what is
     fitted on. Rows without text, letters or language are passed over.
     """
-    usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike("\\p{L}"))
-    ranked = usable.select("lang", F.substring("text", 1, piece_chars).alias("piece"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text").alias("_h"))
-    # rows that can be among the first are those whose hash is small: a first cut by rank keeps the window's input small
     rows = 4 * math.ceil(sample_chars / piece_chars) + 400
-    first = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "piece"))).where(F.col("_r") <= rows)
+    counts = docs.where("lang is not null").groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    place = unit(F.lit(seed), F.col("doc_id").cast("string"))
+    # hashes are even, so three times the rows that are needed lie below this bound at any size
+    early = docs.select("doc_id", "lang", "text", place.alias("_h")).join(counts, F.col("lang") == F.col("_lang")).where(F.col("_h") * F.col("_n") <= 3 * rows)
+    usable = early.where(F.col("text").isNotNull() & F.col("text").rlike("\\p{L}")).select("lang", "_h", F.substring("text", 1, piece_chars).alias("piece"))
+    first = usable.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "piece"))).where(F.col("_r") <= rows)
     pieces = first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("_r", "piece"))).alias("p")).collect()
     return {r["lang"]: " ".join(x["piece"] for x in r["p"])[:sample_chars] for r in pieces}
 
