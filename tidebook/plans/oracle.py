@@ -452,7 +452,7 @@ VIEWS: dict[str, str] = {
         FROM items_c i JOIN orders_c o ON i.order_id = o.order_id JOIN products_c p ON i.product_id = p.product_id
         WHERE order_approved_at IS NOT NULL AND order_delivered_customer_date IS NOT NULL AND product_category_name IS NOT NULL
           AND product_description_lenght IS NOT NULL AND product_photos_qty IS NOT NULL
-          AND p.product_category_name IN (SELECT product_category_name FROM translations_c)
+          AND p.product_category_name IN (SELECT product_category_name FROM translations_c WHERE product_category_name_english IS NOT NULL)
           AND o.customer_id IN (SELECT customer_id FROM customers_c) AND i.seller_id IN (SELECT seller_id FROM sellers_c)""",
     "freight_moments": """
         SELECT CAST(order_item_id AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n, avg(freight_value) AS mean, sum(freight_value) AS sy,
