@@ -57,6 +57,8 @@ def test_languages(frame):
     docs = frame([(i, "the thing was with them and that", "en") for i in range(20)] + [(100 + i, "der und die nicht schön für", "de") for i in range(20)] + [(900, None, "en"), (901, "x", None)], "doc_id long, text string, lang string")
     samples = language_id.learn(docs)
     assert set(samples) == {"en", "de"}
+    crowd = frame([(i, "la casa", "es") for i in [7] * 500 + [None] * 500] + [(8, "el perro", "es")], "doc_id long, text string, lang string")
+    assert sorted(language_id.learn(crowd)["es"].split(" ")) == ["casa", "el", "la", "perro"]
     asked = frame([(1, "with the thing"), (2, "nicht für die"), (3, None), (4, "123 !"), (4, "123 !"), (5, "the thing " * 3000)], "doc_id long, text string")
     rows = {r.doc_id: r for r in language_id.identify(asked, samples).collect()}
     assert [rows[i].lang_pred for i in range(1, 6)] == ["en", "de", "und", "und", "en"]
@@ -76,6 +78,9 @@ def test_quality(spark, frame):
     assert odd.columns == ["doc_id", "text", "score"] and odd.where("score between 0 and 1").count() == len(ODD)
     assert quality.fit(docs, labels.limit(0)) == quality.ACCEPT_ALL
     assert quality.keep_accepted(docs.limit(0), model).count() == 0
+    crowd = frame([(1, "Good words stand here.")] * 300 + [(2, "bad bad bad"), (3, "Another good line."), (4, "$$ bad"), (None, "x")], "doc_id long, text string")
+    asked = frame([(1, 1)] * 300 + [(2, 0), (3, 1), (4, 0), (None, 0), (3, None)], "doc_id long, quality int")
+    assert quality.fit(crowd, asked) == quality.fit(crowd.distinct(), asked.distinct())
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
