@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebook.llm.common import unit
+from tidebook.llm.common import cut, unit
 
 #: Code points above this one share a class, as do all characters that aren't letters.
 TABLE = 1 << 16
@@ -20,6 +20,8 @@ TABLE = 1 << 16
 STRETCH = 1024
 #: Stretches that are parsed side by side.
 SIDE = 2048
+#: Counts of up to so many languages go to every executor, at a few dozen bytes each; more are shuffled.
+BROADCAST_LANGUAGES = 10_000
 RESULT = "doc_id long, lang_pred string, score double"
 
 
@@ -138,7 +140,9 @@ def learn(docs: DataFrame, sample_chars: int = 100_000, piece_chars: int = 2_000
     """
     docs = docs.where("lang is not null and doc_id is not null")
     rows = 4 * math.ceil(sample_chars / piece_chars) + 400
-    counts = docs.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(docs.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n")))
+    if counts.count() <= BROADCAST_LANGUAGES:  # or all texts of a language would meet in one task
+        counts = F.broadcast(counts)
     place = unit(F.lit(seed), F.col("doc_id").cast("string"))
     # hashes are even, so three times the rows that are needed lie below this bound at any size
     early = docs.select("doc_id", "lang", "text", place.alias("_h")).join(counts, F.col("lang") == F.col("_lang")).where(F.col("_h") * F.col("_n") <= 3 * rows)
