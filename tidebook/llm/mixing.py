@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebook.llm.common import BLANKS, word_count
+from tidebook.llm.common import BLANKS, cut, word_count
 
 #: Hexadecimal digits of the permutation key that name a document's bucket within its source.
 BUCKET_DIGITS = 3
@@ -123,7 +123,8 @@ def mix(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), key.alias("_key"), F.xxhash64("text").alias("_text"), *others)
     rows = rows.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS)).withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
 
-    buckets = rows.groupBy("_source", "_bucket").agg(F.first("source").alias("source"), F.sum("size").alias("_sum"))
+    # kept, since the targets and the starts both build on it: words are counted once less
+    buckets = cut(rows.groupBy("_source", "_bucket").agg(F.first("source").alias("source"), F.sum("size").alias("_sum")))
     sizes = buckets.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_sum").alias("source_size"))
     targets = source_targets(sizes, weights, ratio, limit).withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     targets = targets.withColumn("_words", F.round("target").cast("long")).withColumn("_blocks", F.ceil(F.col("_words") / block_words).cast("long"))
@@ -153,8 +154,8 @@ def mixed_documents(docs: DataFrame, columns: Sequence[str], **options) -> DataF
     """
     asked = [c for c in columns if c not in ("doc_id", "source")]
     mixed = mix(docs, carry=asked, **options).withColumn("_piece", F.explode("pieces"))
-    cut = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{BLANKS}", ""), BLANKS), 1, F.col("_piece.words").cast("int")), " ")
-    mixed = mixed.withColumn("text", F.when(F.col("_piece.words") < F.col("size"), cut).otherwise(F.col("text")))
+    first = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{BLANKS}", ""), BLANKS), 1, F.col("_piece.words").cast("int")), " ")
+    mixed = mixed.withColumn("text", F.when(F.col("_piece.words") < F.col("size"), first).otherwise(F.col("text")))
     if "n_chars" in asked:
         mixed = mixed.withColumn("n_chars", F.char_length("text").cast("long"))
     return mixed.select(*columns, F.col("_piece.shard").alias("mix_shard"), F.col("_piece.pass").alias("mix_pass"))
