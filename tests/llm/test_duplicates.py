@@ -120,3 +120,14 @@ def test_pipeline_stages_keep_columns(spark):
     out = corpus_pipeline.run(spark, DIR)
     assert out.columns == [*docs.columns, "shard"] and out.count() > 0
     assert out.select("doc_id").distinct().join(docs, "doc_id").count() == out.select("doc_id").distinct().count()
+
+
+def held(frame, texts, items):
+    docs, bench = frame(list(enumerate(texts)), "doc_id long, text string"), frame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+
+
+def test_decontamination_holds_short_and_unspaced_items(frame):
+    items = ["the quick brown fox jumps over lazy dogs", "every green bottle stands upon some old wooden wall", "which planet is largest", "地球は太陽の周りを回っている", "有几个"]
+    texts = [f"{'so ' * k}{item} end" for item in items[:3] for k in range(3)] + ["また、地球は太陽の周りを回っている。", "你有几个苹果", "which planet is the largest", "", None]
+    assert held(frame, texts, items) == {(3 * i + k, i) for i in range(3) for k in range(3)} | {(9, 3), (10, 4)}

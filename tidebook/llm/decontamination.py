@@ -16,13 +16,15 @@ UNITS = "km|kg|cm|mm|mg|ml|m|g|l|lb|lbs|oz|ft|in|mi|mph|kmh|h|hr|hrs|min|s|sec|m
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 #: Up to so many candidates go to every executor, at a few dozen bytes each; more are shuffled.
 BROADCAST_ROWS = 50_000
+#: A character, with its marks, of a script that is written without spaces.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*+)"
 
 
 def marked_tokens(text: Column) -> Column:
     """Lower-case tokens without punctuation; names, numbers and units carry a mark before them.
 
     A name is a word within a sentence of one capital and small letters; a unit stands behind a number; a number is a run
-    of digits, so that 3.5 is two.
+    of digits, so that 3.5 is two. Each character of a script without spaces is a token.
     """
     text = F.coalesce(text, F.lit(""))
     taken = F.contains(text, F.lit(NAME)) | F.contains(text, F.lit(NUMBER)) | F.contains(text, F.lit(UNIT))
@@ -31,6 +33,7 @@ def marked_tokens(text: Column) -> Column:
     numbers = F.regexp_replace(text, r"(?<![\p{L}\p{N}])([0-9]++)", f"{NUMBER}$1 ")
     units = F.regexp_replace(numbers, rf"(?i)(?<=[0-9]\x20{{1,2}})({UNITS}|[%°])(?![\p{{L}}\p{{N}}])", f"{UNIT}$1")
     text = F.when(text.rlike("[0-9]"), units).otherwise(text)
+    text = F.when(text.rlike(UNSPACED), F.regexp_replace(text, UNSPACED, " $1 ")).otherwise(text)
     plain = F.regexp_replace(F.lower(text), "[^\\p{L}\\p{M}\\p{N}%°\u0001-\u0003]+", " ")
     return F.filter(F.split(plain, " "), lambda x: x != "")
 
@@ -40,41 +43,59 @@ def canonical(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.when(F.ascii(x) <= 3, F.left(x, F.lit(1))).otherwise(x))
 
 
-def _windows(template: str, window: int, stride: int) -> Column:
-    """(place, hash) of every stride-th window of a template column."""
-    n = F.size(template) - window
-    places = F.when(n >= 0, F.sequence(F.lit(0), n, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(template, i + 1, window)).alias("hash")))
+def plain(tokens: Column) -> Column:
+    """Marked tokens without their marks."""
+    return F.transform(tokens, _value)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, stride: int = 3, least_literals: int = 7) -> DataFrame:
+def _value(token: Column) -> Column:
+    return F.translate(token, NAME + NUMBER + UNIT, "")
+
+
+def _windows(tokens: str, window: int) -> Column:
+    """(place, hash) of every window of a column of tokens."""
+    n = F.size(tokens) - window
+    places = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(tokens, i + 1, window)).alias("hash")))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, run: int = 10, least_literals: int = 7) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, text_hash, item_id, run, matched, item_tokens, slots, changed_slots.
 
     Texts become templates, in which names, numbers and units are typed placeholders. The hashes of
-    all windows of ``window`` tokens of the items meet those of every ``stride``-th window of the
-    documents, so that every common run of ``window + stride - 1`` tokens meets at least once. Each
-    meeting aligns a document with an item; where templates agree, a placeholder's value in the
+    all windows of ``window`` tokens of the items meet those of all such windows of the documents.
+    Each meeting aligns a document with an item; where templates agree, a placeholder's value in the
     item must always be the same value in the document, or it counts as no agreement. An item is
-    held where a run of at least ``window + stride - 1`` tokens agrees (or all of a shorter item
-    that has a window) with at least ``least_literals`` tokens that aren't placeholders.
+    held where a run of at least ``run`` tokens agrees (or all of a shorter item) with at least
+    ``least_literals`` tokens that aren't placeholders.
     ``changed_slots`` counts placeholders with other values: a re-parameterised item. Of several
     alignments of an item the one with the longest run is reported.
 
-    Items with fewer than ``window`` tokens cannot be told from chance and are passed over; so are
-    null and empty texts on both sides. A document stands for all rows that agree in id and text.
-    Empty tables give no rows; other columns are not read.
+    An item with fewer than ``window`` tokens has no template that could be told from chance: it is
+    held where all its lower-case tokens stand in the document in their order, found by the hash of its
+    whole token list, and its first such place is reported. So an item of one word is held by every
+    document with that word. Items without tokens and null or empty texts are held by nothing and hold
+    nothing. A document stands for all rows that agree in id and text. Empty tables give no rows;
+    other columns are not read.
     """
     content = F.coalesce("text", F.lit(""))
-    items = benchmark.select("item_id", marked_tokens(F.col("text")).alias("item")).where(F.size("item") >= window)
+    items = benchmark.select("item_id", marked_tokens(F.col("text")).alias("item")).where(F.size("item") > 0)
     items = cut(items.distinct().withColumn("number", F.xxhash64("item_id", "item")))
-    keys = items.select("number", canonical(F.col("item")).alias("template")).select("number", F.explode(_windows("template", window, 1)).alias("w")).select("number", F.col("w.place").alias("at"), F.col("w.hash").alias("hash"))
-    keys = cut(keys)
+    short = F.size("item") < window
+    keys = items.where(~short).select("number", canonical(F.col("item")).alias("template")).select("number", F.explode(_windows("template", window)).alias("w")).select("number", F.col("w.place").alias("at"), F.col("w.hash").alias("hash"))
+    whole = items.where(short).select("number", F.lit(0).alias("at"), F.xxhash64(plain(F.col("item"))).alias("hash"))
+    keys = cut(keys.union(whole).join(items.select("number", short.alias("short")), "number"))
+    lengths = sorted(r[0] for r in items.where(short).select(F.size("item")).distinct().collect())
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("text"))
-    named = read.select("doc_id", F.xxhash64("text").alias("text_hash"), canonical(marked_tokens(F.col("text"))).alias("template"))
-    met = named.select("doc_id", "text_hash", F.explode(_windows("template", window, stride)).alias("w")).select("doc_id", "text_hash", F.col("w.place").alias("place"), F.col("w.hash").alias("hash"))
-    aligned = met.join(keys, "hash").select("doc_id", "text_hash", "number", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    named = read.select("doc_id", F.xxhash64("text").alias("text_hash"), marked_tokens(F.col("text")).alias("tokens"))
+    named = named.select("doc_id", "text_hash", canonical(F.col("tokens")).alias("template"), plain(F.col("tokens")).alias("plain"))
+    windows = F.concat(_windows("template", window), *[_windows("plain", n) for n in lengths])
+    met = named.select("doc_id", "text_hash", F.explode(windows).alias("w")).select("doc_id", "text_hash", F.col("w.place").alias("place"), F.col("w.hash").alias("hash"))
+    aligned = met.join(keys, "hash").select("doc_id", "text_hash", "number", "short", (F.col("place") - F.col("at")).alias("shift"))
+    # the places of a short item are all alike
+    aligned = aligned.groupBy("doc_id", "text_hash", "number", F.when(~F.col("short"), F.col("shift")).alias("_at")).agg(F.min("shift").alias("shift"))
     aligned = cut(aligned.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("number", "shift")).alias("met")))
     known = aligned.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "met")
     if known.count() <= BROADCAST_ROWS:
@@ -82,10 +103,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, stride:
     again = read.withColumn("text_hash", F.xxhash64("text")).join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h")))
     pairs = again.select("doc_id", "text_hash", marked_tokens(F.col("text")).alias("doc"), F.explode("met").alias("m"))
     pairs = pairs.select("doc_id", "text_hash", "doc", F.col("m.number").alias("number"), F.col("m.shift").alias("shift")).join(items, "number")
-    return _checked(pairs, window + stride - 1, least_literals)
+    return _checked(pairs, window, run, least_literals)
 
 
-def _checked(pairs: DataFrame, run: int, least_literals: int) -> DataFrame:
+def _checked(pairs: DataFrame, window: int, run: int, least_literals: int) -> DataFrame:
     """The alignments that hold, the best of each document and item."""
     part = F.transform(F.sequence(F.lit(1), F.size("item")), lambda i: F.get("doc", i - 1 + F.col("shift")))
     both = F.zip_with("item", part, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -106,7 +127,9 @@ def _checked(pairs: DataFrame, run: int, least_literals: int) -> DataFrame:
         return F.struct(now.alias("now"), literal.alias("literal"), F.when(longer, now).otherwise(s["best"]).alias("best"), F.when(longer, literal).otherwise(s["best_literal"]).alias("best_literal"))
 
     pairs = pairs.withColumn("longest", F.aggregate("agree", state, step))
+    equal = F.forall("both", lambda x: F.coalesce(_value(x["a"]) == _value(x["b"]), F.lit(False)))
     held = (F.col("longest.best") >= F.least(F.lit(run), F.col("item_tokens"))) & (F.col("longest.best_literal") >= least_literals)
+    held = F.when(F.col("item_tokens") < window, equal).otherwise(held)
     changed = F.size(F.filter("slots", lambda x: (x["a"] != x["b"]) & ~F.array_contains("torn", x["a"])))
     facts = F.struct(
         F.col("longest.best").alias("run"), F.size(F.filter("agree", lambda x: x > 0)).alias("matched"), F.size("slots").alias("slots"), changed.alias("changed_slots")
