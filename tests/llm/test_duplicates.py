@@ -131,3 +131,14 @@ def test_decontamination_holds_short_and_unspaced_items(frame):
     items = ["the quick brown fox jumps over lazy dogs", "every green bottle stands upon some old wooden wall", "which planet is largest", "地球は太陽の周りを回っている", "有几个"]
     texts = [f"{'so ' * k}{item} end" for item in items[:3] for k in range(3)] + ["また、地球は太陽の周りを回っている。", "你有几个苹果", "which planet is the largest", "", None]
     assert held(frame, texts, items) == {(3 * i + k, i) for i in range(3) for k in range(3)} | {(9, 3), (10, 4)}
+
+
+def test_decontamination_holds_slot_dense_items(frame):
+    dense = "Tom has 12 apples, Mary has 7 pears, Bob has 3"
+    sums = "12 + 7 = 19 and 30 - 4 = 26 so 5 * 6 = 30"
+    two = "3 of 4 red 5 or 6 by 7 to 8 he saw 9 birds while she went home and slept all night long"
+    texts = [f"so {dense} ok", "so Kim has 5 apples, Ann has 9 pears, Jim has 4 ok", sums, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", f"then {two} ok"]
+    # the first, longer run has too few literals, the second enough
+    texts.append("1 2 3 4 5 6 7 8 9 10 11 12 a " + " ".join("one two three four five six seven eight nine ten".split()))
+    runs = "21 22 23 24 25 26 27 28 29 30 31 32 b one two three four five six seven eight nine ten"
+    assert held(frame, texts, [dense, sums, two, runs]) == {(0, 0), (1, 0), (2, 1), (4, 2), (5, 3)}

@@ -16,6 +16,8 @@ UNITS = "km|kg|cm|mm|mg|ml|m|g|l|lb|lbs|oz|ft|in|mi|mph|kmh|h|hr|hrs|min|s|sec|m
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 #: Up to so many candidates go to every executor, at a few dozen bytes each; more are shuffled.
 BROADCAST_ROWS = 50_000
+#: A run has so many equal words or values, however few words an item has beside its placeholders.
+LEAST = 4
 #: A character, with its marks, of a script that is written without spaces.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*+)"
 
@@ -65,9 +67,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, run: in
     Texts become templates, in which names, numbers and units are typed placeholders. The hashes of
     all windows of ``window`` tokens of the items meet those of all such windows of the documents.
     Each meeting aligns a document with an item; where templates agree, a placeholder's value in the
-    item must always be the same value in the document, or it counts as no agreement. An item is
-    held where a run of at least ``run`` tokens agrees (or all of a shorter item) with at least
-    ``least_literals`` tokens that aren't placeholders.
+    item must always be the same value in the document, or it counts as no agreement. Equal values
+    always agree and count as literals, as equal words do. An item is held where a run of at least
+    ``run`` tokens agrees (or all of a shorter item) with at least ``least_literals`` literals, or two
+    thirds of the item's words that aren't placeholders where that is less, but at least LEAST.
     ``changed_slots`` counts placeholders with other values: a re-parameterised item. Of several
     alignments of an item the one with the longest run is reported.
 
@@ -116,23 +119,24 @@ def _checked(pairs: DataFrame, window: int, run: int, least_literals: int) -> Da
     # values of the item that stand for more than one value of the document
     values = F.transform("slots", lambda x: x["a"])
     pairs = pairs.withColumn("torn", F.filter(F.array_distinct(values), lambda a: F.size(F.filter("slots", lambda x: x["a"] == a)) > 1))
-    agrees = lambda x: F.when(x["b"].isNull(), F.lit(0)).when((x["a"] == x["b"]) & ~F.array_contains("torn", x["a"]), F.lit(2) - (F.ascii(x["a"]) <= 3).cast("int")).when(slot(x) & ~F.array_contains("torn", x["a"]), F.lit(1)).otherwise(F.lit(0))
-    pairs = pairs.withColumn("agree", F.transform("both", agrees))
-    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("literal"), F.lit(0).alias("best"), F.lit(0).alias("best_literal"))
+    agrees = lambda x: F.when(x["b"].isNull(), F.lit(0)).when(x["a"] == x["b"], F.lit(2)).when(slot(x) & ~F.array_contains("torn", x["a"]), F.lit(1)).otherwise(F.lit(0))
+    words = F.size(F.filter("both", lambda x: F.ascii(x["a"]) > 3))
+    wanted = F.least(F.lit(least_literals), F.greatest(F.lit(LEAST), F.ceil(words * 2 / 3).cast("int")))
+    pairs = pairs.withColumn("agree", F.transform("both", agrees)).withColumn("wanted", wanted).withColumn("shortest", F.least(F.lit(run), F.col("item_tokens")))
+    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("literal"), F.lit(0).alias("best"))
 
     def step(s: Column, x: Column) -> Column:
         now = F.when(x > 0, s["now"] + 1).otherwise(F.lit(0))
         literal = F.when(x == 2, s["literal"] + 1).when(x == 1, s["literal"]).otherwise(F.lit(0))
-        longer = now > s["best"]
-        return F.struct(now.alias("now"), literal.alias("literal"), F.when(longer, now).otherwise(s["best"]).alias("best"), F.when(longer, literal).otherwise(s["best_literal"]).alias("best_literal"))
+        best = F.when((now >= F.col("shortest")) & (literal >= F.col("wanted")), F.greatest(now, s["best"])).otherwise(s["best"])
+        return F.struct(now.alias("now"), literal.alias("literal"), best.alias("best"))
 
-    pairs = pairs.withColumn("longest", F.aggregate("agree", state, step))
+    pairs = pairs.withColumn("longest", F.aggregate("agree", state, step, lambda s: s["best"]))
     equal = F.forall("both", lambda x: F.coalesce(_value(x["a"]) == _value(x["b"]), F.lit(False)))
-    held = (F.col("longest.best") >= F.least(F.lit(run), F.col("item_tokens"))) & (F.col("longest.best_literal") >= least_literals)
-    held = F.when(F.col("item_tokens") < window, equal).otherwise(held)
+    held = F.when(F.col("item_tokens") < window, equal).otherwise(F.col("longest") > 0)
     changed = F.size(F.filter("slots", lambda x: (x["a"] != x["b"]) & ~F.array_contains("torn", x["a"])))
     facts = F.struct(
-        F.col("longest.best").alias("run"), F.size(F.filter("agree", lambda x: x > 0)).alias("matched"), F.size("slots").alias("slots"), changed.alias("changed_slots")
+        F.when(F.col("item_tokens") < window, F.col("item_tokens")).otherwise(F.col("longest")).alias("run"), F.size(F.filter("agree", lambda x: x > 0)).alias("matched"), F.size("slots").alias("slots"), changed.alias("changed_slots")
     )
     best = pairs.where(held).groupBy("doc_id", "text_hash", "item_id", "item_tokens").agg(F.max(facts).alias("f"))
     return best.select("doc_id", "text_hash", "item_id", "f.run", "f.matched", "item_tokens", "f.slots", "f.changed_slots")
