@@ -142,3 +142,13 @@ def test_decontamination_holds_slot_dense_items(frame):
     texts.append("1 2 3 4 5 6 7 8 9 10 11 12 a " + " ".join("one two three four five six seven eight nine ten".split()))
     runs = "21 22 23 24 25 26 27 28 29 30 31 32 b one two three four five six seven eight nine ten"
     assert held(frame, texts, [dense, sums, two, runs]) == {(0, 0), (1, 0), (2, 1), (4, 2), (5, 3)}
+
+
+def test_decontamination_holds_copies_in_other_case_and_blanks(frame):
+    item = "If Anna buys 3 apples for 5 dollars each in Paris and then sells 3 apples to Bob how much money is left over"
+    names = "we saw Anna and then Bob and later Carl with Dora near Erik and also Fred by Gina then Hans"
+    texts = [t for x in (item, names) for t in (x.upper(), x.lower(), x.replace(" ", "\n"), x.replace(" ", "  "), x.replace(" ", "\u00a0"))]
+    texts.append(item.lower().replace("3", "7").replace("5", "9"))
+    docs = frame([(5, item.upper()), (5, item.upper())], "doc_id long, text string")
+    assert held(frame, texts, [item, names]) == {(i, i // 5) for i in range(10)} | {(10, 0)}
+    assert [(r.doc_id, r.run) for r in decontamination.contaminated(docs, frame([(10, item)], "item_id long, text string")).collect()] == [(5, 24)]

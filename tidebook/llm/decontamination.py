@@ -18,6 +18,8 @@ NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 BROADCAST_ROWS = 50_000
 #: A run has so many equal words or values, however few words an item has beside its placeholders.
 LEAST = 4
+#: Blanks that aren't a single space.
+OTHER_BLANKS = r"[\s\u0085\p{Z}&&[^\x20]][\s\u0085\p{Z}]*+|\x20[\s\u0085\p{Z}]++"
 #: A character, with its marks, of a script that is written without spaces.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*+)"
 
@@ -26,11 +28,12 @@ def marked_tokens(text: Column) -> Column:
     """Lower-case tokens without punctuation; names, numbers and units carry a mark before them.
 
     A name is a word within a sentence of one capital and small letters; a unit stands behind a number; a number is a run
-    of digits, so that 3.5 is two. Each character of a script without spaces is a token.
+    of digits, so that 3.5 is two. Blanks of any kind and number are one space. Each character of a script without spaces is a token.
     """
     text = F.coalesce(text, F.lit(""))
     taken = F.contains(text, F.lit(NAME)) | F.contains(text, F.lit(NUMBER)) | F.contains(text, F.lit(UNIT))
     text = F.when(taken, F.regexp_replace(text, "[\u0001-\u0003]", " ")).otherwise(text)
+    text = F.regexp_replace(text, OTHER_BLANKS, " ")
     text = F.regexp_replace(text, r"\x20(?<=[\p{L}\p{N}][,;]?\x20)(\p{Lu}[\p{Ll}\p{M}]+)(?!\p{Lu})", f" {NAME}$1")
     numbers = F.regexp_replace(text, r"(?<![\p{L}\p{N}])([0-9]++)", f"{NUMBER}$1 ")
     units = F.regexp_replace(numbers, rf"(?i)(?<=[0-9]\x20{{1,2}})({UNITS}|[%°])(?![\p{{L}}\p{{N}}])", f"{UNIT}$1")
@@ -50,25 +53,39 @@ def plain(tokens: Column) -> Column:
     return F.transform(tokens, _value)
 
 
+def folded(tokens: Column) -> Column:
+    """Marked tokens with only numbers as marks, so that neither case nor what stands before a name matters."""
+    return F.transform(tokens, lambda x: F.when(F.startswith(x, F.lit(NUMBER)), F.lit(NUMBER)).otherwise(_value(x)))
+
+
 def _value(token: Column) -> Column:
     return F.translate(token, NAME + NUMBER + UNIT, "")
 
 
-def _windows(tokens: str, window: int) -> Column:
-    """(place, hash) of every window of a column of tokens."""
-    n = F.size(tokens) - window
+def _windows(window: int, *kinds: str) -> Column:
+    """(place, hashes) of every window of columns that hold the same tokens in several forms."""
+    n = F.size(kinds[0]) - window
     places = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(tokens, i + 1, window)).alias("hash")))
+    hashes = lambda i: [F.xxhash64(F.slice(k, i + 1, window)) for k in kinds]
+    return F.transform(places, lambda i: F.struct(i.alias("place"), F.array(*hashes(i)).alias("hashes")))
+
+
+def _met(tokens: DataFrame, windows: Column, place: str, *names: str) -> DataFrame:
+    """The names, place and each different hash of all windows."""
+    rows = tokens.select(*names, F.explode(windows).alias("w"))
+    return rows.select(*names, F.col("w.place").alias(place), F.explode(F.array_distinct("w.hashes")).alias("hash"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, run: int = 10, least_literals: int = 7) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, text_hash, item_id, run, matched, item_tokens, slots, changed_slots.
 
     Texts become templates, in which names, numbers and units are typed placeholders. The hashes of
-    all windows of ``window`` tokens of the items meet those of all such windows of the documents.
+    all windows of ``window`` tokens of the items meet those of all such windows of the documents,
+    and so do the windows of lower-case words in which only numbers are placeholders, as a name
+    may be untyped in one of the texts.
     Each meeting aligns a document with an item; where templates agree, a placeholder's value in the
     item must always be the same value in the document, or it counts as no agreement. Equal values
-    always agree and count as literals, as equal words do. An item is held where a run of at least
+    always agree and count as literals, as equal words do, whether typed or not. An item is held where a run of at least
     ``run`` tokens agrees (or all of a shorter item) with at least ``least_literals`` literals, or two
     thirds of the item's words that aren't placeholders where that is less, but at least LEAST.
     ``changed_slots`` counts placeholders with other values: a re-parameterised item. Of several
@@ -85,7 +102,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, run: in
     items = benchmark.select("item_id", marked_tokens(F.col("text")).alias("item")).where(F.size("item") > 0)
     items = cut(items.distinct().withColumn("number", F.xxhash64("item_id", "item")))
     short = F.size("item") < window
-    keys = items.where(~short).select("number", canonical(F.col("item")).alias("template")).select("number", F.explode(_windows("template", window)).alias("w")).select("number", F.col("w.place").alias("at"), F.col("w.hash").alias("hash"))
+    keys = items.where(~short).select("number", canonical(F.col("item")).alias("template"), folded(F.col("item")).alias("folded"))
+    keys = _met(keys, _windows(window, "template", "folded"), "at", "number")
     whole = items.where(short).select("number", F.lit(0).alias("at"), F.xxhash64(plain(F.col("item"))).alias("hash"))
     keys = cut(keys.union(whole).join(items.select("number", short.alias("short")), "number"))
     lengths = sorted(r[0] for r in items.where(short).select(F.size("item")).distinct().collect())
@@ -93,9 +111,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, run: in
         keys = F.broadcast(keys)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("text"))
     named = read.select("doc_id", F.xxhash64("text").alias("text_hash"), marked_tokens(F.col("text")).alias("tokens"))
-    named = named.select("doc_id", "text_hash", canonical(F.col("tokens")).alias("template"), plain(F.col("tokens")).alias("plain"))
-    windows = F.concat(_windows("template", window), *[_windows("plain", n) for n in lengths])
-    met = named.select("doc_id", "text_hash", F.explode(windows).alias("w")).select("doc_id", "text_hash", F.col("w.place").alias("place"), F.col("w.hash").alias("hash"))
+    forms = [canonical(F.col("tokens")).alias("template"), folded(F.col("tokens")).alias("folded")] + ([plain(F.col("tokens")).alias("plain")] if lengths else [])
+    windows = F.concat(_windows(window, "template", "folded"), *[_windows(n, "plain") for n in lengths])
+    met = _met(named.select("doc_id", "text_hash", *forms), windows, "place", "doc_id", "text_hash")
     aligned = met.join(keys, "hash").select("doc_id", "text_hash", "number", "short", (F.col("place") - F.col("at")).alias("shift"))
     # the places of a short item are all alike
     aligned = aligned.groupBy("doc_id", "text_hash", "number", F.when(~F.col("short"), F.col("shift")).alias("_at")).agg(F.min("shift").alias("shift"))
@@ -119,7 +137,7 @@ def _checked(pairs: DataFrame, window: int, run: int, least_literals: int) -> Da
     # values of the item that stand for more than one value of the document
     values = F.transform("slots", lambda x: x["a"])
     pairs = pairs.withColumn("torn", F.filter(F.array_distinct(values), lambda a: F.size(F.filter("slots", lambda x: x["a"] == a)) > 1))
-    agrees = lambda x: F.when(x["b"].isNull(), F.lit(0)).when(x["a"] == x["b"], F.lit(2)).when(slot(x) & ~F.array_contains("torn", x["a"]), F.lit(1)).otherwise(F.lit(0))
+    agrees = lambda x: F.when(x["b"].isNull(), F.lit(0)).when(_value(x["a"]) == _value(x["b"]), F.lit(2)).when(slot(x) & ~F.array_contains("torn", x["a"]), F.lit(1)).otherwise(F.lit(0))
     words = F.size(F.filter("both", lambda x: F.ascii(x["a"]) > 3))
     wanted = F.least(F.lit(least_literals), F.greatest(F.lit(LEAST), F.ceil(words * 2 / 3).cast("int")))
     pairs = pairs.withColumn("agree", F.transform("both", agrees)).withColumn("wanted", wanted).withColumn("shortest", F.least(F.lit(run), F.col("item_tokens")))
