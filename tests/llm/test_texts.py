@@ -122,3 +122,10 @@ def test_pages(frame):
     assert texts[205] == "Own text of page 5, which is the longest part" and texts[300] == "Kept"
     assert all(r.n_chars == len(r.text) for r in found)
     assert html_text.extract(frame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_unusable_rows_do_not_thin_a_language(spark, frame):
+    real = frame([(i, f"satu dua tiga {'abcdefghij'[i % 10] * 3}", "id") for i in range(300)], "doc_id long, text string, lang string")
+    many = spark.range(400_000).selectExpr("if(id % 2 = 0, 1000, id + 5000) as doc_id", "if(id % 2 = 0, 'empat lima', if(id % 4 = 1, null, '12 3')) as text", "'id' as lang")
+    one = frame([(1000, "empat lima", "id")], "doc_id long, text string, lang string")
+    assert language_id.learn(real.union(many)) == language_id.learn(real.union(one))

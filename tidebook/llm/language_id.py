@@ -137,16 +137,17 @@ def learn(docs: DataFrame, sample_chars: int = 100_000, piece_chars: int = 2_000
     most, so that a long document is not a language's whole sample. These two parameters bound what is
     fitted on. Rows without text, letters, language or id are passed over, and so are repeated
     rows, which share one hash: of the rows of one id and language the smallest piece is taken.
+    A language's ids are counted over usable rows only, so none of the others thins its sample.
     """
-    docs = docs.where("lang is not null and doc_id is not null")
+    docs = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike("\\p{L}"))
     rows = 4 * math.ceil(sample_chars / piece_chars) + 400
-    counts = cut(docs.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n")))
+    counts = cut(docs.groupBy(F.col("lang").alias("_lang")).agg(F.approx_count_distinct("doc_id", 0.02).alias("_n")))
     if counts.count() <= BROADCAST_LANGUAGES:  # or all texts of a language would meet in one task
         counts = F.broadcast(counts)
     place = unit(F.lit(seed), F.col("doc_id").cast("string"))
-    # hashes are even, so three times the rows that are needed lie below this bound at any size
+    # hashes are even and the count is off by a few percent, so three times the ids that are needed lie about below this bound at any size
     early = docs.select("doc_id", "lang", "text", place.alias("_h")).join(counts, F.col("lang") == F.col("_lang")).where(F.col("_h") * F.col("_n") <= 3 * rows)
-    usable = early.where(F.col("text").isNotNull() & F.col("text").rlike("\\p{L}")).select("lang", "_h", F.substring("text", 1, piece_chars).alias("piece"))
+    usable = early.select("lang", "_h", F.substring("text", 1, piece_chars).alias("piece"))
     usable = usable.groupBy("lang", "_h").agg(F.min("piece").alias("piece"))
     first = usable.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "piece"))).where(F.col("_r") <= rows)
     pieces = first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("_r", "piece"))).alias("p")).collect()
