@@ -129,3 +129,10 @@ def test_unusable_rows_do_not_thin_a_language(spark, frame):
     many = spark.range(400_000).selectExpr("if(id % 2 = 0, 1000, id + 5000) as doc_id", "if(id % 2 = 0, 'empat lima', if(id % 4 = 1, null, '12 3')) as text", "'id' as lang")
     one = frame([(1000, "empat lima", "id")], "doc_id long, text string, lang string")
     assert language_id.learn(real.union(many)) == language_id.learn(real.union(one))
+
+
+def test_section_template_goes_on_a_large_host(frame):
+    own = "<article><h1>T {i}</h1><p>Own text of page {i}, longer than what stands beside it</p>{menu}</article>"
+    rows = [(i, "http://big.org/a", own.format(i=i, menu="<div>Read in this section</div>" if i < 30 else f"<div>{i} seen</div>")) for i in range(3000)]
+    texts = {r.page_id: r.text for r in html_text.extract(frame(rows, "page_id long, url string, html string")).collect()}
+    assert not any("section" in x for x in texts.values()) and all(f"{i} seen" in texts[i] for i in range(30, 3000))

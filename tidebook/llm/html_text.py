@@ -236,12 +236,13 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.02) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 8) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
     Every element's subtree is hashed over names and texts; hashes are counted per host over pages
     of different content, so that copies of a page count once. A subtree on at least ``min_pages``
-    such pages and ``min_share`` of the host's is template and is deleted there. What its name,
+    such pages is template and is deleted there; on hosts with more than 1,000 pages it takes as many
+    again for every further power of ten, as chance repeats grow, so 32 pages of a million. What its name,
     role, class or id marks as menu, notice, advert, form, comment or the like goes everywhere, as
     hosts with few pages have no statistics. Where a page has an article (else a main element) only
     that is text; its paragraphs and any subtree of more than half of it are never template.
@@ -255,7 +256,7 @@ def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.02) -> Da
     per_content = seen.select("host", "subtree", "content").distinct()
     hosts = per_content.groupBy("host", "content").agg(F.lit(1).alias("_one")).groupBy("host").agg(F.count("_one").alias("pages"))
     counted = per_content.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    template = counted.join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "subtree")
+    template = counted.join(hosts, "host").where(F.col("n") >= F.greatest(F.lit(1.0), F.log10("pages") - 2) * min_pages).select("host", "subtree")
     found = seen.select("page_id", "host", "subtree").join(template, ["host", "subtree"]).groupBy("page_id", "host").agg(F.collect_set("subtree").alias("template"))
     found = found.select(F.col("page_id").alias("_page"), F.col("host").alias("_host"), "template")
     whole = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
