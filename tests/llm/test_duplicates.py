@@ -152,3 +152,13 @@ def test_decontamination_holds_copies_in_other_case_and_blanks(frame):
     docs = frame([(5, item.upper()), (5, item.upper())], "doc_id long, text string")
     assert held(frame, texts, [item, names]) == {(i, i // 5) for i in range(10)} | {(10, 0)}
     assert [(r.doc_id, r.run) for r in decontamination.contaminated(docs, frame([(10, item)], "item_id long, text string")).collect()] == [(5, 24)]
+
+
+def test_texts_of_one_id_are_linked_and_kept_each(frame):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(7, one), (7, two), (7, two), (7, two.upper().replace(" ", "\n")), (7, three), (8, one), (9, two + " end"), (3, three + " end"), (7, None), (7, "")]
+    docs = frame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.class_id, r.n_links, r.component_id, r.kept) for r in ngram_join.similar_documents(docs).collect()]
+    assert sorted(found) == sorted([(7, 7, 0, 7, True), *[(7, 7, 1, 7, True)] * 3, (7, 7, 1, 3, False), (8, 7, 0, 7, False), (9, 9, 1, 7, False), (3, 3, 1, 3, True), *[(7, 7, 0, 7, True)] * 2])
+    kept = [(r.doc_id, (r.text or "").lower().split()) for r in ngram_join.keep_one(docs).collect()]
+    assert sorted(kept) == sorted([(7, one.split()), (7, two.split()), (3, rows[7][1].split()), (7, [])])

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import cut, free_name
@@ -88,7 +88,7 @@ def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, counts, drawn = [], [], np.zeros((batch.num_rows, DRAWS), np.int32)
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(2)):
                 plain = normalised(text.as_py())
                 hashes = shingles(plain, words)
                 digests.append(xxhash.xxh3_128_digest(plain))
@@ -96,7 +96,7 @@ def _describe(words: int):
                 if len(hashes):
                     drawn[i] = draws(hashes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, drawn.size + 1, DRAWS), pa.int32()), pa.array(drawn.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), lists], names=["doc_id", "digest", "n", "draws"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), lists], names=["doc_id", "text_hash", "digest", "n", "draws"])
 
     return run
 
@@ -189,7 +189,7 @@ def _verify(words: int, threshold: float):
         nodes, links, towards = [], [], []
         for block in runs_of(batches, 3):
             reps, sides = block.column(3).to_numpy(), block.column(4).to_numpy()
-            keep = np.concatenate(([True], reps[1:] != reps[:-1]))  # an id with several texts
+            keep = np.concatenate(([True], reps[1:] != reps[:-1]))  # repeated rows
             sets = [shingles(normalised(x.as_py()), words) if k else None for x, k in zip(block.column(5), keep, strict=True)]
             sets = [x for x in sets if x is not None]
             reps, sides = reps[keep], sides[keep]
@@ -214,51 +214,72 @@ def _verify(words: int, threshold: float):
 
 
 def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999, seed: int = 8) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, component_id, kept.
+    """One row per document: doc_id, class_id, n_links, component_id, kept, digest.
 
     Texts in lower case with the same words in the same order are one class, named by its smallest
-    doc_id. Two classes are linked if their sets of runs of ``words`` words (a shorter text is one
+    doc_id and the digest of its words, as an id may stand for several texts. Two classes are linked if their sets of runs of ``words`` words (a shorter text is one
     run) have Jaccard similarity ``threshold`` or more; ``n_links`` counts the classes linked to
     that of the document, ``component_id`` is the smallest doc_id reachable by links, and kept is
-    true for it. Chosen paths find what may be linked, joining two classes at the threshold with
+    true for its text there (of several texts of that id in one component, for that of the smallest digest). Chosen paths find what may be linked, joining two classes at the threshold with
     probability ``recall`` or more; what they join into a component is then compared exactly, all
     pairs, block by block. So no link is false, and no cap is set on classes, buckets or components.
 
     Null texts, and texts without words, are linked with nothing and kept; so are rows without a
-    doc_id, which get null ids. Repeated rows get equal rows; an id with several texts stands for
-    one of them in the comparison. An empty table gives no rows; other columns are not read.
+    doc_id, which get null ids. Repeated rows get equal rows; each text of an id is compared and
+    linked for itself. An empty table gives no rows; other columns are not read.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    described = cut(read.mapInArrow(_describe(words), "doc_id long, digest binary, n int, draws array<int>"))
+    return _similar(docs, words, threshold, recall, seed).drop("text_hash")
+
+
+def _similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999, seed: int = 8) -> DataFrame:
+    """The same with text_hash, the hash of the row's text in lower case."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("text_hash"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    described = cut(read.mapInArrow(_describe(words), "doc_id long, text_hash long, digest binary, n int, draws array<int>"))
     usable = described.where("doc_id is not null and n > 0")
-    classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("draws").alias("draws")))
-    sets = classes.select("rep", "draws")
+    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("draws").alias("draws"))
+    # numbers of the classes within this run; stored, so that every use reads the same
+    classes = cut(classes.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "draws", F.monotonically_increasing_id().alias("node")))
+    sets = classes.select(F.col("node").alias("rep"), "draws")
     near = components(candidate_links(sets, threshold, recall, seed))
     sizes = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = cut(near.join(sizes, "component").select(F.col("node").alias("rep"), "component", "blocks"))
+    members = near.join(sizes, "component").join(classes.select("node", F.col("rep").alias("_id"), F.col("rep_hash").alias("_h")), "node")
+    members = cut(members.select(F.col("node").alias("rep"), "component", "blocks", "_id", "_h"))
     some = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    texts = read.join(some, read["doc_id"] == some["rep"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    texts = read.join(some, (F.col("doc_id") == F.col("_id")) & (F.col("text_hash") == F.col("_h"))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     sent = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "text")
     dealt = sent.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
     checked = cut(dealt.mapInArrow(_verify(words, threshold), "rep long, links long, towards long"))
-    links = checked.groupBy("rep").agg(F.sum("links").alias("n_links"))
+    links = checked.groupBy("rep").agg(F.sum("links").alias("n_links")).select(F.col("rep").alias("_node"), "n_links")
     groups = components(checked.where("links > 0"), "rep", "towards")
-    of_class = classes.select("digest", "rep").join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    of_class = of_class.select(F.col("digest").alias("_d"), F.col("rep"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    named = classes.select("node", F.struct("rep", "digest").alias("name"))
+    heads = groups.join(named, "node").groupBy("component").agg(F.min("name").alias("head"))
+    heads = cut(heads)
+    if heads.count() <= BROADCAST_ROWS:  # or a large component would meet in one task
+        heads = F.broadcast(heads)
+    groups = groups.join(heads, "component").select(F.col("node").alias("_member"), "head")
+    of_class = classes.join(links, F.col("node") == F.col("_node"), "left").join(groups, F.col("node") == F.col("_member"), "left")
+    of_class = of_class.select(F.col("digest").alias("_d"), F.col("rep"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("head", F.struct("rep", "digest")).alias("head"))
     out = described.join(of_class, (F.col("digest") == F.col("_d")) & F.col("doc_id").isNotNull() & (F.col("n") > 0), "left")
-    alone = F.coalesce("component", "doc_id")
+    kept = F.coalesce((F.col("doc_id") == F.col("head.rep")) & (F.col("digest") == F.col("head.digest")), F.lit(True))
     return out.select(
-        "doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.lit(True)).alias("kept")
+        "doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("head.rep", "doc_id").alias("component_id"), kept.alias("kept"), F.lower(F.hex("digest")).alias("digest"), "text_hash"
     )
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.lower(F.coalesce(text, F.lit(""))))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, as it is; repeated rows of one id leave one of them."""
-    found = similar_documents(docs, **options)
-    name, rows = free_name(docs.columns, "_id"), free_name(docs.columns, "_rows")
-    kept = cut(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias(rows)))
-    staying = docs.join(kept, docs["doc_id"] == kept[name])
-    single = staying.where(F.col(rows) == 1).drop(name, rows)
-    repeated = staying.where(F.col(rows) > 1).drop(name, rows).dropDuplicates(["doc_id"])
+    """One document of each group, as it is; repeated rows of one id and text leave one of them."""
+    found = _similar(docs, **options)
+    name, text, rows = free_name(docs.columns, "_id"), free_name(docs.columns, "_text"), free_name(docs.columns, "_rows")
+    found = found.where("kept and doc_id is not null").groupBy("doc_id", "digest", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    # the texts of an id that differ in blanks only are one
+    found = found.groupBy("doc_id", "digest").agg(F.min(F.struct("text_hash", "rows")).alias("x"))
+    kept = cut(found.select(F.col("doc_id").alias(name), F.col("x.text_hash").alias(text), F.col("x.rows").alias(rows)))
+    staying = docs.join(kept, (docs["doc_id"].cast("long") == kept[name]) & (_text_hash(docs["text"]) == kept[text]))
+    single = staying.where(F.col(rows) == 1).drop(name, text, rows)
+    repeated = staying.where(F.col(rows) > 1).dropDuplicates([name, text]).drop(name, text, rows)
     return single.union(repeated).union(docs.where("doc_id is null"))
