@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontamination, embedding_dedup, html_text, language_id, mixing, ngram_join, pii, quality, sharding, token_counts
+from tidebook.llm import (
+    collocations,
+    conversation,
+    decontamination,
+    embedding_dedup,
+    html_text,
+    language_id,
+    mixing,
+    ngram_join,
+    pii,
+    quality,
+    sharding,
+    token_counts,
+    toxicity,
+)
 from tidebook.llm.common import table
 
 SHARDS = 16
@@ -74,6 +88,25 @@ def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by voters and labels outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held = language_id.held_out(F.col("doc_id"), 4, 2)
+    scores = toxicity.toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held))
+    return scores.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage by checksum."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversation.repair_report(rows, conversation.damaged(rows))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"), support=100, most=2000)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -87,6 +120,9 @@ QUERIES: dict[str, Query] = {
         op8_chosen_path_join,
         op9_template_decontamination,
         op10_cross_parsing_language,
+        op11_weak_toxicity,
+        op12_conversation_repair,
+        op13_phrase_collocations,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_source_mix": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_source_mix": mixing.SQL, "op13_phrase_collocations": collocations.SQL}
