@@ -16,7 +16,7 @@ CORE = (
     "category_ranking robustness product_ranking line_week top_products_month peak_keys business_impact category_uplift "
     "large_by_week bf_window large_category_mix early_warning_scorecard spearman_importance forecast_holdout geo_trim zip3_revenue "
     "seller_customer_distance daily_resample review_delivery_imputed category_share_by_score full_outer_base freight_by_region "
-    "items_score_crosstab freight_glm"
+    "items_score_crosstab freight_glm column_profile column_kinds merged_payment_share payment_quantiles delivery_knn order_clusters_check"
 ).split()
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()

@@ -3,8 +3,9 @@
 The built-in ``percentile`` merges a map of all distinct values of a group into a single
 task. Here the values are counted per (group, bucket, value) with a map-side combine; the
 small bucket histogram tells which bucket holds a wanted rank, and only those buckets are
-ordered. A bucket spans 1/4096 of a natural-log unit, so their number is bounded by the
-range of a double, not by the row count.
+looked into. A bucket spans 1/4096 of a natural-log unit, so their number is bounded by the
+range of a double, not by the row count. A wanted bucket is split again into equal parts of its own
+range, so that values close to each other still spread, and only the wanted parts are ordered.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BUCKETS_PER_UNIT = 4096
+PARTS = 1024
 
 
 def _bucket(x: Column) -> Column:
@@ -46,19 +48,19 @@ def exact_percentiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequen
     upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     hist = (
         counts.groupBy(*keys, "_b")
-        .agg(F.sum("_n").alias("_bn"))
+        .agg(F.sum("_n").alias("_bn"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
         .withColumn("_end", F.sum("_bn").over(upto))
         .withColumn("_total", F.sum("_bn").over(W.partitionBy(*keys)))
     )
     wanted = hist.select(
-        *keys, "_b", (F.col("_end") - F.col("_bn")).alias("_before"), "_end", "_total",
+        *keys, "_b", (F.col("_end") - F.col("_bn")).alias("_before"), "_end", "_total", "_low", "_high",
         F.explode(F.array(*[F.lit(q) for q in qs])).alias("q"),
     ).withColumn("_pos", F.col("q") * (F.col("_total") - 1))
     lower = F.floor("_pos")
     upper = F.ceil("_pos")
     holds = lambda rank: (rank >= F.col("_before")) & (rank < F.col("_end"))
     wanted = wanted.where(holds(lower) | holds(upper)).select(
-        *keys, "_b", "_before", "q", "_pos", lower.alias("_lo"), upper.alias("_hi")
+        *keys, "_b", "_before", "_low", "_high", "q", "_pos", lower.alias("_lo"), upper.alias("_hi")
     )
     if not by:
         wanted = F.broadcast(wanted)  # at most two rows per requested quantile
@@ -67,10 +69,23 @@ def exact_percentiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequen
     for k in keys:
         on = on & F.col(f"c.{k}").eqNullSafe(F.col(f"w.{k}"))
     near = left.join(right, on).select(
-        *[F.col(f"w.{k}").alias(k) for k in keys], F.col("w._b").alias("_b"), "q", "_x", "_n", "_before", "_pos", "_lo", "_hi"
+        *[F.col(f"w.{k}").alias(k) for k in keys], F.col("w._b").alias("_b"), "q", "_x", "_n", "_before", "_pos", "_lo", "_hi",
+        F.coalesce(F.floor(F.try_divide((F.col("_x") - F.col("_low")) * PARTS, F.col("_high") - F.col("_low"))), F.lit(0)).alias("_s"),
     )
-    inside = W.partitionBy(*keys, "q", "_b").orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = near.withColumn("_stop", F.col("_before") + F.sum("_n").over(inside)).withColumn(
+    # the parts of a bucket in order, and those of them that hold a wanted rank
+    group = [*keys, "q", "_b"]
+    upto = W.partitionBy(*group).orderBy("_s").rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = near.groupBy(*group, "_s").agg(F.sum("_n").alias("_sn"), *[F.first(c).alias(c) for c in ("_before", "_lo", "_hi")])
+    parts = parts.withColumn("_end", F.col("_before") + F.sum("_sn").over(upto)).withColumn("_before", F.col("_end") - F.col("_sn"))
+    parts = parts.where(holds(F.col("_lo")) | holds(F.col("_hi"))).select(*group, "_s", "_before")
+    if not by:
+        parts = F.broadcast(parts)  # as few
+    left, right = near.drop("_before").alias("n"), parts.alias("p")
+    on = (F.col("n.q") == F.col("p.q")) & (F.col("n._b") == F.col("p._b")) & (F.col("n._s") == F.col("p._s"))
+    for k in keys:
+        on = on & F.col(f"n.{k}").eqNullSafe(F.col(f"p.{k}"))
+    inside = W.partitionBy(*group, "_s").orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = left.join(right, on).select("n.*", "p._before").withColumn("_stop", F.col("_before") + F.sum("_n").over(inside)).withColumn(
         "_start", F.col("_stop") - F.col("_n")
     )
     at = lambda rank: F.max(F.when((F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_stop")), F.col("_x")))

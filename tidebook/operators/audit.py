@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidebook.functions.quantiles import percentile_columns
 
@@ -19,17 +18,20 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 def audit_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     """rows, columns, duplicate_rows, missing_cells and the column list of every table.
 
-    Equal rows are combined first (nulls equal nulls); all counts follow from the multiplicities.
+    Only a hash of each row is shuffled; whole rows are compared (nulls equal nulls) where several
+    share a hash.
     """
 
     def one(name: str, df: DataFrame) -> DataFrame:
-        distinct = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+        hashed = df.withColumn("_h", F.xxhash64(*df.columns))
+        shared = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
+        equal = hashed.join(shared, "_h", "left_semi").groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+        duplicates = equal.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("d")).scalar()
         missing = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in df.columns])
-        return distinct.agg(
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
-            F.coalesce(F.sum(missing * F.col("_n")), F.lit(0)).alias("missing_cells"),
-        ).select(
+        return df.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells"),
+        ).withColumn("duplicate_rows", duplicates).select(
             F.lit(name).alias("table"),
             "rows",
             F.lit(len(df.columns)).cast("long").alias("columns"),
@@ -93,63 +95,6 @@ def year_month_matrix(orders: DataFrame, ts: str = "order_purchase_timestamp") -
     return wide.na.fill(0).select("year", *[F.col(str(m)).alias(f"m{m:02d}") for m in range(1, 13)])
 
 
-def _as_text(df: DataFrame) -> list[Column]:
-    return [F.col(c).cast("string").alias(c) for c in df.columns]
-
-
-def column_profile(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Per column: dtype, missing, distinct values, first three values, base-2 entropy.
-
-    "First" rows are those lowest in ``order_by``. Entropy is log2(N) - sum(c log2 c)/N over
-    the value counts, which combine map-side however skewed a value is.
-    """
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    text = df.select(*_as_text(df))
-    counts = text.unpivot([], df.columns, "name", "value").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-    known = F.col("value").isNotNull()
-    n = F.when(known, F.col("n"))
-    total = F.sum(n).cast("double")
-    profile = counts.groupBy("name").agg(
-        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("missing"),
-        F.count("value").alias("uniques"),
-        (F.log2(total) - F.sum(n * F.log2(n.cast("double"))) / total).alias("entropy"),
-    )
-    head = df.orderBy(*order_by).limit(3).select(*_as_text(df), F.lit(0).alias("_g"))
-    position = F.row_number().over(_one_partition(order_by, df))
-    head = head.withColumn("_p", position)
-    firsts = head.unpivot(["_p"], df.columns, "name", "value").groupBy("name").agg(
-        *[F.max(F.when(F.col("_p") == i, F.col("value"))).alias(f"{word}_value") for i, word in enumerate(("first", "second", "third"), 1)]
-    )
-    dtype = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])[F.col("name")]
-    return profile.join(firsts, "name").select(
-        "name", dtype.alias("dtype"), "missing", "uniques", "first_value", "second_value", "third_value", "entropy"
-    )
-
-
-def _one_partition(order_by: Sequence[str], df: DataFrame):
-    # The three head rows only; cast back so that numbers order as numbers.
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_g").orderBy(*[F.col(c).cast(df.schema[c].dataType) for c in order_by])
-
-
-def column_kinds(df: DataFrame, ids: Sequence[str], categorical_max: int = 27) -> DataFrame:
-    """Split columns into id, binary, categorical (few values) and numeric by cardinality.
-
-    Distinct values are counted through one long (column, value) grouping instead of one
-    distinct aggregate per column.
-    """
-    text = df.select(*_as_text(df)).unpivot([], df.columns, "name", "value")
-    uniques = text.groupBy("name", "value").agg(F.lit(1).alias("one")).groupBy("name").agg(F.count("value").alias("uniques"))
-    kind = (
-        F.when(F.col("uniques") == 2, "binary")
-        .when(F.col("uniques") <= categorical_max, "categorical")
-        .when(F.col("name").isin(list(ids)), "id")
-        .otherwise("numeric")
-    )
-    return uniques.withColumn("kind", kind)
-
-
 def count_describe(df: DataFrame, key: str) -> DataFrame:
     """describe() of the number of rows per key: count, mean, std, min, quartiles, max."""
     sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("size"))

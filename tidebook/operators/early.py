@@ -10,8 +10,9 @@ from tidebook.functions.scalar import safe_div, share_true, sum0
 from tidebook.functions.stats import percent_rank_avg, row_mean
 from tidebook.operators.enrich import CATEGORY, UNKNOWN
 from tidebook.operators.granularity import category_items
-from tidebook.operators.seasonality import eligible
+from tidebook.operators.seasonality import distinct_states, eligible
 
+# Names of the features.
 EARLY_COLUMNS = (
     CATEGORY, "month", "year", "is_delivered", "order_id", "price", "payment_installments", "freight_share",
     "review_score", "customer_state", "seller_state",
@@ -65,8 +66,8 @@ def h1_features(enriched: DataFrame, daily: DataFrame, year: int = 2017) -> Data
         share_true(F.col("payment_installments") >= 6).alias("h1_share_installments_6_plus"),
         F.avg("freight_share").alias("h1_freight_share"),
         F.avg("review_score").alias("h1_avg_review_score"),
-        F.countDistinct("customer_state").alias("h1_customer_state_nunique"),
-        F.countDistinct("seller_state").alias("h1_seller_state_nunique"),
+        distinct_states("customer_state").alias("h1_customer_state_nunique"),
+        distinct_states("seller_state").alias("h1_seller_state_nunique"),
     )
     return measured.join(h1_patterns(daily, year), "category", "left").select("category", *FEATURES)
 

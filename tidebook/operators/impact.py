@@ -13,10 +13,10 @@ from pyspark.sql import Window as W
 
 from tidebook.functions.quantiles import percentile_scalar
 from tidebook.functions.scalar import safe_div, share_true, sum0
-from tidebook.operators.enrich import CATEGORY, delivered
+from tidebook.operators.enrich import CATEGORY, UNKNOWN, delivered
 from tidebook.operators.granularity import category_items
 from tidebook.operators.metrics import order_payments
-from tidebook.operators.seasonality import eligible
+from tidebook.operators.seasonality import eligible, orders_by_month
 from tidebook.sources.settle import small_side
 
 PEAK, NORMAL = "peak_months", "normal_months"
@@ -97,9 +97,12 @@ IMPACT_METRICS = {
 
 
 def business_impact(
-    enriched: DataFrame, ranking: DataFrame, monthly: DataFrame, payments: DataFrame | None = None
+    enriched: DataFrame, ranking: DataFrame, monthly: DataFrame, daily: DataFrame, payments: DataFrame | None = None
 ) -> DataFrame:
-    """Mean category-month in peak and normal months, all years, one row per metric."""
+    """Mean category-month in peak and normal months, all years, one row per metric.
+
+    Distinct orders are added up from the daily table, so the items combine before they are shuffled.
+    """
     source = order_payments(enriched) if payments is None else payments
     p90 = percentile_scalar(source, "payment_value", 0.9)
     by_month = (
@@ -107,7 +110,6 @@ def business_impact(
         .withColumn("_p90", p90)
         .groupBy(F.col(CATEGORY).alias("category"), "month")
         .agg(
-            F.countDistinct("order_id").alias("orders_count"),
             F.count("order_item_id").alias("items_sold"),
             sum0("price").alias("revenue"),
             F.avg("payment_value").alias("avg_order_value"),
@@ -121,7 +123,8 @@ def business_impact(
             share_true(F.col("is_low_review")).alias("share_low_reviews"),
         )
     )
-    periods = with_period(by_month, ranking, monthly).groupBy("period_type").agg(
+    counted = with_period(by_month, ranking, monthly).join(orders_by_month(daily), ["category", "month"])
+    periods = counted.groupBy("period_type").agg(
         *[F.avg(source).alias(metric) for metric, source in IMPACT_METRICS.items()]
     )
     tall = periods.unpivot(["period_type"], list(IMPACT_METRICS), "metric", "value")
@@ -144,7 +147,18 @@ UPLIFT_METRICS = (
 )
 
 
-def impact_by_month(enriched: DataFrame, ranking: DataFrame, monthly: DataFrame, year: int = 2017) -> DataFrame:
+def labelled_orders_by_month(items: DataFrame, daily: DataFrame, year: int) -> DataFrame:
+    """Distinct orders per (category, month) with unnamed categories pooled.
+
+    Named categories add up from the daily table. The pool may hold an order under no category
+    and under the pool's name, so its orders are counted from its own items.
+    """
+    named = orders_by_month(daily.where(F.col("category") != UNKNOWN), year)
+    pooled = items.where(F.col("category") == UNKNOWN).groupBy("category", "month").agg(F.countDistinct("order_id").alias("orders_count"))
+    return named.unionByName(pooled)
+
+
+def impact_by_month(enriched: DataFrame, ranking: DataFrame, monthly: DataFrame, daily: DataFrame, year: int = 2017) -> DataFrame:
     """Category-months of one year with their period and eight measures."""
     items = category_items(enriched, year)
     p90 = percentile_scalar(items, "price", 0.9)
@@ -152,7 +166,6 @@ def impact_by_month(enriched: DataFrame, ranking: DataFrame, monthly: DataFrame,
         items.withColumn("_p90", p90)
         .groupBy("category", "month")
         .agg(
-            F.countDistinct("order_id").alias("orders_count"),
             F.count("order_item_id").alias("items_sold"),
             sum0("price").alias("revenue"),
             F.avg("price").alias("avg_item_price"),
@@ -161,9 +174,9 @@ def impact_by_month(enriched: DataFrame, ranking: DataFrame, monthly: DataFrame,
             F.avg("delivery_time_days").alias("avg_delivery_time_days"),
             F.avg("review_score").alias("avg_review_score"),
         )
-        .withColumn("items_per_order", safe_div("items_sold", "orders_count"))
     )
-    return with_period(by_month, ranking, monthly)
+    counted = with_period(by_month, ranking, monthly).join(labelled_orders_by_month(items, daily, year), ["category", "month"])
+    return counted.withColumn("items_per_order", safe_div("items_sold", "orders_count"))
 
 
 def category_uplift(by_month: DataFrame) -> DataFrame:

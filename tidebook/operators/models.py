@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidebook.functions.quantiles import percentile_columns
 from tidebook.functions.scalar import safe_div, time_between, whole_days
+from tidebook.operators import neighbours
 from tidebook.sources.settle import settle
 
 FOLDS = 10
@@ -23,14 +26,15 @@ CATEGORICAL = ("geolocation_state_customer", "geolocation_state_seller", "year",
 NUMERIC = ("distance", "product_size_cm3", "product_weight_g")
 
 
-def with_folds(data: DataFrame, day: str, key: str, folds: int = FOLDS) -> DataFrame:
-    """Contiguous folds of equal size in the order (day, hash of the key, key).
+def with_folds(data: DataFrame, day: str, key: str, folds: int = FOLDS, bucket: Column | None = None) -> DataFrame:
+    """Contiguous folds of equal size in the order (day, bucket, key); the bucket is a hash of the key unless given.
 
     The global position is the offset of a small (day, hash bucket) group plus the position
     inside it. A busy day spreads over 4096 buckets, so no window partition grows with the
     data of one day, and the offsets come from the group counts alone.
     """
-    parts = data.withColumns({"_d": F.to_date(day), "_b": F.pmod(F.xxhash64(key), F.lit(POSITION_BUCKETS)).cast("int")})
+    bucket = F.pmod(F.xxhash64(key), F.lit(POSITION_BUCKETS)) if bucket is None else bucket
+    parts = data.withColumns({"_d": F.to_date(day), "_b": bucket.cast("int")})
     sizes = parts.groupBy("_d", "_b").agg(F.count(F.lit(1)).alias("_n"))
     days = sizes.groupBy("_d").agg(F.sum("_n").alias("_dn"))
     before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
@@ -58,29 +62,121 @@ def _delivery_vectors() -> Pipeline:
     return Pipeline(stages=[index, onehot, raw, scaled, features])
 
 
-def delivery_matrix(data: DataFrame, folds: int = FOLDS) -> DataFrame:
+def delivery_matrix(data: DataFrame, folds: int = FOLDS, bucket: Column | None = None) -> DataFrame:
     """(order_id, wait_time, count, fold, features): one-hot places and dates, min-max sizes."""
-    ready = with_folds(data, "order_purchase_timestamp", "order_id", folds).withColumns(
+    ready = with_folds(data, "order_purchase_timestamp", "order_id", folds, bucket).withColumns(
         {f"_s_{c}": F.col(c).cast("string") for c in CATEGORICAL}
     )
     model = _delivery_vectors().fit(ready)
-    return model.transform(ready).select("order_id", F.col("wait_time").cast("double").alias("wait_time"), "count", "fold", "features")
+    return model.transform(ready).select("order_id", F.col("wait_time").cast("double").alias("wait_time"), "count", "fold", vector_to_array("features").alias("features"))
+
+
+def _design(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(1, features), value, weight and fold of each row."""
+    x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
+    y, w = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("wait_time", "count"))
+    return np.hstack([np.ones((len(x), 1)), x]), y, w, batch.column("fold").to_numpy()
+
+
+def _summed(matrix: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, pa.RecordBatch], None]) -> np.ndarray:
+    """Sums over all rows: each task adds up its own, one row a task is added up to one array.
+
+    ``shape`` depends on the number of features and folds only.
+    """
+    schema = pa.schema([("sums", pa.list_(pa.float64()))])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            add(total, batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], schema=schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape).ravel()
+        for batch in batches:
+            for row in batch.column(0):
+                total += row.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], schema=schema)
+
+    ddl = "sums array<double>"
+    return np.array(matrix.mapInArrow(part, ddl).repartition(1).mapInArrow(whole, ddl).first()["sums"]).reshape(shape)
+
+
+def fold_coefficients(matrix: DataFrame, size: int, folds: int = FOLDS) -> np.ndarray:
+    """Intercept and coefficients of the least-squares fit without each fold, a row a fold.
+
+    One pass sums the products of all features and the value for each fold; the rows outside a fold
+    are the total minus its own. Of the solutions that fit equally well (one-hot features add up to
+    the intercept) the one with the shortest coefficients is taken.
+    """
+
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        x, y, w, fold = _design(batch, size)
+        z = np.hstack([x, y[:, None]])
+        for f in np.unique(fold):
+            mine = z[fold == f]
+            total[f] += (mine * w[fold == f, None]).T @ mine
+
+    moments = _summed(matrix, (folds, size + 2, size + 2), add)
+    out = np.zeros((folds, size + 1))
+    for f in range(folds):
+        m = moments.sum(0) - moments[f]
+        n = m[0, 0]
+        if n <= 0:
+            out[f] = np.nan
+            continue
+        mean = m[0, 1:] / n
+        spread = m[1:, 1:] - n * np.outer(mean, mean)
+        slope = np.linalg.lstsq(spread[:-1, :-1], spread[:-1, -1], rcond=1e-10)[0]
+        out[f] = np.concatenate([[mean[-1] - mean[:-1] @ slope], slope])
+    return out
+
+
+def _size(matrix: DataFrame) -> int | None:
+    first = matrix.select(F.size("features")).first()
+    return first[0] if first else None
 
 
 def delivery_lr_cv(matrix: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """Cross-validated linear-regression predictions, one model per contiguous fold.
+    """Cross-validated linear-regression predictions, one fit per contiguous fold, all fits from one pass."""
+    matrix = settle(matrix)
+    columns = ("order_id", "wait_time", "count", "fold")
+    size = _size(matrix)
+    if size is None:
+        return matrix.select(*columns, F.lit(None).cast("double").alias("prediction"))
+    fits = fold_coefficients(matrix, size, folds)
+    ddl = ", ".join(f"{c} {matrix.schema[c].dataType.simpleString()}" for c in columns) + ", prediction double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, _, _, fold = _design(batch, size)
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array((x * fits[fold]).sum(1))], names=[*columns, "prediction"])
+
+    return matrix.mapInArrow(run, ddl)
+
 
-    The matrix is stored first: every fold reads it again.
+def delivery_lr_normal(matrix: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(fold, rows, worst): rows that each fit learns from, and its largest mean product of residual and feature.
+
+    A least-squares fit is one whose residuals are orthogonal to every feature and to 1, so ``worst``
+    is 0 but for rounding.
     """
     matrix = settle(matrix)
-    out: DataFrame | None = None
-    for k in range(folds):
-        fit = LinearRegression(labelCol="wait_time", weightCol="count", solver="normal", regParam=1e-9).fit(
-            matrix.where(F.col("fold") != k).withColumn("count", F.col("count").cast("double"))
-        )
-        scored = fit.transform(matrix.where(F.col("fold") == k)).select("order_id", "wait_time", "count", "fold", "prediction")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    size = _size(matrix)
+    fits = fold_coefficients(matrix, size, folds)
+
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        x, y, w, fold = _design(batch, size)
+        for f in range(folds):
+            used = fold != f
+            rest = y[used] - x[used] @ fits[f]
+            total[f, 0] += w[used].sum()
+            total[f, 1:] += (x[used] * (w[used] * rest)[:, None]).sum(0)
+
+    sums = _summed(matrix, (folds, size + 2), add)
+    rows = [(f, int(sums[f, 0]), float(np.abs(sums[f, 1:]).max() / sums[f, 0])) for f in range(folds)]
+    return matrix.sparkSession.createDataFrame(rows, "fold int, rows long, worst double")  # a row a fold
 
 
 def cv_report(predictions: DataFrame, model: str) -> DataFrame:
@@ -91,6 +187,19 @@ def cv_report(predictions: DataFrame, model: str) -> DataFrame:
     )
 
 
+def delivery_knn(data: DataFrame, folds: int = FOLDS, k: int = 3, bucket: Column | None = None) -> DataFrame:
+    """Cross-validated predictions by the k nearest deliveries of the other folds.
+
+    (order_id, fold, count, wait_time, prediction); an order of n items is n equal rows, all in one
+    fold. Distance, size and weight are scaled to 0..1, places and dates are compared as one-hot
+    vectors.
+    """
+    ready = with_folds(data, "order_purchase_timestamp", "order_id", folds, bucket)
+    rows = settle(neighbours.points(ready, "order_id", "fold", "count", "wait_time", NUMERIC, CATEGORICAL))
+    found = neighbours.nearest_mean(rows, len(NUMERIC), len(CATEGORICAL), folds, k)
+    return found.select(F.col("key").alias("order_id"), "fold", F.col("weight").alias("count"), F.col("value").alias("wait_time"), "prediction")
+
+
 FACTORS = ("act_lead_days", "approval_mins", "order_item_id", "price", "freight_value", "product_weight_g")
 
 
@@ -118,15 +227,30 @@ def operational_factors(tables: Mapping[str, DataFrame]) -> DataFrame:
 def order_clusters(factors: DataFrame, k: int = 6, seed: int = 32123, scale: bool = False) -> DataFrame:
     """KMeans labels on the six factors; raw values unless ``scale``.
 
-    The factors are stored first: every iteration reads them again.
+    Rows with equal factors are merged into one weighted row, which every iteration reads from
+    storage. Iterations go on until no centre moves.
     """
-    factors = settle(factors)
+    distinct = settle(factors.groupBy(*FACTORS).agg(F.count(F.lit(1)).cast("double").alias("_weight")))
     stages = [VectorAssembler(inputCols=list(FACTORS), outputCol="_raw")]
     if scale:
         stages.append(MinMaxScaler(inputCol="_raw", outputCol="_scaled"))
     vectors = "_scaled" if scale else "_raw"
-    stages.append(KMeans(k=k, seed=seed, maxIter=1000, featuresCol=vectors, predictionCol="cluster"))
-    return Pipeline(stages=stages).fit(factors).transform(factors).drop("_raw", "_scaled")
+    stages.append(KMeans(k=k, seed=seed, maxIter=1000, tol=1e-8, featuresCol=vectors, predictionCol="cluster", weightCol="_weight"))
+    return Pipeline(stages=stages).fit(distinct).transform(factors).drop("_raw", "_scaled")
+
+
+def misplaced(clusters: DataFrame, columns: Sequence[str] = FACTORS) -> DataFrame:
+    """One row: rows, clusters, and rows that lie nearer to another cluster's mean than to their own.
+
+    None does where the iterations have come to rest, whatever they began with. A row per cluster
+    reaches the driver.
+    """
+    clusters = settle(clusters)
+    means = clusters.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in columns]).orderBy("cluster").collect()
+    to = lambda m: sum(((F.col(c) - F.lit(m[c])) * (F.col(c) - F.lit(m[c])) for c in columns), F.lit(0.0))
+    nearest = F.array_min(F.array(*[to(m) for m in means])) if means else F.lit(0.0)
+    own = F.coalesce(*[F.when(F.col("cluster") == m["cluster"], to(m)) for m in means], F.lit(0.0)) if means else F.lit(0.0)
+    return clusters.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("cluster").alias("clusters"), F.count_if(own > nearest * (1 + 1e-9) + 1e-9).alias("misplaced"))
 
 
 def cluster_summary(clusters: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from tidebook.operators.early import FEATURES as H1_FEATURES
 from tidebook.operators.early import early_eligible
 from tidebook.operators.enrich import CATEGORY, delivered
 from tidebook.operators.impact import seasonal_threshold
-from tidebook.operators.seasonality import eligible
+from tidebook.operators.seasonality import distinct_states, eligible
 from tidebook.sources.settle import settle
 
 FEATURE_SOURCE = (
@@ -40,8 +40,8 @@ FEATURES = (
 SEED = 42
 
 
-def category_features(enriched: DataFrame) -> DataFrame:
-    """Eighteen aggregates per category over all delivered items."""
+def category_features(enriched: DataFrame, daily: DataFrame) -> DataFrame:
+    """Eighteen aggregates per category over all delivered items; distinct orders from the daily table."""
     items = delivered(enriched).where(F.col(CATEGORY).isNotNull()).withColumn("category", F.col(CATEGORY))
     measured = items.groupBy("category").agg(
         F.avg("price").alias("avg_price"),
@@ -57,20 +57,20 @@ def category_features(enriched: DataFrame) -> DataFrame:
         F.avg("product_photos_qty").alias("avg_product_photos_qty"),
         F.avg("product_name_lenght").alias("avg_product_name_length"),
         F.avg("product_description_lenght").alias("avg_product_description_length"),
-        F.countDistinct("customer_state").alias("customer_state_nunique"),
-        F.countDistinct("seller_state").alias("seller_state_nunique"),
-        F.countDistinct("order_id").alias("total_orders"),
+        distinct_states("customer_state").alias("customer_state_nunique"),
+        distinct_states("seller_state").alias("seller_state_nunique"),
         sum0("price").alias("total_revenue"),
     )
     medians = percentile_columns(items, "price", {"median_price": 0.5}, ["category"])
-    return measured.join(medians, "category", "left").select("category", *FEATURES)
+    orders = daily.where(F.col("category").isNotNull()).groupBy("category").agg(F.sum("orders_count").alias("total_orders"))
+    return measured.join(medians, "category", "left").join(orders, "category").select("category", *FEATURES)
 
 
-def prediction_features(enriched: DataFrame, ranking: DataFrame) -> DataFrame:
+def prediction_features(enriched: DataFrame, ranking: DataFrame, daily: DataFrame) -> DataFrame:
     """Features joined with the ranking and labelled: score at or above the eligible P75."""
     scores = ranking.select("category", "seasonality_score", "confidence_level", "seasonality_type")
     label = F.coalesce((F.col("seasonality_score") >= seasonal_threshold(ranking)).cast("int"), F.lit(0))
-    return category_features(enriched).join(scores, "category", "inner").withColumn("is_seasonal", label)
+    return category_features(enriched, daily).join(scores, "category", "inner").withColumn("is_seasonal", label)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.35, seed: int = SEED) -> DataFrame:
@@ -171,7 +171,7 @@ def seasonality_clusters(index_matrix: DataFrame, seed: int = SEED, restarts: in
     if n < 2:
         return data.select("category", *months, F.lit(0).alias("cluster"))
     k = min(6, max(2, n // 5))
-    fits = (KMeans(k=k, seed=seed + i, initMode="k-means||").fit(data) for i in range(restarts))
+    fits = (KMeans(k=k, seed=seed + i, initMode="k-means||", maxIter=300, tol=1e-8).fit(data) for i in range(restarts))
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(data).select("category", *months, F.col("prediction").alias("cluster"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,9 @@ from pyspark.sql import Window as W
 from tidebook.functions.calendar import month_label, weekday_name, with_calendar, with_fine_calendar
 from tidebook.functions.quantiles import percentile_columns
 from tidebook.functions.scalar import elapsed_days, percent, safe_div, sum0, time_between
+from tidebook.operators.audit import shifted_logs
 from tidebook.operators.enrich import CATEGORY
+from tidebook.operators.merged import Merge
 
 Tables = Mapping[str, DataFrame]
 _TS = "order_purchase_timestamp"
@@ -20,95 +23,55 @@ _TS = "order_purchase_timestamp"
 
 # --- the all-table merge -------------------------------------------------------------------
 
-def order_multiplicities(tables: Tables) -> DataFrame:
-    """Per order id of orders, payments or reviews: how many rows each table holds for it."""
-    n = lambda name, alias: tables[name].where(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.count(F.lit(1)).alias(alias))
-    orders = tables["orders"].select("order_id", "customer_id", F.lit(1).alias("in_orders"))
-    kept = orders.join(n("items", "n_items"), "order_id", "left")
-    return kept.join(n("payments", "n_pay"), "order_id", "full_outer").join(n("reviews", "n_rev"), "order_id", "full_outer")
-
-
-def _times(*names: str) -> Column:
-    product: Column = F.lit(1).cast("long")
-    for name in names:
-        product = product * F.greatest(F.coalesce(F.col(name), F.lit(0)), F.lit(1))
-    return product
-
-
-def merged_rows(tables: Tables) -> DataFrame:
+def merged_rows(merge: Merge) -> DataFrame:
     """Rows of the full outer merge of seven tables per payment type, customer and seller state.
 
-    The merge pairs every item, payment and review of an order. Its row counts are products of
-    the per-order multiplicities, so they are computed without forming the pairs; members of a
-    table that match nothing count once.
+    Members of a table that match nothing count once.
     """
-    mult = order_multiplicities(tables)
-    unmatched = lambda side, key, used: side.join(used.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
-    tall = lambda df, dim, value, rows: df.select(F.lit(dim).alias("dimension"), value.cast("string").alias("value"), rows.cast("long").alias("rows"))
-
-    kept_items = tables["items"].select("order_id", "seller_id", "product_id").join(tables["orders"].select("order_id"), "order_id", "left_semi")
-    per_order = mult.withColumn("_w", _times("n_items", "n_pay", "n_rev"))
-    lone_products = unmatched(tables["products"], "product_id", kept_items)
-    lone_customers = unmatched(tables["customers"], "customer_id", tables["orders"])
-    lone_sellers = unmatched(tables["sellers"], "seller_id", kept_items)
-
-    total = (
-        tall(per_order, "total", F.lit("rows"), F.col("_w"))
-        .unionByName(tall(lone_products, "total", F.lit("rows"), F.lit(1)))
-        .unionByName(tall(lone_customers, "total", F.lit("rows"), F.lit(1)))
-        .unionByName(tall(lone_sellers, "total", F.lit("rows"), F.lit(1)))
-    )
-    types = tables["payments"].groupBy("order_id", "payment_type").agg(F.count(F.lit(1)).alias("_n"))
-    payments = types.join(mult.select("order_id", "n_items", "n_rev"), "order_id", "left").withColumn("_w", F.col("_n") * _times("n_items", "n_rev"))
-    by_type = tall(payments, "payment_type", F.col("payment_type"), F.col("_w"))
-
-    customers = tables["customers"].select("customer_id", "customer_state")
-    placed = per_order.where("customer_id IS NOT NULL").groupBy("customer_id").agg(F.sum("_w").alias("_w")).join(customers, "customer_id")
-    by_customer = tall(placed, "customer_state", F.col("customer_state"), F.col("_w")).unionByName(
-        tall(lone_customers, "customer_state", F.col("customer_state"), F.lit(1))
-    )
-    sold = (
-        kept_items.groupBy("order_id", "seller_id").agg(F.count(F.lit(1)).alias("_n"))
-        .join(mult.select("order_id", "n_pay", "n_rev"), "order_id")
-        .withColumn("_w", F.col("_n") * _times("n_pay", "n_rev"))
-        .groupBy("seller_id").agg(F.sum("_w").alias("_w"))
-        .join(tables["sellers"].select("seller_id", "seller_state"), "seller_id")
-    )
-    by_seller = tall(sold, "seller_state", F.col("seller_state"), F.col("_w")).unionByName(
-        tall(lone_sellers, "seller_state", F.col("seller_state"), F.lit(1))
-    )
-    everything = total.unionByName(by_type).unionByName(by_customer).unionByName(by_seller)
-    return everything.where(F.col("value").isNotNull()).groupBy("dimension", "value").agg(F.sum("rows").alias("rows"))
+    tall = lambda df, dim, value: df.select(F.lit(dim).alias("dimension"), value.cast("string").alias("value"), "weight")
+    parts = [
+        tall(merge.total(), "total", F.lit("rows")),
+        tall(merge.weighted("payments"), "payment_type", F.col("payment_type")),
+        tall(merge.weighted("customers"), "customer_state", F.col("customer_state")),
+        tall(merge.weighted("sellers"), "seller_state", F.col("seller_state")),
+    ]
+    everything = reduce(DataFrame.unionByName, parts)
+    return everything.where(F.col("value").isNotNull()).groupBy("dimension", "value").agg(F.sum("weight").alias("rows"))
+
 
+def merged_payment_share(merge: Merge) -> DataFrame:
+    """Merged rows per payment type and their percent of all merged rows."""
+    counts = merge.weighted("payments").where(F.col("payment_type").isNotNull()).groupBy("payment_type").agg(F.sum("weight").alias("total"))
+    return counts.withColumn("percent", percent(safe_div("total", merge.rows())))
 
-def freight_by_region(tables: Tables, regions: DataFrame) -> DataFrame:
+
+def freight_by_region(merge: Merge, regions: DataFrame, names: Sequence[str]) -> DataFrame:
     """Mean freight of the merged rows per seller state, one column per customer region.
 
-    ``regions`` maps state to region; its distinct regions become the columns.
+    ``regions`` maps state to region, ``names`` are the regions that become columns.
     """
-    mult = order_multiplicities(tables).withColumn("_w", _times("n_pay", "n_rev")).where("in_orders = 1")
+    tables = merge.tables
     places = tables["customers"].select("customer_id", F.col("customer_state").alias("state")).join(regions, "state")
-    orders = mult.join(places, "customer_id").select("order_id", "_w", "region")
-    priced = tables["items"].where(F.col("price").isNotNull()).join(tables["sellers"].select("seller_id", "seller_state"), "seller_id")
+    orders = tables["orders"].select("order_id", "customer_id").join(places, "customer_id").select("order_id", "region")
+    priced = merge.weighted("items").where(F.col("price").isNotNull()).join(tables["sellers"].select("seller_id", "seller_state"), "seller_id")
     cells = priced.join(orders, "order_id").where(F.col("freight_value").isNotNull()).groupBy("seller_state", "region").agg(
-        safe_div(F.sum(F.col("freight_value") * F.col("_w")), F.sum("_w")).alias("freight")
+        safe_div(F.sum(F.col("freight_value") * F.col("weight")), F.sum("weight")).alias("freight")
     )
-    names = [r["region"] for r in regions.select("region").distinct().orderBy("region").collect()]  # a handful of regions
-    return cells.groupBy("seller_state").pivot("region", names).agg(F.first("freight"))
+    return cells.groupBy("seller_state").pivot("region", list(names)).agg(F.first("freight"))
 
 
-def items_score_crosstab(tables: Tables, top: int = 12) -> DataFrame:
+def items_score_crosstab(merge: Merge, top: int = 12) -> DataFrame:
     """Percent of each score among the merged rows of an item position, first positions only.
 
     Items and scores are counted per order first: a pair of (position, score) meets once.
     """
+    tables = merge.tables
     positions = tables["items"].where("order_item_id IS NOT NULL").groupBy("order_id", "order_item_id").agg(F.count(F.lit(1)).alias("_i"))
     scores = tables["reviews"].where("review_score IS NOT NULL").groupBy("order_id", "review_score").agg(F.count(F.lit(1)).alias("_s"))
-    payments = tables["payments"].groupBy("order_id").agg(F.count(F.lit(1)).alias("n_pay"))
-    kept = positions.join(tables["orders"].select("order_id"), "order_id", "left_semi")
+    payments = merge.sizes.where("in_orders = 1").select("order_id", "n_pay")
     cells = (
-        kept.join(scores, "order_id").join(payments, "order_id", "left")
-        .withColumn("_w", F.col("_i") * F.col("_s") * _times("n_pay"))
+        positions.join(scores, "order_id").join(payments, "order_id")
+        .withColumn("_w", F.col("_i") * F.col("_s") * F.greatest(F.coalesce("n_pay", F.lit(0)), F.lit(1)))
         .groupBy("order_item_id").pivot("review_score", [1, 2, 3, 4, 5]).agg(F.sum("_w"))
     )
     total = sum((F.coalesce(F.col(str(s)), F.lit(0)) for s in range(1, 6)), F.lit(0))
@@ -124,16 +87,14 @@ def class_share(df: DataFrame, group: str, value: str) -> DataFrame:
     return counts.withColumn("percent_qty", safe_div("qty", F.sum("qty").over(W.partitionBy(group))))
 
 
-def item_count_buckets(tables: Tables) -> DataFrame:
+def item_count_buckets(merge: Merge) -> DataFrame:
     """Merged rows per item position, 7 to 10 and 10 to 20 pooled, with share in percent.
 
     An item stands in as many rows of the merge as its order has pairs of payment and review.
     """
     n = F.col("order_item_id")
-    pairs = order_multiplicities(tables).where("in_orders = 1").select("order_id", _times("n_pay", "n_rev").alias("_w"))
-    positions = tables["items"].where(n.isNotNull()).groupBy("order_id", "order_item_id").agg(F.count(F.lit(1)).alias("_n"))
     label = F.when(n.between(7, 10), "7 to 10").when(n > 10, "10 to 20").otherwise(n.cast("string"))
-    counts = positions.join(pairs, "order_id").groupBy(label.alias("bucket")).agg(F.sum(F.col("_n") * F.col("_w")).alias("total"))
+    counts = merge.weighted("items").where(n.isNotNull()).groupBy(label.alias("bucket")).agg(F.sum("weight").alias("total"))
     return counts.withColumn("percent", percent(safe_div("total", F.sum("total").over(W.partitionBy()))))
 
 
@@ -154,6 +115,13 @@ def payment_quantiles(payments: DataFrame) -> DataFrame:
     return means.join(percentile_columns(payments, "payment_value", PAYMENT_QUANTILES, ["payment_type"]), "payment_type")
 
 
+def payment_logs(payments: DataFrame) -> DataFrame:
+    """Per payment type: payments other than 0, and the mean of their three shifted logarithms."""
+    logs = shifted_logs(payments.where(F.col("payment_value") != 0), "payment_value")
+    means = [F.avg(c).alias(f"avg_{c}") for c in ("payment_value_log_1p5", "payment_value_log_p1", "payment_value_log_then_1")]
+    return logs.groupBy("payment_type").agg(F.count(F.lit(1)).alias("payments"), *means)
+
+
 # --- time ----------------------------------------------------------------------------------
 
 def sales_by_day(enriched: DataFrame) -> DataFrame:

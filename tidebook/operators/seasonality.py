@@ -17,7 +17,7 @@ from tidebook.operators.enrich import CATEGORY, UNKNOWN, delivered
 
 DAILY_COLUMNS = (CATEGORY, "order_date", "order_id", "order_item_id", "price", "is_delivered", "year")
 MONTH_COLUMNS = (
-    CATEGORY, "month", "year", "is_delivered", "order_id", "order_item_id", "price", "freight_value",
+    CATEGORY, "month", "year", "is_delivered", "order_item_id", "price", "freight_value",
     "payment_installments", "review_score", "delivery_time_days", "customer_state", "seller_state",
 )
 MONTH_METRICS = (
@@ -42,13 +42,27 @@ def category_daily(enriched: DataFrame) -> DataFrame:
     )
 
 
-def category_month(enriched: DataFrame, year: int = 2017) -> DataFrame:
-    """Ten measures per category and month of one year on a dense grid, with seasonal index."""
-    monthly = (
+def distinct_states(column: str) -> Column:
+    """Number of distinct states; the set of a group is bounded by the number of states."""
+    return F.size(F.collect_set(column)).cast("long")
+
+
+def orders_by_month(daily: DataFrame, year: int | None = None) -> DataFrame:
+    """Distinct orders per (category, month) from the daily table, in which they add up."""
+    rows = daily if year is None else daily.where(F.year("order_date") == year)
+    return rows.groupBy("category", F.month("order_date").alias("month")).agg(F.sum("orders_count").alias("orders_count"))
+
+
+def category_month(enriched: DataFrame, daily: DataFrame, year: int = 2017) -> DataFrame:
+    """Ten measures per category and month of one year on a dense grid, with seasonal index.
+
+    Distinct orders come from the daily table, distinct states from sets, so that the items of a
+    category and month combine before they are shuffled.
+    """
+    items = (
         delivered(enriched, year)
         .groupBy(F.col(CATEGORY).alias("category"), "month")
         .agg(
-            F.countDistinct("order_id").alias("orders_count"),
             F.count("order_item_id").alias("items_sold"),
             sum0("price").alias("revenue"),
             F.avg("price").alias("avg_item_price"),
@@ -56,10 +70,13 @@ def category_month(enriched: DataFrame, year: int = 2017) -> DataFrame:
             F.avg("payment_installments").alias("avg_payment_installments"),
             F.avg("review_score").alias("avg_review_score"),
             F.avg("delivery_time_days").alias("avg_delivery_time_days"),
-            F.countDistinct("customer_state").alias("customer_state_nunique"),
-            F.countDistinct("seller_state").alias("seller_state_nunique"),
+            distinct_states("customer_state").alias("customer_state_nunique"),
+            distinct_states("seller_state").alias("seller_state_nunique"),
         )
     )
+    orders = orders_by_month(daily, year).toDF("_category", "_month", "orders_count")
+    same = F.col("category").eqNullSafe(F.col("_category")) & (F.col("month") == F.col("_month"))
+    monthly = items.join(orders, same).select("category", "month", *MONTH_METRICS)
     return with_seasonal_index(dense_months(monthly, "category", MONTH_METRICS, unknown=UNKNOWN)).withColumn(
         "month_name", month_name("month")
     )

@@ -19,6 +19,7 @@ from tidebook.operators import audit, early, enrich, forecast, granularity, impa
 from tidebook.session import build_session
 from tidebook.sources.catalog import load_tables, read_result
 from tidebook.sources.sinks import write_csv, write_parquet
+from tidebook.sources.settle import settle
 
 
 class Output:
@@ -60,11 +61,13 @@ def run_analysis(
 
     orders = out.stored("orders_enriched_order_level", metrics.order_flags(metrics.order_level(enriched)))
     payments = orders.select("order_id", "payment_value")
-    out.table("monthly_metrics", out.stored("monthly_metrics", metrics.monthly_metrics(enriched, payments)).orderBy("year_month"))
-    out.stored("weekly_metrics", metrics.weekly_metrics(enriched, payments))
+    order_rows = settle(metrics.order_table(enriched))
+    months = metrics.monthly_metrics(order_rows, metrics.products_by_month(enriched))
+    out.table("monthly_metrics", out.stored("monthly_metrics", months).orderBy("year_month"))
+    out.stored("weekly_metrics", metrics.weekly_metrics(order_rows))
 
     daily = out.stored("category_daily_metrics", seasonality.category_daily(enriched))
-    monthly = out.stored("category_monthly_metrics", seasonality.category_month(enriched, year))
+    monthly = out.stored("category_monthly_metrics", seasonality.category_month(enriched, daily, year))
     out.stored("category_weekly_metrics", seasonality.category_week(enriched))
     spikes = seasonality.event_spikes(daily)
     out.table("event_spikes", spikes.orderBy("category", "order_date"))
@@ -90,8 +93,8 @@ def run_analysis(
     out.table("product_seasonality_ranking", seasonality.ranked(products, tiebreak=("product_id",)), bounded=False)
     out.table("top20_seasonal_products", seasonality.top_products_seasonal(products))
 
-    out.table("business_impact_peak_vs_normal", impact.business_impact(enriched, ranking, monthly, payments))
-    by_month = out.stored("impact_by_month", impact.impact_by_month(enriched, ranking, monthly, year))
+    out.table("business_impact_peak_vs_normal", impact.business_impact(enriched, ranking, monthly, daily, payments))
+    by_month = out.stored("impact_by_month", impact.impact_by_month(enriched, ranking, monthly, daily, year))
     out.table("business_impact_by_category_uplift", impact.category_uplift(by_month).orderBy("category", "metric"))
     out.table("business_revenue_decomposition_peak_vs_normal", impact.revenue_decomposition(by_month).orderBy("period_type"))
 
@@ -103,7 +106,7 @@ def run_analysis(
     out.table("large_purchase_category_mix_peak_vs_normal", mix.orderBy("period_type", "category"))
     out.table("large_purchase_installments_by_month", large.installments_by_month(enriched, year).orderBy("month"))
 
-    features = out.stored("seasonality_prediction_features", prediction.prediction_features(enriched, ranking))
+    features = out.stored("seasonality_prediction_features", prediction.prediction_features(enriched, ranking, daily))
     results, importance = prediction.predictability(features, **({"trees": trees} if trees else {}))
     out.table("seasonality_prediction_results", results)
     out.table("model_feature_importance", importance.orderBy(F.desc("importance"), "feature"))

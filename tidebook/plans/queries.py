@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidebook.functions.calendar import with_calendar
 from tidebook.functions.scalar import steady, sum0
 from tidebook.functions.stats import binary_scores, roc_curve, spearman_importance
-from tidebook.operators import audit, early, enrich, forecast, geo, granularity, impact, large, logistics, metrics
+from tidebook.operators import audit, early, enrich, forecast, geo, granularity, impact, large, logistics, merged, metrics
 from tidebook.operators import models, prediction, reviews, sales, seasonality
 from tidebook.operators.enrich import CATEGORY, build_enriched
 from tidebook.session import tune
@@ -47,6 +47,9 @@ class Context:
     def payments(self) -> DataFrame:
         return metrics.order_payments(self.enriched(metrics.PAYMENT_COLUMNS))
 
+    def orders(self) -> DataFrame:
+        return self.once("orders", lambda: metrics.order_table(self.enriched(metrics.ORDER_TABLE_COLUMNS)))
+
     def daily(self) -> DataFrame:
         return self.once("daily", lambda: seasonality.category_daily(self.enriched(seasonality.DAILY_COLUMNS)))
 
@@ -61,7 +64,7 @@ class Context:
         return seasonality.category_ranking(self.daily(), YEAR)
 
     def impact_months(self) -> DataFrame:
-        return impact.impact_by_month(self.enriched(impact.IMPACT_COLUMNS), self.profile(), self.monthly(), YEAR)
+        return impact.impact_by_month(self.enriched(impact.IMPACT_COLUMNS), self.profile(), self.monthly(), self.daily(), YEAR)
 
     def large(self) -> DataFrame:
         return self.enriched(large.LARGE_COLUMNS)
@@ -71,7 +74,7 @@ class Context:
         return self.once("early", build)
 
     def labelled(self) -> DataFrame:
-        build = lambda: prediction.prediction_features(self.enriched(prediction.FEATURE_SOURCE), self.ranking())
+        build = lambda: prediction.prediction_features(self.enriched(prediction.FEATURE_SOURCE), self.ranking(), self.daily())
         return self.once("labelled", build)
 
     def holdout(self) -> DataFrame:
@@ -80,6 +83,9 @@ class Context:
     def weekly(self) -> DataFrame:
         return self.once("weekly", lambda: forecast.weekly_series(self.enriched(forecast.FORECAST_COLUMNS), CUTOFF))
 
+    def merge(self) -> merged.Merge:
+        return merged.Merge(self.t)
+
     def points(self) -> DataFrame:
         return geo.geo_points(self.t["geolocation"])
 
@@ -165,15 +171,18 @@ def year_month_matrix(c):
     return audit.year_month_matrix(c.t["orders"])
 
 
+# The id columns of the merged tables.
+_IDS = ("order_id", "seller_id", "customer_id", "order_item_id", "product_id", "review_id", "customer_unique_id", "seller_zip_code_prefix")
+
+
 @query("missing:i uniques:i entropy")
 def column_profile(c):
-    return audit.column_profile(c.t["orders"], ["order_id"])
+    return merged.profile(c.merge())
 
 
 @query("uniques:i")
 def column_kinds(c):
-    frame = c.enriched(["order_id", "product_id", "seller_id", "order_item_id", "order_status", CATEGORY, "customer_state", "price", "is_delivered"])
-    return audit.column_kinds(frame, ["order_id", "product_id", "seller_id", "order_item_id"])
+    return merged.kinds(c.merge(), _IDS)
 
 
 @query("value")
@@ -278,12 +287,12 @@ def order_flags(c):
     "avg_review_score avg_delivery_time_days gmv:2 year:i month:i"
 )
 def monthly_metrics(c):
-    return metrics.monthly_metrics(c.enriched(metrics.MONTHLY_COLUMNS), c.payments())
+    return metrics.monthly_metrics(c.orders(), metrics.products_by_month(c.enriched(metrics.SOLD_COLUMNS)))
 
 
 @query("orders_count:i revenue:2 avg_order_value:2 large_purchase_share")
 def weekly_metrics(c):
-    return metrics.weekly_metrics(c.enriched(metrics.ORDER_LEVEL_COLUMNS), c.payments())
+    return metrics.weekly_metrics(c.orders())
 
 
 # --- seasonality ---------------------------------------------------------------------------
@@ -293,7 +302,7 @@ def weekly_metrics(c):
     "avg_review_score avg_delivery_time_days customer_state_nunique:i seller_state_nunique:i seasonal_index"
 )
 def category_month(c):
-    return seasonality.category_month(c.enriched(seasonality.MONTH_COLUMNS), YEAR)
+    return seasonality.category_month(c.enriched(seasonality.MONTH_COLUMNS), c.daily(), YEAR)
 
 
 @query("orders_count:i revenue:2 items_sold:i")
@@ -438,7 +447,7 @@ def peak_flagged_items(c):
 
 @query("normal_months:2 peak_months:2 delta_abs:2 delta_pct")
 def business_impact(c):
-    return impact.business_impact(c.enriched(impact.IMPACT_COLUMNS), c.profile(), c.monthly(), c.payments())
+    return impact.business_impact(c.enriched(impact.IMPACT_COLUMNS), c.profile(), c.monthly(), c.daily(), c.payments())
 
 
 @query("normal_months:2 peak_months:2 delta_abs:2 delta_pct")
@@ -604,6 +613,11 @@ def seasonality_clusters(c):
     return _clusters(c)
 
 
+@query("rows:i clusters:i misplaced:i")
+def seasonality_clusters_check(c):
+    return models.misplaced(_clusters(c), _MONTHS)
+
+
 @query("cluster:i " + " ".join(_MONTHS))
 def cluster_profiles(c):
     return prediction.cluster_profiles(_clusters(c))
@@ -791,7 +805,17 @@ def category_review_score(c):
 
 @query("rows:i", "full_outer_base")
 def merged_rows(c):
-    return sales.merged_rows(c.t)
+    return sales.merged_rows(c.merge())
+
+
+@query("total:i percent:2")
+def merged_payment_share(c):
+    return sales.merged_payment_share(c.merge())
+
+
+@query("payments:i avg_payment_value_log_1p5 avg_payment_value_log_p1 avg_payment_value_log_then_1")
+def payment_logs(c):
+    return sales.payment_logs(c.t["payments"])
 
 
 _REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -799,13 +823,13 @@ _REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 @query(" ".join(r.lower().replace(" ", "_") for r in _REGIONS))
 def freight_by_region(c):
-    wide = sales.freight_by_region(c.t, c.t["regions"])
+    wide = sales.freight_by_region(c.merge(), c.t["regions"], _REGIONS)
     return wide.select("seller_state", *[F.col(f"`{n}`").alias(n.lower().replace(" ", "_")) for n in wide.columns[1:]])
 
 
 @query("order_item_id:i " + " ".join(f"score_{s}:2" for s in range(1, 6)))
 def items_score_crosstab(c):
-    return sales.items_score_crosstab(c.t)
+    return sales.items_score_crosstab(c.merge())
 
 
 @query("total:i percent:2")
@@ -823,7 +847,7 @@ def class_share(c):
 
 @query("total:i percent:2")
 def item_count_buckets(c):
-    return sales.item_count_buckets(c.t)
+    return sales.item_count_buckets(c.merge())
 
 
 @query("year:i min_value:2 q1:2 median:2 q3:2 max_value:2")
@@ -944,9 +968,32 @@ def price_vs_delivery(c):
 
 # --- order-grain models --------------------------------------------------------------------
 
+def _matrix(c) -> DataFrame:
+    return models.delivery_matrix(c.delivery(), bucket=F.col("order_id") % models.POSITION_BUCKETS)
+
+
 @query("rows:i directed_error")
 def delivery_lr_cv(c):
-    return models.cv_report(models.delivery_lr_cv(models.delivery_matrix(c.delivery())), "linear_regression")
+    return models.cv_report(models.delivery_lr_cv(_matrix(c)), "linear_regression")
+
+
+@query("fold:i rows:i worst")
+def delivery_lr_normal(c):
+    return models.delivery_lr_normal(_matrix(c))
+
+
+def _knn(c) -> DataFrame:
+    return models.delivery_knn(c.delivery(), bucket=F.col("order_id") % models.POSITION_BUCKETS)
+
+
+@query("order_id:i fold:i count:i wait_time:i prediction")
+def delivery_knn(c):
+    return _knn(c)
+
+
+@query("rows:i directed_error")
+def delivery_knn_error(c):
+    return models.cv_report(_knn(c), "nearest_3")
 
 
 @query("cluster:i rows:i " + " ".join(f"avg_{f}" for f in models.FACTORS))
@@ -954,6 +1001,11 @@ def order_clusters(c):
     return models.cluster_summary(models.order_clusters(models.operational_factors(c.t)))
 
 
+@query("rows:i clusters:i misplaced:i")
+def order_clusters_check(c):
+    return models.misplaced(models.order_clusters(models.operational_factors(c.t)))
+
+
 @query("cluster:i " + " ".join(models.FACTORS))
 def cluster_quarter_medians(c):
     return models.cluster_quarter_medians(models.order_clusters(models.operational_factors(c.t)))
