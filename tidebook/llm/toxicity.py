@@ -188,9 +188,9 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def _estimated(sums: dict[int, float], size: int) -> LabelModel:
+def _estimated(sums: np.ndarray, size: int) -> LabelModel:
     """The model that weighted sums of votes and of pairs of votes give."""
-    flat = np.array([sums.get(i, 0.0) for i in range(2 * (1 + size + size * size))]).reshape(2, -1)
+    flat = sums.reshape(2, -1)
     rates, shared = [], np.zeros((size, size))
     whole = flat[:, 0].sum()
     for mass, single, pairs in ((x[0], x[1 : 1 + size], x[1 + size :].reshape(size, size)) for x in flat):
@@ -214,9 +214,16 @@ def label_model(patterns: DataFrame, size: int, rounds: int = ROUNDS) -> LabelMo
     correlations above 0.1 with others in the same class divides its weight, so voters that repeat
     each other count as one.
     """
-    schema = pa.schema([("at", pa.int32()), ("value", pa.float64())])
+    schema = pa.schema([("sums", pa.list_(pa.float64()))])
 
-    def sums(model: LabelModel | None) -> dict[int, float]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * (1 + size + size * size))
+        for data in batches:
+            for row in data.column(0):
+                total += row.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], schema=schema)
+
+    def sums(model: LabelModel | None) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((2, 1 + size + size * size))
             for data in batches:
@@ -229,12 +236,11 @@ def label_model(patterns: DataFrame, size: int, rounds: int = ROUNDS) -> LabelMo
                 for c, w in enumerate((mass * (1 - of), mass * of)):
                     weighted = v * w[:, None]
                     total[c] += np.concatenate([[w.sum()], weighted.sum(0), (weighted.T @ v).ravel()])
-            flat = total.ravel()
-            at = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at])], schema=schema)
+            if total.any():
+                yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], schema=schema)
 
-        made = patterns.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
-        return {r["at"]: r["value"] for r in made.collect()}
+        # one row of sums a task, added up by one task and sent to the driver as one row
+        return np.array(patterns.mapInArrow(run, "sums array<double>").repartition(1).mapInArrow(add, "sums array<double>").first()["sums"])
 
     model = _estimated(sums(None), size)
     for _ in range(rounds):
