@@ -23,7 +23,7 @@ def cheapest(rows, entry="", goal=None):
         cost, audit, i, q = heapq.heappop(heap)
         if i == len(rows) and (q in ("", "a") if goal is None else q == goal):
             return cost, audit
-        if (i, q) in done or cost > 10 * len(rows) + 20:
+        if (i, q) in done or cost > 7 * len(rows) + 20:
             continue
         done.add((i, q))
         if i < len(rows) or goal is None:
@@ -58,6 +58,12 @@ def test_estimates_never_exceed_the_cost():
         for i in range(9):
             for q, state in enumerate(("", "s", "u", "a")):
                 assert estimates[i][q] <= cheapest(rows[i:], state)[0]
+        for goal, name in enumerate(("", "s")):
+            estimates = conversation.Search(rows, 0, goal).estimates
+            for i in range(9):
+                for q, state in enumerate(("", "s", "u", "a")):
+                    best = cheapest(rows[i:], state, name)
+                    assert estimates[i][q] == best[0] if best else estimates[i][q] >= conversation.NEVER
 
 
 def test_chained_pieces_equal_one_search():

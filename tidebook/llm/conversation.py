@@ -23,6 +23,8 @@ FOLLOWING = (USER, USER, ASSISTANT, USER)
 ALLOWED = {SYSTEM: (START,), USER: (START, SYSTEM, ASSISTANT), ASSISTANT: (USER,)}
 NAMES = {USER: "user", ASSISTANT: "assistant"}
 LEGAL = ("su", "ua", "au")
+#: More than any path costs.
+NEVER = 1 << 40
 #: Rows that one search covers; longer conversations are chained from such pieces.
 PIECE_ROWS = 64
 NO_DIGEST = hashlib.sha256(b"").hexdigest()
@@ -48,6 +50,8 @@ class Search:
         follow each other need an insertion between them or a change of one of them; of such pairs,
         the dearest set without a shared row counts.
         """
+        if self.goal in (START, SYSTEM):
+            return self._deletions()
         least, ahead = [0] * (self.size + 1), [0] * (self.size + 1)
         stay = [i for i, c in enumerate(self.rows) if c != "x"]
         for i in range(self.size - 1, -1, -1):
@@ -76,6 +80,21 @@ class Search:
             out.append(tuple(least[i] + max(pairs[t], pair(q, t, None) + pairs[t + 1]) for q in range(4)))
         return out
 
+    def _deletions(self) -> list[tuple[int, ...]]:
+        """The exact costs where the goal is the start or a system role.
+
+        Nothing leads back to those states, so every row goes, but for one system row on the way
+        from the start.
+        """
+        out, spared = [], NEVER
+        for i in range(self.size, -1, -1):
+            every = DELETE * (self.size - i)
+            if i < self.size and self.rows[i] in "sS":
+                spared = min(spared, (TRUNCATED if self.rows[i] == "S" else 0) - DELETE)
+            begin = every if self.goal == START else min(every + spared, NEVER)
+            out.append((begin, every if self.goal == SYSTEM else NEVER, NEVER, NEVER))
+        return out[::-1]
+
     def reachable(self) -> bool:
         """Whether any path leads to the goal."""
         if self.goal is None or self.goal == self.entry:
@@ -98,7 +117,7 @@ class Search:
         bound = self.estimates[0][self.entry]
         while True:
             self.failed: dict[tuple[int, int], int] = {}
-            self.excess = 1 << 60
+            self.excess = NEVER
             found = self._descend(0, self.entry, bound)
             if found is not None:
                 return bound, found
