@@ -208,9 +208,9 @@ ODD_TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("bounds", [(1 << 25, 16, 500_000), (60, 16, 500_000), (300, 3, 500_000), (300, 3, 1)])
+@pytest.mark.parametrize("bounds", [(1 << 25, 16, 500_000, 1 << 22), (60, 16, 500_000, 20), (300, 3, 500_000, 100), (300, 3, 1, 100)])
 def test_phrases_of_odd_texts(frame, monkeypatch, bounds):
-    for name, value in zip(("SHARD_BYTES", "LEAST_SHARDS", "SENT_ROWS"), bounds, strict=True):
+    for name, value in zip(("SHARD_BYTES", "LEAST_SHARDS", "SENT_ROWS", "READ_BYTES"), bounds, strict=True):
         monkeypatch.setattr(collocations, name, value)
     rng = random.Random(9)
     rows = ODD_TEXTS * 3 + [("en", " ".join(rng.choice("abcde") for _ in range(40))) for _ in range(30)]
@@ -225,9 +225,11 @@ def test_phrases_of_odd_texts(frame, monkeypatch, bounds):
 def test_local_mining_is_complete():
     rng = random.Random(10)
     texts = [" ".join(rng.choice("abcd") for _ in range(30)).encode() + b"." for _ in range(20)]
-    words = collocations.Words()
-    ids = collocations.numbered(words, texts)
-    names = list(words)
+    shard = collocations.Shard()
+    for t in texts:
+        shard.add(t)
+    ids = shard.ids()
+    names = list(shard.words)
     got = {b" ".join(names[w] for w in row): n for p, c in collocations.frequent(ids, len(names), 4) for row, n in zip(p.tolist(), c.tolist(), strict=True)}
     want = Counter()
     for t in texts:

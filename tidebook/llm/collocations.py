@@ -20,8 +20,9 @@ END = b"\xff"
 _AS = bytes.maketrans(ENDS + BLANKS, END * len(ENDS) + b" " * len(BLANKS))
 WORD = "[^\\x20\\x09.,;:!?\\x0A-\\x0D]+"
 #: Bytes of text in one shard at most, candidates that are sent to every task at most.
-SHARD_BYTES, SENT_ROWS = 32 << 20, 500_000
-LEAST_SHARDS = 16
+SHARD_BYTES, SENT_ROWS = 64 << 20, 500_000
+#: Shards of a small corpus, bytes of text that are split into words at once.
+LEAST_SHARDS, READ_BYTES = 16, 4 << 20
 
 
 def tokens(texts: list[bytes]) -> list[bytes]:
@@ -40,10 +41,27 @@ class Words(dict):
         return number
 
 
-def numbered(words: Words, texts: list[bytes]) -> np.ndarray:
-    """The texts as one array of word numbers, 0 between pieces."""
-    found = tokens(texts)
-    return np.fromiter(map(words.__getitem__, found), np.int32, len(found))
+class Shard:
+    """Word numbers of one language's texts, 0 between pieces; texts are read in parts, not as one list of words."""
+
+    def __init__(self):
+        self.words, self.parts, self.waiting, self.size = Words(), [], [], 0
+
+    def add(self, text: bytes) -> None:
+        self.waiting.append(text)
+        self.size += len(text)
+        if self.size >= READ_BYTES:
+            self._read()
+
+    def _read(self) -> None:
+        if self.waiting:
+            found = tokens([*self.waiting, b""])
+            self.parts.append(np.fromiter(map(self.words.__getitem__, found), np.int32, len(found)))
+            self.waiting, self.size = [], 0
+
+    def ids(self) -> np.ndarray:
+        self._read()
+        return np.concatenate(self.parts)
 
 
 def frequent(ids: np.ndarray, n_words: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -57,8 +75,8 @@ def frequent(ids: np.ndarray, n_words: int, least: int) -> Iterator[tuple[np.nda
     counts[0] = 0
     kept = np.flatnonzero(counts >= least)
     yield kept[:, None], counts[kept]
-    place = np.full(n_words, -1, np.int64)
-    place[kept] = np.arange(len(kept))
+    place = np.full(n_words, -1, np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
     word = place[ids]
     level, phrases = word, kept[:, None]
     for _ in range(1, LONGEST):
@@ -68,14 +86,21 @@ def frequent(ids: np.ndarray, n_words: int, least: int) -> Iterator[tuple[np.nda
         at = np.flatnonzero((level >= 0) & (after >= 0) & (last >= 0))
         if not len(at):
             return
-        keys, inverse, counts = np.unique(level[at] * len(kept) + last[at], return_inverse=True, return_counts=True)
+        keys = level[at].astype(np.int64) * len(kept) + last[at]
+        ordered = np.sort(keys)
+        edges = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]))
+        counts = np.diff(edges)
         often = counts >= least
-        number = np.where(often, np.cumsum(often) - 1, -1)
-        level = np.full(len(level), -1, np.int64)
-        level[at] = number[inverse]
-        keys = keys[often]
-        phrases = np.hstack([phrases[keys // len(kept)], kept[keys % len(kept)][:, None]])
-        yield phrases, counts[often]
+        known, counts = ordered[edges[:-1][often]], counts[often]
+        if not len(known):
+            return
+        del ordered, edges
+        number = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[number] == keys
+        level = np.full(len(level), -1, np.int32)
+        level[at[hit]] = number[hit]
+        phrases = np.hstack([phrases[known // len(kept)], kept[known % len(kept)][:, None]])
+        yield phrases, counts
 
 
 LOCAL = "lang string, phrase binary, part long"
@@ -91,13 +116,12 @@ def _mine(support: int, lowest: bool):
     once for every shard, under a null phrase. With ``lowest`` the local support is 1.
     """
 
-    def shard(lang: str, texts: list[bytes], total: int) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        ids = numbered(words, texts)
+    def mined(lang: str, held: Shard, total: int) -> Iterator[pa.RecordBatch]:
+        ids = held.ids()
         share = int(np.count_nonzero(ids))
         least = 1 if lowest else max(1, -(-support * share // total))
         yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.binary()), pa.array([least - 1], pa.int64())], schema=LOCAL_SCHEMA)
-        names = list(words)
+        names = list(held.words)
         for phrases, counts in frequent(ids, len(names), least):
             for a in range(0, len(phrases), 65536):
                 some = [b" ".join([names[w] for w in row]) for row in phrases[a : a + 65536].tolist()]
@@ -105,21 +129,23 @@ def _mine(support: int, lowest: bool):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.binary()), pa.array(above, pa.int64())], schema=LOCAL_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
+        held: dict[str, Shard] = {}
         totals: dict[str, int] = {}
         size = 0
         for data in batches:
             for lang, text, total in zip(data.column(0).to_pylist(), data.column(1), data.column(2).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                held.setdefault(lang, []).append(raw)
+                held.setdefault(lang, Shard()).add(raw)
                 totals[lang] = total
                 size += len(raw)
                 if size >= SHARD_BYTES:
-                    for name, texts in held.items():
-                        yield from shard(name, texts, totals[name])
-                    held, size = {}, 0
-        for name, texts in held.items():
-            yield from shard(name, texts, totals[name])
+                    while held:
+                        name, one = held.popitem()
+                        yield from mined(name, one, totals[name])
+                    size = 0
+        while held:
+            name, one = held.popitem()
+            yield from mined(name, one, totals[name])
 
     return run
 
@@ -160,17 +186,25 @@ class Candidates:
             counts += np.bincount(level, minlength=len(keys))
 
 
+#: Candidates whose counts travel together.
+BLOCK = 8192
+PARTS = "block int, counts array<long>"
+PARTS_SCHEMA = pa.schema([("block", pa.int32()), ("counts", pa.list_(pa.int64()))])
 COUNTS = "lang string, phrase binary, f long"
 COUNTS_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64())])
 
 
+def _sent(sent) -> tuple[list[str], list[bytes]]:
+    with pa.ipc.open_stream(sent.value) as stream:
+        table = stream.read_all()
+    return table.column(0).to_pylist(), table.column(1).to_pylist()
+
+
 def _count(sent):
-    """Occurrences of the candidates in a task's texts."""
+    """Occurrences of the candidates in a task's texts: an array for each block of candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with pa.ipc.open_stream(sent.value) as stream:
-            table = stream.read_all()
-        langs, phrases = table.column(0).to_pylist(), table.column(1).to_pylist()
+        langs, phrases = _sent(sent)
         by: dict[str, list[int]] = {}
         for i, lang in enumerate(langs):
             by.setdefault(lang, []).append(i)
@@ -184,18 +218,45 @@ def _count(sent):
                 raw = text.as_buffer().to_pybytes()
                 held.setdefault(lang, []).append(raw)
                 size += len(raw)
-                if size >= SHARD_BYTES // 4:
+                if size >= READ_BYTES:
                     for name, texts in held.items():
                         known[name].count(texts)
                     held, size = {}, 0
             for name, texts in held.items():
                 known[name].count(texts)
+        every = np.zeros(len(phrases), np.int64)
         for lang, found in known.items():
+            at = np.array(by[lang])
             for _, rows, counts in found.levels:
-                seen = np.flatnonzero(counts)
-                some = [phrases[by[lang][i]] for i in rows[seen].tolist()]
-                if some:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.binary()), pa.array(counts[seen])], schema=COUNTS_SCHEMA)
+                every[at[rows]] = counts
+        for block in range(0, len(every), BLOCK):
+            some = every[block : block + BLOCK]
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([some], pa.list_(pa.int64()))], schema=PARTS_SCHEMA)
+
+    return run
+
+
+def _add(sent):
+    """Arrays of equal blocks, sorted by block, to one row for each candidate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, phrases = _sent(sent)
+
+        def rows(block: int, total: np.ndarray) -> pa.RecordBatch:
+            part = slice(block, block + len(total))
+            return pa.RecordBatch.from_arrays([pa.array(langs[part]), pa.array(phrases[part], pa.binary()), pa.array(total)], schema=COUNTS_SCHEMA)
+
+        held, total = None, None
+        for data in batches:
+            for block, counts in zip(data.column(0).to_pylist(), data.column(1), strict=True):
+                if block != held:
+                    if held is not None:
+                        yield rows(held, total)
+                    held, total = block, np.zeros(len(counts), np.int64)
+                total += counts.values.to_numpy()
+        if held is not None:
+            yield rows(held, total)
 
     return run
 
@@ -246,8 +307,8 @@ def phrase_counts(docs: DataFrame, support: int = 100) -> DataFrame:
         with pa.ipc.new_stream(sink, table.schema) as stream:
             stream.write_table(table)
         sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-        seen = plain.select("lang", F.col("text").cast("binary")).mapInArrow(_count(sent), COUNTS)
-        exact = exact.union(seen.groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
+        seen = plain.select("lang", F.col("text").cast("binary")).mapInArrow(_count(sent), PARTS)
+        exact = exact.union(seen.repartition("block").sortWithinPartitions("block").mapInArrow(_add(sent), COUNTS))
     exact = exact.where(F.col("f") >= support)
     return cut(exact.join(known, F.col("lang") == F.col("_lang")).select("lang", "phrase", "f", "n"))
 
