@@ -23,8 +23,8 @@ BUCKET = 128
 LONGEST_PATH = 8
 #: A candidate's share of equal draws may lie so far below the threshold (five deviations).
 SLACK = 0.25
-#: Members of a candidate component are compared in blocks of about this size.
-BLOCK = 64
+#: Members of a candidate component are compared in blocks of about this size, and of about so many shingles.
+BLOCK, BLOCK_SHINGLES = 1000, 1 << 19
 #: Columns of a block's membership matrix that are held at once.
 COLUMNS = 1 << 13
 #: Up to so many rows of ids go to every executor, at 32 bytes each; more are shuffled.
@@ -145,7 +145,8 @@ def candidate_links(sets: DataFrame, threshold: float, recall: float, seed: int)
     small, links = None, None
     for length in range(1, LONGEST_PATH + 1):
         frontier = cut(frontier)
-        sizes = frontier.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        # stored, so that the join may split a path that many sets are on
+        sizes = cut(frontier.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
         placed = cut(frontier.join(sizes, "path"))
         here = placed.where(F.col("size") <= BUCKET).select("path", "rep")
         small = here if small is None else small.union(here)
@@ -236,13 +237,17 @@ def _similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: fl
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("text_hash"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     described = cut(read.mapInArrow(_describe(words), "doc_id long, text_hash long, digest binary, n int, draws array<int>"))
     usable = described.where("doc_id is not null and n > 0")
-    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("draws").alias("draws"))
+    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("draws").alias("draws"), F.first("n").alias("n"))
     # numbers of the classes within this run; stored, so that every use reads the same
-    classes = cut(classes.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "draws", F.monotonically_increasing_id().alias("node")))
+    classes = cut(classes.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "draws", "n", F.monotonically_increasing_id().alias("node")))
     sets = classes.select(F.col("node").alias("rep"), "draws")
     near = components(candidate_links(sets, threshold, recall, seed))
-    sizes = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = near.join(sizes, "component").join(classes.select("node", F.col("rep").alias("_id"), F.col("rep_hash").alias("_h")), "node")
+    members = cut(near.join(classes.select("node", "n", F.col("rep").alias("_id"), F.col("rep_hash").alias("_h")), "node"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = cut(members.groupBy("component").agg(blocks.alias("blocks")))
+    if sizes.count() <= BROADCAST_ROWS:  # or a large component would meet in one task
+        sizes = F.broadcast(sizes)
+    members = members.join(sizes, "component")
     members = cut(members.select(F.col("node").alias("rep"), "component", "blocks", "_id", "_h"))
     some = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     texts = read.join(some, (F.col("doc_id") == F.col("_id")) & (F.col("text_hash") == F.col("_h"))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
