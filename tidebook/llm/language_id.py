@@ -103,7 +103,11 @@ class Parser:
     def symbols(self, text: str) -> np.ndarray:
         """Letters as their class; every run of other characters as one blank."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        classes = np.where(points < TABLE, self.classes[np.minimum(points, TABLE - 1)], self.unknown)
+        classes = self.classes[np.minimum(points, TABLE - 1)]
+        beyond = points >= TABLE
+        if beyond.any():
+            letters = [p for p in np.unique(points[beyond]).tolist() if chr(p).isalpha()]
+            classes = np.where(beyond, np.where(np.isin(points, letters), self.unknown, 0), classes)
         return classes[(classes != 0) | (np.concatenate(([1], classes[:-1])) != 0)].astype(np.int32) if len(classes) else classes.astype(np.int32)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
