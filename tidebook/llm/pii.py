@@ -146,7 +146,8 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, accep
     tokens = seen.where((F.size("over") == 0) | whole).select(
         "doc_id", "_h", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.token").alias("token"), seed.alias("kind"), F.explode(F.filter(sides, lambda x: x["word"].rlike(r"\p{L}"))).alias("x")
     )
-    tokens = tokens.withColumn("pattern", F.xxhash64("x.side", "x.word", shape(F.col("token")))).drop("x")
+    # repeated rows are one document: they add nothing to any statistic
+    tokens = tokens.withColumn("pattern", F.xxhash64("x.side", "x.word", shape(F.col("token")))).drop("x").distinct()
     seeds = tokens.where("kind is not null").groupBy("pattern", "kind", "token").agg(F.count(F.lit(1)).alias("n"))
     seeds = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("seeds")).where(F.col("different") >= support)
     unseen = tokens.where("kind is null").select("doc_id", "_h", "start", "end", "pattern")
