@@ -4,8 +4,9 @@ import random
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from tables import DIR
-from tidebook.llm import decontamination, embedding_dedup, graph, ngram_join
+from tidebook.llm import decontamination, embedding_dedup, graph, mixing, ngram_join
 
 
 def test_components(frame):
@@ -162,3 +163,28 @@ def test_texts_of_one_id_are_linked_and_kept_each(frame):
     assert sorted(found) == sorted([(7, 7, 0, 7, True), *[(7, 7, 1, 7, True)] * 3, (7, 7, 1, 3, False), (8, 7, 0, 7, False), (9, 9, 1, 7, False), (3, 3, 1, 3, True), *[(7, 7, 0, 7, True)] * 2])
     kept = [(r.doc_id, (r.text or "").lower().split()) for r in ngram_join.keep_one(docs).collect()]
     assert sorted(kept) == sorted([(7, one.split()), (7, two.split()), (3, rows[7][1].split()), (7, [])])
+
+
+def test_anchors_meet_what_windows_meet(spark, frame):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").limit(60)
+    bench = spark.read.parquet(f"{DIR}/benchmark.parquet").select("item_id", "text")
+    more = [(900, "so Anna Bob Carl Dora Erik Fred Gina Hans"), (901, "1 2 3 4 5 6 7 8 9"), (902, "red 5 km"), (903, "7"), (904, "which planet is largest")]
+    bench = bench.union(frame(more, "item_id long, text string"))
+    texts = [(10_000, "we saw Tina Rob Karl Nora Emil Finn Gita Hugo there"), (10_001, "0 9 8 7 6 5 4 3 2 1"), (10_002, "a red 5 km b"), (10_003, "Which Planet is largest 7"), (None, "so Anna Bob Carl Dora Erik Fred Gina Hans.")]
+    docs = docs.union(frame(texts, "doc_id long, text string"))
+    items = decontamination.cut(bench.select("item_id", decontamination.marked_tokens(F.col("text")).alias("item")).where(F.size("item") > 0).withColumn("number", F.xxhash64("item_id", "item")))
+    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), decontamination.marked_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    one = {tuple(r) for r in decontamination._by_anchor(named, decontamination._anchored(items, 8)).collect()}
+    other = {tuple(r) for r in decontamination._by_window(named, items, 8).collect()}
+    assert one == other and {r[0] for r in one} >= {None, 10_000, 10_001, 10_002, 10_003}
+
+
+def test_mix_carries_any_column(frame):
+    rows = [(i, f"word {i} a b c", f"s{i % 2}", 7, 8, 9, 10, 11, 12, 3) for i in range(12)]
+    names = ["size", "pieces", "target", "taken", "source_size", "mix_shard", "n_chars"]
+    docs = frame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.mixed_documents(docs, docs.columns).select(*docs.columns)
+    got = out.collect()
+    assert out.columns == docs.columns and got
+    assert {(r["size"], r["pieces"], r["target"], r["taken"], r["source_size"], r["mix_shard"]) for r in got} == {(7, 8, 9, 10, 11, 12)}
+    assert all(r.n_chars == len(r.text) for r in got)

@@ -136,3 +136,19 @@ def test_section_template_goes_on_a_large_host(frame):
     rows = [(i, "http://big.org/a", own.format(i=i, menu="<div>Read in this section</div>" if i < 30 else f"<div>{i} seen</div>")) for i in range(3000)]
     texts = {r.page_id: r.text for r in html_text.extract(frame(rows, "page_id long, url string, html string")).collect()}
     assert not any("section" in x for x in texts.values()) and all(f"{i} seen" in texts[i] for i in range(30, 3000))
+
+
+def test_texts_without_letters_have_no_language(frame):
+    samples = language_id.learn(frame([(i, "the thing was with them", "en") for i in range(20)] + [(100 + i, "der und die schön", "de") for i in range(20)], "doc_id long, text string, lang string"))
+    docs = frame([(1, "😀😀", 5), (2, "123 ... 😀", 5), (3, "𐐨𐐩 the thing was", 5), (4, "𐐨", 5)], "doc_id long, text string, lang_pred int")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, samples).collect()}
+    assert found[1] == found[2] == ("und", 0.0)
+    assert found[3][0] == "en" and found[4][0] in ("de", "en")
+
+
+def test_repeated_rows_add_no_evidence(frame):
+    seeds = [(i, f"call +1 555 010 {1000 + i:04d}x mail a{i}@b.org now") for i in range(10)]
+    unseen = [(100 + i, f"mail ü{i}@b.org now") for i in range(60)]
+    once = {(r.doc_id, r.spans) for r in pii.find_personal_data(frame(seeds + unseen, "doc_id long, text string")).collect()}
+    again = {(r.doc_id, r.spans) for r in pii.find_personal_data(frame(seeds + unseen + unseen[:1] * 6 + seeds[:3] * 4, "doc_id long, text string")).collect()}
+    assert once == again

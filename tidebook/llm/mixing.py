@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebook.llm.common import BLANKS, word_count
+from tidebook.llm.common import BLANKS, free_name, word_count
 
 #: Hexadecimal digits of the permutation key that name a document's bucket within its source.
 BUCKET_DIGITS = 3
@@ -151,13 +151,17 @@ def mixed_documents(docs: DataFrame, columns: Sequence[str], **options) -> DataF
     A copy that the target cuts keeps its first words, joined by single spaces. ``n_chars``, if
     named, is that of the copy's text.
     """
-    asked = [c for c in columns if c not in ("doc_id", "source")]
-    mixed = mix(docs, carry=asked, **options).withColumn("_piece", F.explode("pieces"))
+    # carried under names of their own, whatever they are called
+    asked = {c: f"_asked{i}" for i, c in enumerate(c for c in columns if c not in ("doc_id", "source", "text"))}
+    named = docs.select("doc_id", "source", "text", *[F.col(c).alias(a) for c, a in asked.items()])
+    mixed = mix(named, carry=["text", *asked.values()], **options).withColumn("_piece", F.explode("pieces"))
     cut = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{BLANKS}", ""), BLANKS), 1, F.col("_piece.words").cast("int")), " ")
     mixed = mixed.withColumn("text", F.when(F.col("_piece.words") < F.col("size"), cut).otherwise(F.col("text")))
     if "n_chars" in asked:
-        mixed = mixed.withColumn("n_chars", F.char_length("text").cast("long"))
-    return mixed.select(*columns, F.col("_piece.shard").alias("mix_shard"), F.col("_piece.pass").alias("mix_pass"))
+        mixed = mixed.withColumn(asked["n_chars"], F.char_length("text").cast("long"))
+    kept = [F.col(asked.get(c, c)).alias(c) for c in columns]
+    shard, turn = (free_name(columns, n) for n in ("mix_shard", "mix_pass"))
+    return mixed.select(*kept, F.col("_piece.shard").alias(shard), F.col("_piece.pass").alias(turn))
 
 
 def write_mix(docs: DataFrame, path: str, columns: Sequence[str], shards: int = 16, seed: int = 17, **options) -> None:
