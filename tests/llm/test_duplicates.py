@@ -188,3 +188,34 @@ def test_mix_carries_any_column(frame):
     assert out.columns == docs.columns and got
     assert {(r["size"], r["pieces"], r["target"], r["taken"], r["source_size"], r["mix_shard"]) for r in got} == {(7, 8, 9, 10, 11, 12)}
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_drifting_crowd_keeps_its_links(frame):
+    """A crowd that drifts away from its first text, and a second one beside it: all links, none false."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    rows, text = [], [rng.choice(words) for _ in range(120)]
+    for i in range(450):
+        if i == 300:  # the second crowd shares half of the words only
+            text = text[:60] + [rng.choice(words) for _ in range(60)]
+        text = list(text)
+        text[rng.randrange(120)] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for _, t in rows]
+    links, root = [0] * len(rows), list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    found = {r.doc_id: (r.n_links, r.component_id) for r in ngram_join.similar_documents(frame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: (links[i], top(i)) for i, _ in rows}

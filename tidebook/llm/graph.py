@@ -24,7 +24,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).select(F.col("a").alias("n"), "m")
         large = links.join(least, links["b"] == least["n"]).select("a", F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
+        large = large.where("a != b")
         # smaller neighbours of every node meet the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
         small = large.join(least, large["a"] == least["n"]).select(F.col("b").alias("a"), F.col("m").alias("b"))

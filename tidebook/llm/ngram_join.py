@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,10 @@ def candidate_links(sets: DataFrame, threshold: float, recall: float, seed: int)
     BUCKET sets is compared pair by pair on all draws; one with more is split further. The number of
     runs is such that two sets at the threshold meet with probability ``recall`` even if all
     their paths take three draws.
+
+    Sets on a large first path are linked to its first set where their draws agree. What these
+    links join is one component already, in which all pairs are compared later, so a path ends once
+    all its sets are of one component: a crowd of near copies isn't split again and again.
     """
     meet = 0.75 * threshold + 0.25 * (1 - (1 - threshold) ** 2)
     runs = math.ceil(math.log(1 - recall) / math.log(1 - meet**3))
@@ -137,30 +142,53 @@ def candidate_links(sets: DataFrame, threshold: float, recall: float, seed: int)
         second = F.pmod(F.xxhash64("path", F.lit("second")), F.lit(DRAWS)).cast("int")
         two = F.pmod(F.xxhash64("path", F.lit("two")), F.lit(4)) == 0
         at = F.explode(F.when(two, F.array_distinct(F.array(first, second))).otherwise(F.array(first)))
-        on = rows.select("path", "rep", "draws", at.alias("at"))
-        return on.select(F.xxhash64("path", "at", F.element_at("draws", F.col("at") + 1)).alias("path"), "rep")
+        on = rows.select("path", "rep", "label", "draws", at.alias("at"))
+        return on.select(F.xxhash64("path", "at", F.element_at("draws", F.col("at") + 1)).alias("path"), "rep", "label")
 
     start = F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(F.lit(seed), r)))
-    frontier = extended(sets.select(start.alias("path"), "rep", "draws"))
-    small, links = None, None
+    frontier = extended(sets.select(start.alias("path"), "rep", F.col("rep").alias("label"), "draws"))
+    small, links = None, []
     for length in range(1, LONGEST_PATH + 1):
         frontier = cut(frontier)
         # stored, so that the join may split a path that many sets are on
-        sizes = cut(frontier.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        sizes = cut(_mixed(frontier))
         placed = cut(frontier.join(sizes, "path"))
         here = placed.where(F.col("size") <= BUCKET).select("path", "rep")
         small = here if small is None else small.union(here)
-        large = placed.where(F.col("size") > BUCKET).select("path", "rep")
+        large = placed.where(F.col("size") > BUCKET).select("path", "rep", "label")
         if large.isEmpty():
             break
+        if length == 1:
+            close = cut(_linked_to_first(large, sets, threshold - SLACK))
+            links.append(close)
+            joined = components(close).select(F.col("node").alias("rep"), "component")
+            large = cut(large.join(joined, "rep", "left").select("path", "rep", F.coalesce("component", "rep").alias("label")))
+            large = large.join(cut(_mixed(large).select("path")), "path", "left_semi")
         if length == LONGEST_PATH:
             heads = large.groupBy("path").agg(F.min("rep").alias("b"))
-            links = large.join(heads, "path").select(F.col("rep").alias("a"), "b")
+            links.append(large.join(heads, "path").select(F.col("rep").alias("a"), "b"))
         else:
             frontier = extended(large.join(sets, "rep"))
     buckets = small.join(sets, "rep").select("path", "rep", "draws").repartition("path").sortWithinPartitions("path", "rep")
     found = buckets.mapInArrow(_compare_buckets(threshold - SLACK), "a long, b long")
-    return found if links is None else found.union(links)
+    return reduce(DataFrame.union, links, found)
+
+
+def _mixed(frontier: DataFrame) -> DataFrame:
+    """(path, size) of the paths on which there are sets of more than one component."""
+    sizes = frontier.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most"))
+    return sizes.where("least < most").select("path", "size")
+
+
+def _linked_to_first(large: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): each set on a path with the path's first set, where enough of their draws agree."""
+    first = cut(large.groupBy("path").agg(F.min("rep").alias("b")))
+    pairs = large.join(first, "path").where("rep != b").select(F.col("rep").alias("a"), "b").distinct()
+    heads = sets.select(F.col("rep").alias("b"), F.col("draws").alias("of_first"))
+    heads = cut(heads.join(first.select("b").distinct(), "b", "left_semi"))
+    both = pairs.join(sets.select(F.col("rep").alias("a"), "draws"), "a").join(heads, "b")
+    equal = F.size(F.filter(F.zip_with("draws", "of_first", lambda x, y: x == y), lambda x: x))
+    return both.where(equal >= least * DRAWS).select("a", "b")
 
 
 def intersections(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
