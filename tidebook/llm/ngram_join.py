@@ -96,7 +96,9 @@ def _describe(words: int):
                 if len(hashes):
                     drawn[i] = draws(hashes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, drawn.size + 1, DRAWS), pa.int32()), pa.array(drawn.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), lists], names=["doc_id", "text_hash", "digest", "n", "draws"])
+            sketches = pa.array([x.tobytes() for x in drawn.astype(np.uint8)], pa.binary())
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), lists, sketches]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "digest", "n", "draws", "sketch"])
 
     return run
 
@@ -108,7 +110,7 @@ def _compare_buckets(least: float):
         left, right = [], []
         for bucket in runs_of(batches, 1):
             nodes = bucket.column(1).to_numpy()
-            drawn = np.stack(bucket.column(2).combine_chunks().to_numpy(zero_copy_only=False))
+            drawn = np.frombuffer(b"".join(bucket.column(2).to_pylist()), np.uint8).reshape(-1, DRAWS)
             root = forest((drawn[:, None, :] == drawn[None, :, :]).mean(2) >= least)
             far = np.flatnonzero(root != np.arange(len(root)))
             left += nodes[far].tolist()
@@ -121,11 +123,12 @@ def _compare_buckets(least: float):
 def candidate_links(sets: DataFrame, threshold: float, recall: float, seed: int) -> DataFrame:
     """(a, b): links that join all sets which may be similar enough, by chosen paths.
 
-    ``sets`` is (rep, draws). In every run each set follows paths: a path is extended by one draw
+    ``sets`` is (rep, draws, sketch), a sketch being the last byte of every draw. In every run each set follows paths: a path is extended by one draw
     position, or by two in one case of four, the same for all sets that are on it, and goes on to the
     token drawn there; so the sets on a path share all its tokens, and the expected number of paths that two
     sets at the threshold share does not fall. A path with one set ends. One with up to
-    BUCKET sets is compared pair by pair on all draws; one with more is split further. The number of
+    BUCKET sets is compared pair by pair on the sketches, where equal draws stay equal, so that a pair
+    only gains by it; one with more is split further. The number of
     runs is such that two sets at the threshold meet with probability ``recall`` even if all
     their paths take three draws.
     """
@@ -157,8 +160,8 @@ def candidate_links(sets: DataFrame, threshold: float, recall: float, seed: int)
             heads = large.groupBy("path").agg(F.min("rep").alias("b"))
             links = large.join(heads, "path").select(F.col("rep").alias("a"), "b")
         else:
-            frontier = extended(large.join(sets, "rep"))
-    buckets = small.join(sets, "rep").select("path", "rep", "draws").repartition("path").sortWithinPartitions("path", "rep")
+            frontier = extended(large.join(sets.select("rep", "draws"), "rep"))
+    buckets = small.join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch").repartition("path").sortWithinPartitions("path", "rep")
     found = buckets.mapInArrow(_compare_buckets(threshold - SLACK), "a long, b long")
     return found if links is None else found.union(links)
 
@@ -235,12 +238,12 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
 def _similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999, seed: int = 8) -> DataFrame:
     """The same with text_hash, the hash of the row's text in lower case."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("text_hash"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    described = cut(read.mapInArrow(_describe(words), "doc_id long, text_hash long, digest binary, n int, draws array<int>"))
+    described = cut(read.mapInArrow(_describe(words), "doc_id long, text_hash long, digest binary, n int, draws array<int>, sketch binary"))
     usable = described.where("doc_id is not null and n > 0")
-    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("draws").alias("draws"), F.first("n").alias("n"))
+    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("draws").alias("draws"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     # numbers of the classes within this run; stored, so that every use reads the same
-    classes = cut(classes.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "draws", "n", F.monotonically_increasing_id().alias("node")))
-    sets = classes.select(F.col("node").alias("rep"), "draws")
+    classes = cut(classes.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "draws", "sketch", "n", F.monotonically_increasing_id().alias("node")))
+    sets = classes.select(F.col("node").alias("rep"), "draws", "sketch")
     near = components(candidate_links(sets, threshold, recall, seed))
     members = cut(near.join(classes.select("node", "n", F.col("rep").alias("_id"), F.col("rep_hash").alias("_h")), "node"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
