@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable
 
@@ -42,6 +43,17 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles, and where so configured the checkpoints, that nothing refers to any more.
+
+    Spark deletes them when the driver's collectors find their frames unreachable, by default asked for every
+    half hour only; a loop that stores a table each round asks for it itself, so that its rounds
+    don't lie on the executors' disks together. Whatever a frame still refers to stays.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

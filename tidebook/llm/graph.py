@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import cut
+from tidebook.llm.common import cut, release
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -34,3 +34,5 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         if mark(following) == mark(links):
             return following.select(F.col("a").alias("node"), F.col("b").alias("component")).union(following.select(F.col("b"), F.col("b")).distinct())
         links = following
+        del both, least, large, small, following
+        release(links.sparkSession)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import cut, free_name
+from tidebook.llm.common import cut, free_name, release
 from tidebook.llm.graph import components
 from tidebook.llm.grouped import forest, runs_of
 
@@ -158,6 +158,8 @@ def candidate_links(sets: DataFrame, threshold: float, recall: float, seed: int)
             links = large.join(heads, "path").select(F.col("rep").alias("a"), "b")
         else:
             frontier = extended(large.join(sets, "rep"))
+            del sizes, placed, here, large
+            release(sets.sparkSession)
     buckets = small.join(sets, "rep").select("path", "rep", "draws").repartition("path").sortWithinPartitions("path", "rep")
     found = buckets.mapInArrow(_compare_buckets(threshold - SLACK), "a long, b long")
     return found if links is None else found.union(links)
