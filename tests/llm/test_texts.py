@@ -152,3 +152,35 @@ def test_repeated_rows_add_no_evidence(frame):
     once = {(r.doc_id, r.spans) for r in pii.find_personal_data(frame(seeds + unseen, "doc_id long, text string")).collect()}
     again = {(r.doc_id, r.spans) for r in pii.find_personal_data(frame(seeds + unseen + unseen[:1] * 6 + seeds[:3] * 4, "doc_id long, text string")).collect()}
     assert once == again
+
+
+def test_titles_teasers_and_class_words(frame):
+    pages = {
+        1: ("<article><header><div><h1>Title</h1></div></header><p>Body text</p></article>", "Title\nBody text"),
+        2: ("<article><h1>A</h1><p class='social-science'>Kept</p><div class='share-bar'>x</div><div id=comments><p>c</p></div><p class=ad>y</p></article><article class='card'><p>Teaser</p></article>", "A\nKept"),
+        3: ("<div class='with-sidebar'><div class='sidebar layout'><article><p>Text &amp; more</p></article></div><div class=sidebar>menu</div></div>", "Text & more"),
+        4: ("<article><p>First of a list</p></article><article><p>Second of a list</p></article>", "First of a list\nSecond of a list"),
+        5: ("<article><p>The only long text of this page</p><p>and its second part</p></article><article><p>See also</p></article>", "The only long text of this page\nand its second part"),
+        6: ("<div>" * 20000 + "deep", "deep"),
+        7: ("<b>" * 20000 + "<p>a</x></p>" * 2000, "\n".join("a" * 2000)),
+        8: ("<ul>" + "<b>" * 20000 + "<li>a" * 2000, "\n".join("a" * 2000)),
+        9: ("<table><tr><td>a<td>b<tr><th>c</table><dl><dt>d<dd>e</dl><p>f<p>g<div>h</div></p>i", "\n".join("abcdefghi")),
+        10: ("no markup &lt;b&gt; " + "word " * 50000, "no markup <b> " + " ".join(["word"] * 50000)),
+    }
+    rows = [(i, None, html) for i, (html, _) in pages.items()]
+    found = {r.page_id: r.text for r in html_text.extract(frame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: text for i, (_, text) in pages.items()}
+
+
+def test_template_counts_agree_with_plain_python(spark):
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    rows = pages.select("page_id", html_text.host_of(F.col("url")).alias("host"), "html").collect()
+    counts, parsed = {}, {}
+    for r in rows:
+        order, roots = html_text.prepare(r.html or "")
+        parsed[r.page_id] = r.host, order, roots
+        for x in html_text.candidates(order, roots):
+            counts.setdefault((r.host, x.digest), set()).add(tuple(y.digest for y in roots))
+    template = {key for key, contents in counts.items() if len(contents) >= 3}
+    expected = {i: html_text.main_text(order, roots, {d for h, d in template if h == host}) for i, (host, order, roots) in parsed.items()}
+    assert {r.page_id: r.text for r in html_text.extract(pages, min_pages=3).collect()} == expected and len(template) > 0

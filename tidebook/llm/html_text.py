@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.llm.common import cut
+
 # Element names by their role in HTML, and the words that name furniture in class and id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -24,6 +27,9 @@ FURNITURE_WORDS = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 HEADINGS = frozenset(("h1", "h2"))
+CONTAINERS = frozenset("div section ul ol dl table figure header nav form fieldset details center td th tr tbody".split())
+#: A class that begins so tells the layout of an element, not its role: with-sidebar, has-banner.
+LAYOUT = frozenset("with without has no".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)", re.S)
 NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
@@ -34,17 +40,32 @@ BLANK = re.compile(r"\s+")
 class Node:
     """An element: its name, role words, children (elements and texts), and what is known of it."""
 
-    __slots__ = ("name", "attributes", "children", "parent", "digest", "chars", "main", "dropped", "inside")
+    __slots__ = ("name", "attributes", "children", "parent", "digest", "chars", "main", "dropped", "inside", "heading", "holder")
 
     def __init__(self, name: str, attributes: str, parent: Node | None) -> None:
         self.name, self.attributes, self.parent, self.children = name, attributes, parent, []
         self.digest, self.chars, self.main, self.dropped, self.inside = 0, 0, False, False, False
+        self.heading = self.holder = False
 
 
 def parse(text: str) -> Node:
-    """The element tree of a page, with the usual repairs of missing and crossed tags."""
+    """The element tree of a page, with the usual repairs of missing and crossed tags.
+
+    The numbers of open elements by name tell whether there is one to close, so that only elements
+    that are closed are walked over, and the time stays in proportion to the page.
+    """
     root = node = Node("", "", None)
+    opened: Counter[str] = Counter()
     at = pos = 0
+
+    def close(last: Node) -> Node:
+        """Close elements from the current one up to the given one."""
+        up = node
+        while up is not last.parent:
+            opened[up.name] -= 1
+            up = up.parent
+        return up
+
     while True:
         found = TAG.search(text, pos)
         if not found:
@@ -57,24 +78,28 @@ def parse(text: str) -> Node:
             continue
         name = found[2].lower()
         if found[1]:
-            up = node
-            while up is not root and up.name != name:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if opened[name] > 0:
+                up = node
+                while up.name != name:
+                    up = up.parent
+                node = close(up)
             continue
-        if name not in INLINE:
+        if name not in INLINE and opened["p"] > 0:  # then only inline elements are open within it
             up = node
-            while up is not root and (up.name in INLINE or up.name == "p"):
-                if up.name == "p":
-                    node = up.parent
+            while up.name in INLINE:
                 up = up.parent
-        if name in CLOSES:
-            up = node
+            if up.name == "p":
+                node = close(up)
+        if name in CLOSES and any(opened[x] > 0 for x in CLOSES[name]):
+            up, last = node, None
             while up is not root and up.name not in LIMITS[name]:
                 if up.name in CLOSES[name]:
-                    node = up.parent
+                    last = up
+                    if up.name == name or name != "tr":
+                        break
                 up = up.parent
+            if last is not None:
+                node = close(last)
         child = Node(name, found[3][:-1], node)
         node.children.append(child)
         if name in RAW:
@@ -82,9 +107,12 @@ def parse(text: str) -> Node:
             end = ending.start() if ending else -1
             child.children.append(text[at:end] if end >= 0 else text[at:])
             at = pos = len(text) if end < 0 else end
-            node = child if end >= 0 else node
+            if end >= 0:
+                node = child
+                opened[name] += 1
         elif name not in VOID and not found[3].endswith("/>"):
             node = child
+            opened[name] += 1
 
 
 def furniture(node: Node) -> bool:
@@ -99,15 +127,25 @@ def furniture(node: Node) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id") and any(w.lower() in FURNITURE_WORDS for w in WORDS.findall(value)):
+        if key in ("class", "id") and not node.holder and any(_names_furniture(x, node.name in CONTAINERS) for x in value.split()):
             return True
     return False
 
 
+def _names_furniture(token: str, container: bool) -> bool:
+    """Whether a class or id names furniture: any of its words for a container, else only as a whole."""
+    words = [w.lower() for w in WORDS.findall(token)]
+    if not container:
+        return len(words) == 1 and words[0] in FURNITURE_WORDS
+    return bool(words) and words[0] not in LAYOUT and any(w in FURNITURE_WORDS for w in words)
+
+
 def prepare(text: str) -> tuple[list[Node], list[Node]]:
     """A page's elements, parents before children, and the roots of its main text in page order.
 
-    Roots are the outermost articles that aren't furniture; else the main elements; else the tree.
+    Roots are the outermost articles that aren't furniture; else the main elements; else the tree. Of
+    several articles those with a page title (h1) are the text, if there are such; else those with a
+    quarter of the longest one's letters or more, as what is shorter is a teaser or a reply.
     """
     root = parse(text)
     order, stack = [], [root]
@@ -115,6 +153,10 @@ def prepare(text: str) -> tuple[list[Node], list[Node]]:
         node = stack.pop()
         order.append(node)
         stack += [x for x in node.children if type(x) is Node]
+    for node in reversed(order):  # children first
+        inner = [x for x in node.children if type(x) is Node]
+        node.heading = node.name in HEADINGS or any(x.heading for x in inner)
+        node.holder = any(x.holder or x.name in ("article", "main") and not furniture(x) for x in inner)
     shown = []
     for node in order:  # parents first
         up = node.parent
@@ -130,6 +172,11 @@ def prepare(text: str) -> tuple[list[Node], list[Node]]:
     for node in order:
         node.inside = id(node) in chosen or node.parent is not None and node.parent.inside
     roots = [x for x in roots if x.parent is None or not x.parent.inside]
+    if len(roots) > 1 and roots[0].name == "article":
+        roots = _articles(roots)
+        chosen = set(map(id, roots))
+        for node in order:
+            node.inside = id(node) in chosen or node.parent is not None and node.parent.inside
     tops = set(map(id, roots))
     order.reverse()
     for node in order:
@@ -148,6 +195,24 @@ def prepare(text: str) -> tuple[list[Node], list[Node]]:
     return order, [x for x in _in_page_order(root) if id(x) in tops] if len(roots) > 1 else roots or [root]
 
 
+def _articles(roots: list[Node]) -> list[Node]:
+    """Of a page's outermost articles those that are its text, and not teasers or replies."""
+    titled, chars = [], []
+    for root in roots:
+        n, title, stack = 0, False, [root]
+        while stack:
+            x = stack.pop()
+            if type(x) is str:
+                n += len(x) - x.count(" ")
+            elif not x.dropped:
+                title |= x.name == "h1"
+                stack += x.children
+        chars.append(n)
+        if title:
+            titled.append(root)
+    return titled or [x for x, n in zip(roots, chars, strict=True) if 4 * n >= max(chars)]
+
+
 def _in_page_order(root: Node) -> Iterator[Node]:
     stack = [root]
     while stack:
@@ -179,7 +244,7 @@ def main_text(order: list[Node], roots: list[Node], template: set[int]) -> str:
     """Blocks of the main text, one a line, without template subtrees and furniture."""
     gone = {id(x) for x in candidates(order, roots) if x.digest in template}
     # the header of an article holds its title; any other header is the page's
-    gone |= {id(x) for x in order if x.name == "header" and not (x.inside and any(type(y) is Node and y.name in HEADINGS for y in x.children))}
+    gone |= {id(x) for x in order if x.name == "header" and not (x.inside and x.heading)}
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -244,7 +309,8 @@ def extract(pages: DataFrame, min_pages: int = 8) -> DataFrame:
     such pages is template and is deleted there; on hosts with more than 1,000 pages it takes as many
     again for every further power of ten, as chance repeats grow, so 32 pages of a million. What its name,
     role, class or id marks as menu, notice, advert, form, comment or the like goes everywhere, as
-    hosts with few pages have no statistics. Where a page has an article (else a main element) only
+    hosts with few pages have no statistics; a class or id counts by any of its words on a container
+    and only as a whole word on paragraphs and the like, and never on what holds the article. Where a page has an article (else a main element) only
     that is text; its paragraphs and any subtree of more than half of it are never template.
 
     Counts combine before the shuffle, and the join of a large host's pages with its template can
@@ -252,7 +318,8 @@ def extract(pages: DataFrame, min_pages: int = 8) -> DataFrame:
     host, and repeated rows all stay. An empty table gives no rows; other columns are not read.
     """
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), "html")
-    seen = narrow.mapInArrow(_hashes, "page_id long, host string, subtree long, content long")
+    # stored, so that every page is parsed once for its hashes and once for its text
+    seen = cut(narrow.mapInArrow(_hashes, "page_id long, host string, subtree long, content long"))
     per_content = seen.select("host", "subtree", "content").distinct()
     hosts = per_content.groupBy("host", "content").agg(F.lit(1).alias("_one")).groupBy("host").agg(F.count("_one").alias("pages"))
     counted = per_content.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
