@@ -173,7 +173,10 @@ def test_titles_teasers_and_class_words(frame):
 
 
 def test_template_counts_agree_with_plain_python(spark):
-    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", "url", "html")
+    side = "<article><h1>T {0}</h1><p>Own {0}</p><div>Read in section {1}</div></article><div>seen {2}</div>"
+    more = [(10**9 + i, f"http://made{i % 3}.org/", side.format(i, i % 5, i % 9)) for i in range(90)]
+    pages = pages.union(spark.createDataFrame(more, "page_id long, url string, html string"))
     rows = pages.select("page_id", html_text.host_of(F.col("url")).alias("host"), "html").collect()
     counts, parsed = {}, {}
     for r in rows:
