@@ -187,3 +187,21 @@ def test_template_counts_agree_with_plain_python(spark):
     template = {key for key, contents in counts.items() if len(contents) >= 3}
     expected = {i: html_text.main_text(order, roots, {d for h, d in template if h == host}) for i, (host, order, roots) in parsed.items()}
     assert {r.page_id: r.text for r in html_text.extract(pages, min_pages=3).collect()} == expected and len(template) > 0
+
+
+def test_contexts_find_what_no_format_covers(frame):
+    seeds = [(i, f"Please call +1 555 010 {1000 + i:04d} today or mail a{i}@b.org now") for i in range(40)]
+    long = "w" * 100
+    asked = {
+        100: ("Please call 017-555-7713 today", "phone", "017-555-7713"),
+        101: ("Please call 017 555 77 13 today", "phone", "017 555 77 13"),
+        102: ("or mail jo@host now", "email", "jo@host"),
+        103: (f"or mail {long}@host now", "email", f"{long}@host"),
+        104: ("we call 12 times", None, None),
+        105: ("the code 017-555-7713 here", None, None),
+        106: (" ".join(["1"] * 3000) + "x", None, None),
+    }
+    docs = frame(seeds + [(i, text) for i, (text, _, _) in asked.items()], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    for i, (text, kind, token) in asked.items():
+        assert found[i] == ("" if kind is None else f"{kind}:{text.index(token)}:{text.index(token) + len(token)}")

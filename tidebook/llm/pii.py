@@ -18,10 +18,10 @@ PATTERNS = {
 }
 #: A text without these cannot hold the kind.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": "+"}
-#: A run of non-blank characters with a digit or an at sign.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-LONGEST_TOKEN = 64
-CONTEXT_CHARS = 64
+#: Digits and separators up to a blank or closing punctuation.
+_PART = r"[+(]?+[0-9][0-9().+/,-]*+(?![^\x20\x09-\x0D;:!?])"
+#: A mention: such parts joined over single spaces, else a run of non-blank characters with a digit or an at sign.
+TOKEN = rf"(?<![^\x20\x09-\x0D])(?:{_PART}(?:\x20{_PART})*+|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
 
 
 def _found(text: Column, pattern: str, guard: Column) -> Column:
@@ -29,8 +29,8 @@ def _found(text: Column, pattern: str, guard: Column) -> Column:
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(
         F.slice(pieces, 1, F.size(matches)),
-        F.zip_with(matches, F.slice(pieces, 2, F.greatest(F.size(matches), F.lit(0))), lambda m, after: F.struct(m.alias("m"), F.left(after, F.lit(CONTEXT_CHARS)).alias("after"))),
-        lambda before, x: F.struct(F.char_length(before).alias("gap"), F.right(before, F.lit(CONTEXT_CHARS)).alias("before"), x["m"].alias("m"), x["after"].alias("after")),
+        F.zip_with(matches, F.slice(pieces, 2, F.greatest(F.size(matches), F.lit(0))), lambda m, after: F.struct(m.alias("m"), after.alias("after"))),
+        lambda before, x: F.struct(F.char_length(before).alias("gap"), before.alias("before"), x["m"].alias("m"), x["after"].alias("after")),
     )
     kind = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
     placed = F.aggregate(
@@ -96,7 +96,7 @@ def written(spans: Column) -> Column:
 
 def _mentions(text: Column) -> Column:
     """Tokens that may identify someone, without punctuation around them, and the words beside them."""
-    found = F.filter(_found(text, TOKEN, text.rlike("[0-9@]")), lambda x: F.char_length(x["match"]) <= LONGEST_TOKEN)
+    found = _found(text, TOKEN, text.rlike("[0-9@]"))
     lead = lambda x: F.char_length(F.regexp_extract(x["match"], r"^[^\p{L}0-9+@]+", 0))
     trail = lambda x: F.char_length(F.regexp_extract(x["match"], r"(?<=[\p{L}0-9])[^\p{L}0-9]++$", 0))
     return F.filter(
@@ -106,7 +106,7 @@ def _mentions(text: Column) -> Column:
                 (x["start"] + lead(x)).alias("start"),
                 (x["end"] - trail(x)).alias("end"),
                 F.substring(x["match"], lead(x) + 1, F.char_length(x["match"]) - lead(x) - trail(x)).alias("token"),
-                F.lower(F.regexp_extract(x["before"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*$", 1)).alias("left"),
+                F.lower(F.regexp_extract(x["before"], r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1)).alias("left"),
                 F.lower(F.regexp_extract(x["after"], r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)).alias("right"),
             ),
         ),
@@ -119,15 +119,24 @@ def shape(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, r"\p{L}+", "a"), "[0-9]", "9")
 
 
+def coarse(token: Column) -> Column:
+    """A token's type: an address, a number of 7 to 19 digits, another number, or letters with digits."""
+    digits = F.char_length(F.regexp_replace(token, "[^0-9]", ""))
+    number = F.when(digits.between(7, 19), F.lit("number")).otherwise(F.lit("short or long"))
+    return F.when(F.contains(token, F.lit("@")), F.lit("address")).when(token.rlike(r"\p{L}"), F.lit("mixed")).otherwise(number)
+
+
 def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, accept: float = 0.9, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     The fixed formats give the base spans, whose number is counted and whose list is hashed. They
-    are also the seeds: the word (with a letter) before or after a seed, with the seed's shape, is a
-    lexical pattern of its kind. Patterns and the tokens they match form a graph. In each round a pattern
+    are also the seeds: the word (with a letter) before or after a seed is a lexical pattern of its kind,
+    once with the seed's coarse type (address, number, letters with digits) and once with its exact shape. What
+    stands beside such a word and is of the type is a candidate, digits joined over single spaces.
+    Patterns and the tokens they match form a graph. In each round a pattern
     scores the summed belief in its tokens over their number plus one, provided it matches
-    ``support`` different seeds, and an unseen token believes in a kind by the noisy-or of its
-    patterns. Tokens that end at ``accept`` or more join ``spans`` with that kind; they never
+    ``support`` different seeds, and an unseen token believes in a kind by the noisy-or of its two
+    sides, each with the better of its patterns. Tokens that end at ``accept`` or more join ``spans`` with that kind; they never
     overlap base spans, which all stay. Every statistic is over all documents.
 
     Null and empty texts have no spans. Equal rows get equal results; equal ids with different
@@ -147,10 +156,11 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, accep
         "doc_id", "_h", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.token").alias("token"), seed.alias("kind"), F.explode(F.filter(sides, lambda x: x["word"].rlike(r"\p{L}"))).alias("x")
     )
     # repeated rows are one document: they add nothing to any statistic
-    tokens = tokens.withColumn("pattern", F.xxhash64("x.side", "x.word", shape(F.col("token")))).drop("x").distinct()
+    kinds = F.array(F.xxhash64("x.side", "x.word", shape(F.col("token"))), F.xxhash64("x.side", "x.word", F.lit("type"), coarse(F.col("token"))))
+    tokens = tokens.withColumn("pattern", F.explode(kinds)).withColumn("side", F.col("x.side")).drop("x").distinct()
     seeds = tokens.where("kind is not null").groupBy("pattern", "kind", "token").agg(F.count(F.lit(1)).alias("n"))
     seeds = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("seeds")).where(F.col("different") >= support)
-    unseen = tokens.where("kind is null").select("doc_id", "_h", "start", "end", "pattern")
+    unseen = tokens.where("kind is null").select("doc_id", "_h", "start", "end", "side", "pattern")
     # the graph: unseen tokens of the patterns that have seeds enough, and all tokens that such a pattern matches
     totals = tokens.groupBy("pattern").agg(F.count(F.lit(1)).alias("matched"))
     patterns = cut(seeds.join(totals, "pattern"))
@@ -163,8 +173,8 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, accep
         added = edges.join(known, same).groupBy("pattern", "kind").agg(F.sum("belief").alias("added"))
         scores = patterns.join(added, ["pattern", "kind"], "left")
         scores = scores.select("pattern", "kind", ((F.col("seeds") + F.coalesce("added", F.lit(0.0))) / (F.col("matched") + 1)).alias("score"))
-        doubt = F.exp(F.sum(F.log(1 - F.col("score"))))
-        belief = cut(edges.join(scores, ["pattern", "kind"]).groupBy(*here).agg((1 - doubt).alias("belief")))
+        sides = [F.coalesce(F.max(F.when(F.col("side") == side, F.col("score"))), F.lit(0.0)) for side in "<>"]
+        belief = cut(edges.join(scores, ["pattern", "kind"]).groupBy(*here).agg((1 - (1 - sides[0]) * (1 - sides[1])).alias("belief")))
     chosen = belief.where(F.col("belief") >= accept).groupBy("doc_id", "_h", "start", "end").agg(F.max_by("kind", F.struct("belief", -F.col("kind"))).alias("kind"))
     added = chosen.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     added = added.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"), "added")
