@@ -74,3 +74,23 @@ def test_few_and_missing(spark):
     raw = spark.createDataFrame([(1, 0, 1, 2.0, 5.0, "a"), (2, 1, 1, 3.0, None, "a"), (3, 1, 1, 4.0, 9.0, "b")], "k long, f int, w int, v double, size double, place string")
     made = {r["key"]: r["x"] for r in neighbours.points(raw, "k", "f", "w", "v", ["size"], ["place"]).collect()}
     assert made == {1: [0.0], 3: [1.0]}
+
+
+def test_only_groups_in_reach_are_searched(spark, monkeypatch):
+    """Points that share their categories with others at hand meet those, not all cells of the tree."""
+    rng = random.Random(5)
+    rows = [(i, i % 4, 1, float(i % 7), [rng.random() / 2], [i // 4 % 40, i // 160 % 30]) for i in range(4800)]
+    met = []
+    inner = neighbours._search
+
+    def counted(k, dims, categories, schema):
+        met.append(categories)
+        return inner(k, dims, categories, schema)
+
+    monkeypatch.setattr(neighbours, "_search", counted)
+    data = spark.createDataFrame(rows, SCHEMA)
+    found = {r["key"]: r["prediction"] for r in neighbours.nearest_mean(data, 1, 2, 4, 3, 64, 8).collect()}
+    assert len(met) == 1  # one round, no second search
+    few = rows[:160] + [r for r in rows[160:] if r[5][0] == 0]
+    want = by_hand(few, 3)
+    assert all(found[r[0]] == pytest.approx(want[r[0]]) for r in rows[:160])

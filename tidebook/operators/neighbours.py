@@ -1,15 +1,18 @@
 """Exact nearest-neighbour regression by a tree of pivot cells.
 
 Points have numeric features, compared by their difference, and categories, compared as one-hot
-vectors: two different values are sqrt(2) apart. Both together are a metric, so a cell of points
-around a pivot can be passed over by the triangle inequality. Cells are split again until they are
-small, each search is one cell against the points that must see it, and no pair is formed that the
-inequality excludes.
+vectors: two different values are sqrt(2) apart. Points that agree in a set of categories form a
+group, and a search looks first at the groups of all categories, then at those of all but one, and so on, as
+long as a point that differs in so many can still be among the nearest. Inside a group only the numeric
+features tell points apart. They are a metric, so a cell of points around a pivot can be passed over
+by the triangle inequality. Groups and cells are split until they are small, each search is one
+cell against the points that must see it, and no pair is formed that the inequality excludes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -56,15 +59,17 @@ class CellTree:
     """Reference points in leaves of at most ``leaf_rows``, and for each level the children of its cells.
 
     A child has its pivot, the least and greatest distance of its points to it, and their weight in
-    each fold. Points that are equal in all features share a leaf; of each fold only the first k by
-    key are kept, since no search can need more, so a leaf that can't be split is small.
+    each fold. Points may come with the cell they begin in, else it is one for all. Without
+    ``categories`` only the numeric features count. Points that are equal in all features share a leaf;
+    with ``first`` only so many of each fold by key are kept in a cell that is split, since no search
+    can need more, so a leaf that can't be split is small.
     """
 
-    def __init__(self, refs: DataFrame, dims: int, categories: int, folds: int, leaf_rows: int, fan: int):
+    def __init__(self, refs: DataFrame, dims: int, categories: int, folds: int, leaf_rows: int, fan: int, first: int | None = None):
         self.dims, self.categories = dims, categories
         self.levels: list[DataFrame] = []
         leaves = []
-        cells = refs.withColumn("cell", F.lit(ROOT))
+        cells = refs if "cell" in refs.columns else refs.withColumn("cell", F.lit(ROOT))
         while True:
             large = small_side(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows).select("cell"))
             if large.isEmpty():
@@ -72,6 +77,9 @@ class CellTree:
                 break
             leaves.append(cells.join(large, "cell", "left_anti"))
             split = cells.join(large, "cell", "left_semi")
+            if first is not None and not self.levels:
+                equal = W.partitionBy("cell", "x", "fold").orderBy("key", "value", "weight")
+                split = split.withColumn("_n", F.row_number().over(equal)).where(F.col("_n") <= first).drop("_n")
             placed = settle(self._placed(split, fan))
             self.levels.append(settle(self._children(placed, folds)))
             cells = placed.withColumn("cell", F.col("child")).drop("child", "d", "px", "pc")
@@ -83,7 +91,8 @@ class CellTree:
     def _placed(self, split: DataFrame, fan: int) -> DataFrame:
         """The points with their nearest pivot's cell; pivots are the vectors of a cell with the smallest hashes."""
         order = W.partitionBy("cell").orderBy(F.xxhash64("x", "c"), "x", "c")
-        chosen = split.select("cell", "x", "c").distinct().withColumn("p", F.row_number().over(order)).where(F.col("p") <= fan)
+        vector = "c" if self.categories else F.lit(None).cast("array<long>").alias("c")
+        chosen = split.select("cell", "x", vector).distinct().withColumn("p", F.row_number().over(order)).where(F.col("p") <= fan)
         pivots = chosen.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("p", "x", "c"))).alias("pivots"))
         measure = lambda p: F.struct(_distance(F.col("x"), F.col("c"), p["x"], p["c"], self.dims, self.categories).alias("d"), p["p"].alias("p"), p["x"].alias("px"), p["c"].alias("pc"))
         near = split.join(small_side(pivots), "cell").withColumn("_n", F.array_min(F.transform("pivots", measure)))
@@ -108,10 +117,11 @@ class CellTree:
     def home(self, queries: DataFrame, k: int) -> DataFrame:
         """The queries with a cell and a distance within which k points of other folds surely lie.
 
-        Each goes down to the nearest child that holds so many. The cell is its leaf, or null where no
-        child of the last one does.
+        Each begins in its ``group``, if it has one, and goes down to the nearest child that holds so many.
+        The cell is its leaf, or null where no child of the last one does. A smaller ``reach`` of its own stays.
         """
-        front = queries.withColumns({"cell": F.lit(ROOT), "reach": F.lit(float("inf"))})
+        own = [c for c in queries.columns if c != "reach"]
+        front = queries.withColumns({"cell": self._start(queries), "reach": F.col("reach") if "reach" in queries.columns else F.lit(float("inf"))})
         for level in self.levels:
             met = front.join(small_side(level), F.col("cell") == F.col("parent"), "left")
             known = lambda ch: F.struct(self._to(ch).alias("d"), ch["child"].alias("child"), ch["high"].alias("high"))
@@ -119,12 +129,16 @@ class CellTree:
             met = met.withColumn("_b", best)
             cell = F.when(F.col("parent").isNull(), F.col("cell")).otherwise(F.col("_b.child"))
             reach = F.when(F.col("_b").isNull(), F.col("reach")).otherwise(F.least("reach", F.col("_b.d") + F.col("_b.high")))
-            front = met.select(*queries.columns, cell.alias("cell"), reach.alias("reach"))
+            front = met.select(*own, cell.alias("cell"), reach.alias("reach"))
         return front
 
+    @staticmethod
+    def _start(queries: DataFrame) -> Column:
+        return F.col("group") if "group" in queries.columns else F.lit(ROOT)
+
     def visits(self, queries: DataFrame) -> DataFrame:
         """A row for every query and leaf that may hold a point within its ``reach``, but for its ``home`` leaf."""
-        front = queries.withColumn("cell", F.lit(ROOT))
+        front = queries.withColumn("cell", self._start(queries))
         slack = F.col("reach") * (1 + 1e-9) + 1e-9
         for level in self.levels:
             met = front.join(small_side(level), F.col("cell") == F.col("parent"), "left")
@@ -135,7 +149,11 @@ class CellTree:
 
 
 def _search(k: int, dims: int, categories: int, schema: pa.Schema):
-    """Each cell's points, then its queries, as they come sorted: the first k points of other folds by distance and key."""
+    """Each cell's points, then its queries, as they come sorted: the first k points of other folds by distance and key.
+
+    A query's points agree with it in the categories whose bits ``agree`` has, and in no other. Its
+    ``reach`` is numeric.
+    """
 
     def matrix(batch: pa.RecordBatch, name: str, width: int, kind) -> np.ndarray:
         return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, width)
@@ -173,18 +191,21 @@ def _search(k: int, dims: int, categories: int, schema: pa.Schema):
         keys, folds, weights, values, rx, rc = refs
         reach = part.column("reach").to_numpy() * (1 + 1e-9) + 1e-9
         asked = part.column("q").to_numpy()
+        agree = part.column("agree").to_numpy()
         for at in range(0, len(x), 1024):
             some = slice(at, at + 1024)
             d = np.zeros((len(x[some]), len(rx)))
             for j in range(dims):
                 apart = x[some, j, None] - rx[None, :, j]
                 d += apart * apart
-            differ = np.zeros(d.shape)
+            out = (fold[some, None] == folds[None, :]) | (d > (reach[some] * reach[some])[:, None])
+            missed = np.zeros(len(d))
             for j in range(categories):
-                differ += c[some, j, None] != rc[None, :, j]
-            d += 2.0 * differ
-            d[fold[some, None] == folds[None, :]] = np.inf
-            d[d > (reach[some] * reach[some])[:, None]] = np.inf
+                same = (agree[some] >> j & 1).astype(bool)
+                out |= (c[some, j, None] == rc[None, :, j]) != same[:, None]
+                missed += ~same
+            d += 2.0 * missed[:, None]
+            d[out] = np.inf
             most = min(k, len(rx))
             limit = np.partition(d, most - 1, axis=1)[:, most - 1]
             rows, cols = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
@@ -200,8 +221,8 @@ def _search(k: int, dims: int, categories: int, schema: pa.Schema):
     return run
 
 
-def _meet(tree: CellTree, asks: DataFrame, k: int) -> DataFrame:
-    """(q, d, key, weight, value): of each visited leaf the first k points within reach, d squared.
+def _meet(tree: CellTree, asks: DataFrame, k: int, categories: int) -> DataFrame:
+    """(q, d, key, weight, value): of each visited leaf the first k points within reach, d squared, all features counted.
 
     Where many queries visit one leaf, the leaf is copied and the queries are dealt over the copies.
     """
@@ -209,16 +230,23 @@ def _meet(tree: CellTree, asks: DataFrame, k: int) -> DataFrame:
 
     spark = asks.sparkSession
     copies = small_side(asks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITS).cast("int").alias("copies")))
-    columns = ("cell", "copy", "asks", "q", "reach", "key", "fold", "weight", "value", "x", "c")
+    columns = ("cell", "copy", "asks", "q", "agree", "reach", "key", "fold", "weight", "value", "x", "c")
     types = {f.name: f.dataType for f in tree.leaves.schema.fields}
     refs = tree.leaves.join(copies, "cell").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    refs = refs.withColumns({"asks": F.lit(False), "q": F.lit(None).cast("long"), "reach": F.lit(None).cast("double")}).select(*columns)
+    refs = refs.withColumns({"asks": F.lit(False), "q": F.lit(None).cast("long"), "agree": F.lit(None).cast("int"), "reach": F.lit(None).cast("double")}).select(*columns)
     asked = asks.join(copies, "cell").withColumn("copy", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int"))
     asked = asked.withColumns({"asks": F.lit(True), "key": F.lit(None).cast(types["key"]), "weight": F.lit(None).cast("long"), "value": F.lit(None).cast("double")}).select(*columns)
     ddl = f"q long, d double, key {types['key'].simpleString()}, weight long, value double"
     schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
     dealt = refs.union(asked).repartition("cell", "copy").sortWithinPartitions("cell", "copy", "asks")
-    return dealt.mapInArrow(_search(k, tree.dims, tree.categories, schema), ddl)
+    return dealt.mapInArrow(_search(k, tree.dims, categories, schema), ddl)
+
+
+def _grouped(frame: DataFrame, categories: int, missing: int, name: str) -> DataFrame:
+    """A row for every choice of all categories but ``missing``: its bits as ``agree``, its values' group as ``name``."""
+    some = [(sum(1 << j for j in kept), kept) for kept in combinations(range(categories), categories - missing)]
+    choices = [F.struct(F.lit(bits).alias("agree"), F.concat(F.lit(f"{bits}:"), F.xxhash64(F.lit(bits), *[F.col("c")[j] for j in kept]).cast("string")).alias(name)) for bits, kept in some]
+    return frame.withColumn("_g", F.explode(F.array(*choices))).select(*frame.columns, "_g.*")
 
 
 def nearest_mean(data: DataFrame, dims: int, categories: int, folds: int, k: int = 3, leaf_rows: int = LEAF_ROWS, fan: int = FAN) -> DataFrame:
@@ -226,24 +254,40 @@ def nearest_mean(data: DataFrame, dims: int, categories: int, folds: int, k: int
 
     A point of weight w is w equal rows. Nearer points come first, of equally near ones the lower
     key; the last one counts as often as rows are missing up to k. Without any point of another fold
-    the prediction is null. Exact: a first search in a near cell bounds the distance of the k-th row,
-    and every cell that the triangle inequality does not exclude is searched. ``folds`` is
-    their number, counted from 0.
+    the prediction is null. Exact: a round finds the points that differ in ``missing`` categories, each
+    in the one group of those it shares with the query, for all queries whose k-th row so far is
+    as far as such a point can be near. In a group a first search in a near cell bounds the distance of
+    the k-th row, and every cell that the triangle inequality does not exclude is searched.
+    ``folds`` is their number, counted from 0.
     """
     first = W.partitionBy("x", "c", "fold").orderBy("key", "value", "weight")
     refs = settle(data.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n"))
     queries = settle(data.select("x", "c", "fold").distinct().withColumn("q", F.monotonically_increasing_id()))
-    tree = CellTree(refs, dims, categories, folds, leaf_rows, fan)
-    home = settle(tree.home(queries, k))
-    near = settle(_meet(tree, home.where(F.col("cell").isNotNull()), k))
     before = lambda *order: F.coalesce(F.sum("weight").over(W.partitionBy("q").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    needed = near.withColumn("_b", before("d", "key")).where(F.col("_b") < k)
-    third = needed.groupBy("q").agg(F.when(F.sum("weight") >= k, F.sqrt(F.max("d"))).alias("third"))
-    bounded = home.withColumnRenamed("cell", "home").join(third, "q", "left")
-    bounded = settle(bounded.withColumn("reach", F.least("reach", F.coalesce("third", F.lit(float("inf"))))).drop("third"))
-    rest = _meet(tree, settle(tree.visits(bounded)), k)
-    every = near.union(rest).withColumn("_b", before("d", "key")).where(F.col("_b") < k)
+    nearest = lambda found: found.withColumn("_b", before("d", "key")).where(F.col("_b") < k)
+    third = lambda found: nearest(found).groupBy("q").agg(F.when(F.sum("weight") >= k, F.max("d")).alias("third"))
+    every, open_ = None, queries.withColumn("third", F.lit(None).cast("double"))
+    for missing in range(categories + 1):
+        least = 2.0 * missing
+        within = F.sqrt(F.greatest(F.coalesce("third", F.lit(float("inf"))) - least, F.lit(0.0)))
+        asks = _grouped(open_.withColumn("reach", within).drop("third"), categories, missing, "group")
+        around = _grouped(refs, categories, missing, "cell").drop("agree")
+        if missing > 1:  # few queries are left, and their groups
+            around = around.join(small_side(asks.select(F.col("group").alias("cell")).distinct()), "cell", "left_semi")
+        tree = CellTree(around, dims, 0, folds, leaf_rows, fan, k)
+        home = settle(tree.home(asks, k))
+        near = settle(_meet(tree, home.where(F.col("cell").isNotNull()), k, categories))
+        every = near if every is None else every.union(near)
+        if tree.levels:
+            bounded = home.withColumnRenamed("cell", "home").join(third(every), "q", "left")
+            closer = F.sqrt(F.greatest(F.coalesce("third", F.lit(float("inf"))) - least, F.lit(0.0)))
+            bounded = settle(bounded.withColumn("reach", F.least("reach", closer)).drop("third"))
+            every = every.union(_meet(tree, settle(tree.visits(bounded)), k, categories))
+        every = settle(nearest(every).drop("_b"))
+        open_ = settle(queries.join(third(every), "q", "left").where(F.col("third").isNull() | (F.col("third") >= least + 2)))
+        if open_.isEmpty():
+            break
     taken = F.least(F.col("weight"), F.lit(k) - F.col("_b"))
-    means = every.groupBy("q").agg((F.sum(F.col("value") * taken) / F.sum(taken)).alias("prediction"))
+    means = nearest(every).groupBy("q").agg((F.sum(F.col("value") * taken) / F.sum(taken)).alias("prediction"))
     known = queries.join(means, "q", "left").drop("q")
     return data.join(known, ["x", "c", "fold"], "left").select("key", "fold", "weight", "value", "prediction")
