@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import public_tokenizers
+import pytest
 from tables import DIR
 from pyspark.sql import functions as F
 from tidebook.llm import html_text, language_id, pii, quality, token_counts
@@ -83,6 +84,21 @@ def test_quality(spark, frame):
     assert quality.fit(crowd, asked) == quality.fit(crowd.distinct(), asked.distinct())
 
 
+def test_quality_learns_from_all_labels(spark, frame, monkeypatch):
+    """Of 4,500 rows of each label as many lie below the threshold as have label 0, wherever the texts are joined."""
+    words = lambda i, n: " ".join(f"w{i * 31 % (7 + j)}{'x' * (i * 7 % (j + 2))}" for j in range(n))
+    docs = frame([(i, words(i, 5 + i * 13 % 40) + ("." * (i % 3) if i % 2 else "#" * (i % 5))) for i in range(9000)], "doc_id long, text string").cache()
+    labels = frame([(i, i % 2) for i in range(9000)], "doc_id long, quality int").cache()
+    model = quality.fit(docs, labels)
+    strengths = sorted(r.score for r in quality.scored(docs, model).collect())
+    at = [s for s in strengths if abs(s - 0.5) < 1e-12]
+    below = sum(s < 0.5 - 1e-12 for s in strengths)
+    assert at and below <= 4500 < below + len(at)
+    monkeypatch.setattr(quality, "SENT_LABELS", 10)
+    again = quality.fit(docs, labels)
+    assert again.threshold == pytest.approx(model.threshold, rel=1e-4) and again.weights == pytest.approx(model.weights, rel=1e-4)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -14,6 +14,8 @@ from tidebook.llm.common import BLANKS, cut, free_name
 
 #: Fixed value: characters counted as symbols.
 SYMBOLS = "$%&*#!@|^~<>={}[]\\/_"
+#: Labels up to this number are sent to the documents; beyond it the documents' features go to the labels.
+SENT_LABELS = 500_000
 FEATURES = ("words", "word_length", "unique_words", "repeated_words", "symbols", "upper_case", "digits", "repeated_lines", "stops")
 
 
@@ -72,32 +74,70 @@ class PairwiseModel:
 ACCEPT_ALL = PairwiseModel((0.0,) * len(FEATURES), 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, rounds: int = 4, regularisation: float = 1e-4, seed: int = 17) -> PairwiseModel:
+def _ranked(known: DataFrame) -> DataFrame:
+    """(quality, x, r): the place of every row among those of its label, from 0, in the order of the hashes.
+
+    Places are counted inside 4,096 ranges of hashes, and the ranges' starts come from their sizes.
+    """
+    parts = known.withColumn("_p", F.shiftright("_h", 52).cast("int"))
+    earlier = Window.partitionBy("quality").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("quality", "_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    order = Window.partitionBy("quality", "_p").orderBy("_h", "_id", "x")
+    placed = parts.withColumn("_r", F.row_number().over(order) - 1).join(F.broadcast(starts.drop("_n")), ["quality", "_p"])  # 8,192 rows
+    return placed.select("quality", "x", (F.col("_start") + F.col("_r")).alias("r"))
+
+
+def _threshold(strengths: DataFrame, shares: dict[int, int], counts: dict[int, int], parts: int = 4096) -> float | None:
+    """The least strength up to which more rows lie than labels are 0, or None; rows stand in for their label's share.
+
+    The range that holds it is split into parts, of which only counts are looked at, until it is a single value.
+    """
+    upto = F.col("n1") * F.lit(shares[1]) / F.lit(counts[1]) + F.col("n0") * F.lit(shares[0]) / F.lit(counts[0])
+    counted = lambda q: F.count_if(F.col("quality") == q)
+    summed = Window.orderBy("low")
+    below, low, high = {0: 0, 1: 0}, float("-inf"), float("inf")
+    while True:
+        inside = strengths.where(F.col("s").between(low, high))
+        ends = inside.agg(F.min("s").alias("a"), F.max("s").alias("z"))
+        step = F.coalesce(F.floor(F.try_divide((F.col("s") - F.col("a")) * parts, F.col("z") - F.col("a"))), F.lit(0))
+        ranges = inside.crossJoin(F.broadcast(ends)).groupBy(step.alias("_p")).agg(  # one row of ends
+            F.min("s").alias("low"), F.max("s").alias("high"), counted(0).alias("m0"), counted(1).alias("m1")
+        )
+        totals = ranges.select("low", "high", "m0", "m1", *[(F.sum(f"m{q}").over(summed) + F.lit(below[q])).alias(f"n{q}") for q in (0, 1)])
+        first = totals.where(upto > shares[0]).orderBy("low").first()
+        if first is None:
+            return None
+        if first["low"] == first["high"]:
+            return float(first["low"])
+        below = {q: first[f"n{q}"] - first[f"m{q}"] for q in (0, 1)}
+        low, high = first["low"], first["high"]
+
+
+def fit(docs: DataFrame, labels: DataFrame, rounds: int = 4, regularisation: float = 1e-4, seed: int = 17) -> PairwiseModel:
     """Learn from preference pairs between documents labelled 1 and 0.
 
     ``labels`` is (doc_id, quality); rows with a null, or of a document that isn't there, are
     passed over; repeated rows of one label count once, and of the texts of one id the one with the
-    least features is taken, so that no id fills the sample. The fit takes the ``sample_rows`` rows of each label with the smallest hashes of
-    their ids, which is the bound of all it holds; each preferred document meets ``rounds`` others
-    of the opposite label, and the log-odds that it wins are linear in the difference of the two
-    feature vectors. The threshold is the score quantile below which the share of label 0 lies,
+    least features is taken. All labels count: in the order of the hashes of their ids each document meets
+    ``rounds`` others of the opposite label, and the log-odds that it wins are linear in the difference
+    of the two feature vectors. The threshold is the score quantile below which the share of label 0 lies,
     with that share counted over all labels. Without both labels everything is accepted.
     """
     clean = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).where("_id is not null and quality in (0, 1)").distinct()
     shares = {r["quality"]: r["n"] for r in clean.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(shares) < 2:
         return ACCEPT_ALL
-    chosen = []
-    for value in (0, 1):
-        hashed = clean.where(F.col("quality") == value).withColumn("_h", F.xxhash64(F.lit(seed), "_id"))
-        chosen.append(hashed.orderBy("_h", "_id").limit(sample_rows))
-    few = chosen[0].union(chosen[1])
-    seen = docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(few), F.col("_doc") == F.col("_id"))
-    seen, words, lines = split_texts(seen)
-    shown = seen.select("quality", "_h", "_id", F.array(*features(F.col("text"), words, lines)).alias("x"))
+    hashed = clean.withColumn("_h", F.xxhash64(F.lit(seed), "_id"))
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text")
+    own = F.col("_doc") == F.col("_id")
+    if sum(shares.values()) <= SENT_LABELS:
+        seen, words, lines = split_texts(texts.join(F.broadcast(hashed), own))
+        shown = seen.select("quality", "_h", "_id", F.array(*features(F.col("text"), words, lines)).alias("x"))
+    else:  # texts don't move
+        seen, words, lines = split_texts(texts)
+        shown = seen.select("_doc", F.array(*features(F.col("text"), words, lines)).alias("x")).join(hashed, own).drop("_doc")
     known = cut(shown.groupBy("quality", "_h", "_id").agg(F.min("x").alias("x")))
-    order = Window.partitionBy("quality").orderBy("_h", "_id", "x")
-    ranked = known.select("quality", "x", (F.row_number().over(order) - 1).alias("r"))
+    ranked = _ranked(known)
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return ACCEPT_ALL
@@ -118,11 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, rounds: int
     wins = LogisticRegression(featuresCol="difference", labelCol="won", fitIntercept=False, regParam=regularisation, maxIter=200)
     weights = tuple(float(w) for w in wins.fit(differences.select("won", "difference")).coefficients)
     strength = F.aggregate(F.zip_with("x", F.array(*[F.lit(w) for w in weights]), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-    part = F.when(F.col("quality") == 1, F.lit(shares[1] / counts[1])).otherwise(F.lit(shares[0] / counts[0]))
-    running = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = known.select(strength.alias("s"), part.alias("part")).withColumn("upto", F.sum("part").over(running))
-    threshold = placed.where(F.col("upto") > shares[0]).agg(F.min("s")).first()[0]
-    return PairwiseModel(weights, float(threshold) if threshold is not None else 0.0)
+    threshold = _threshold(known.select("quality", strength.alias("s")), shares, counts)
+    return PairwiseModel(weights, threshold if threshold is not None else 0.0)
 
 
 def scored(docs: DataFrame, model: PairwiseModel, column: str = "score") -> DataFrame:
