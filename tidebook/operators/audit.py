@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions.quantiles import percentile_columns
+from tidebook.sources.settle import small_side
+
+#: Hashes that several rows have are sent to all rows up to this number.
+SHARED_HASHES = 1_000_000
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -19,12 +23,12 @@ def audit_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     """rows, columns, duplicate_rows, missing_cells and the column list of every table.
 
     Only a hash of each row is shuffled; whole rows are compared (nulls equal nulls) where several
-    share a hash.
+    share a hash. Those hashes are stored first, so that the other rows stay where they are.
     """
 
     def one(name: str, df: DataFrame) -> DataFrame:
         hashed = df.withColumn("_h", F.xxhash64(*df.columns))
-        shared = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
+        shared = small_side(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), SHARED_HASHES)
         equal = hashed.join(shared, "_h", "left_semi").groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
         duplicates = equal.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("d")).scalar()
         missing = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in df.columns])
