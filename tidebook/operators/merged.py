@@ -37,6 +37,7 @@ class Merge:
 
     def __init__(self, tables: Tables):
         self.tables = tables
+        self._sums: dict[str, DataFrame] = {}
 
     @cached_property
     def sizes(self) -> DataFrame:
@@ -73,7 +74,9 @@ class Merge:
 
     def _dimension(self, side: str, key: str, sums) -> DataFrame:
         """A dimension's rows; one that matches nothing stands in one row, and is ``lone``."""
-        joined = self.tables[side].join(sums(key), key, "left")
+        if key not in self._sums:
+            self._sums[key] = settle(sums(key))  # a row for each key; several steps read it
+        joined = self.tables[side].join(self._sums[key], key, "left")
         return joined.withColumn("lone", F.col("weight").isNull()).withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
 
     def _lone(self, side: str) -> DataFrame:
@@ -108,10 +111,11 @@ class Merge:
         """
         keyed = {
             "order_id": self.order_ids(),
-            "product_id": self.weighted("items").select("product_id", "weight").unionByName(self._lone("products").select("product_id", "weight")),
-            "seller_id": self.weighted("items").select("seller_id", "weight").unionByName(self._lone("sellers").select("seller_id", "weight")),
             "customer_id": self.weighted("orders").select("customer_id", "weight").unionByName(self._lone("customers").select("customer_id", "weight")),
         }
+        for side, key in (("products", "product_id"), ("sellers", "seller_id")):
+            lone = self._lone(side).select(key, "weight")
+            keyed[key] = self._sums[key].select(key, "weight").unionByName(lone)
         tall = [frame.select(F.lit(name).alias("name"), F.col(name).cast("string").alias("value"), "weight") for name, frame in keyed.items()]
         for side in SIDES:
             own = [c for c in self.tables[side].columns if c not in keyed]
