@@ -12,17 +12,19 @@ from tidebook.functions.scalar import guarded_days, percent, safe_div
 from tidebook.sources.settle import small_side
 
 # Items only decide which categories an order holds. They are counted per order and category
-# before the join, and item_rows carries how many rows of the plain join a row stands for.
+# before the join, and item_rows carries how many rows of the plain join a row stands for. An order
+# gets its customer first and its categories as one list, so that reviews are shuffled by order only.
 REVIEW_QUERY = """
-SELECT r.review_id, r.review_score, r.review_comment_title, r.review_comment_message,
+SELECT r.order_id, r.review_id, r.review_score, r.review_comment_title, r.review_comment_message,
        r.review_creation_date, o.order_status, o.order_approved_at, o.order_delivered_carrier_date,
-       o.order_estimated_delivery_date, c.customer_state, p.product_category_name, p.item_rows
+       o.order_estimated_delivery_date, o.customer_state, p.categories
 FROM {reviews} r
-JOIN {orders} o ON r.order_id = o.order_id
-JOIN {customers} c ON c.customer_id = o.customer_id
-JOIN (SELECT i.order_id, q.product_category_name, count(*) AS item_rows
-      FROM {items} i JOIN {products} q ON q.product_id = i.product_id
-      GROUP BY i.order_id, q.product_category_name) p ON o.order_id = p.order_id
+JOIN (SELECT s.order_id, s.order_status, s.order_approved_at, s.order_delivered_carrier_date,
+             s.order_estimated_delivery_date, c.customer_state
+      FROM {orders} s JOIN {customers} c ON c.customer_id = s.customer_id) o ON r.order_id = o.order_id
+JOIN (SELECT order_id, collect_list(struct(product_category_name, item_rows)) AS categories
+      FROM {counted}
+      GROUP BY order_id) p ON o.order_id = p.order_id
 """
 
 # Column names after cleaning, in their order.
@@ -41,16 +43,45 @@ CLEAN_NAMES = {
 }
 
 
-def review_sql_join(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The five-way inner join as SQL over the given tables; ``item_rows`` is each row's multiplicity."""
-    spark = tables["reviews"].sparkSession
-    return spark.sql(REVIEW_QUERY, **{n: tables[n] for n in ("reviews", "orders", "customers", "items", "products")})
+def review_sql_join(tables: Mapping[str, DataFrame], by_order: bool = False) -> DataFrame:
+    """The five-way inner join as SQL over the given tables; ``item_rows`` is each row's multiplicity.
 
+    ``by_order``: a row for every review and order only, with the order's id, and its categories and their
+    item rows as ``categories``.
+    """
+    products = tables["products"].select("product_id", "product_category_name")
+    items = tables["items"].where("order_id is not null").select("order_id", "product_id").join(products, "product_id")
+    counted = items.groupBy("order_id", "product_category_name").agg(F.count(F.lit(1)).alias("item_rows"))
+    joined = items.sparkSession.sql(REVIEW_QUERY, counted=counted, **{n: tables[n] for n in ("reviews", "orders", "customers")})
+    return joined if by_order else joined.select("*", F.inline("categories")).drop("order_id", "categories")
+
+
+def shared_reviews(reviews: DataFrame) -> DataFrame:
+    """(shared_id): reviews of several orders, and null if there are reviews without an id. Stored."""
+    ends = reviews.groupBy(F.col("review_id").alias("shared_id")).agg(F.min("order_id").alias("a"), F.max("order_id").alias("z"))
+    return small_side(ends.where("shared_id is null or a <> z").select("shared_id"))
 
-def review_clean(joined: DataFrame) -> DataFrame:
-    """Distinct rows, renamed and reordered, integer score, empty text as NULL."""
-    text = {f.name for f in joined.schema.fields if f.dataType.simpleString() == "string"}
-    out = joined.drop("item_rows").dropDuplicates().withColumn("review_score", F.col("review_score").cast("int"))
+
+def review_clean(joined: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """Distinct rows, renamed and reordered, integer score, empty text as NULL.
+
+    Rows by order come with the ``shared`` reviews. Equal rows have the same review, and the rows of an order are
+    in one task, so only those of shared reviews are compared over all tasks.
+    """
+    text = {f.name for f in joined.schema.fields if f.dataType.simpleString() == "string"} | {"product_category_name"}
+    if shared is None:
+        rows = joined.drop("item_rows").dropDuplicates()
+    else:
+        names = F.transform("categories", lambda c: c["product_category_name"]).alias("_names")
+        own = [c for c in joined.columns if c not in ("order_id", "categories")]
+        each = joined.select("order_id", *own, names).dropDuplicates()
+        flat = lambda d: d.select(*own, F.explode("_names").alias("product_category_name"))
+        if shared.isEmpty():
+            rows = flat(each)
+        else:
+            same = F.col("review_id").eqNullSafe(F.col("shared_id"))
+            rows = flat(each.join(shared, same, "left_anti")).union(flat(each.join(shared, same, "left_semi")).dropDuplicates())
+    out = rows.withColumn("review_score", F.col("review_score").cast("int"))
     return out.select(
         *[(F.nullif(F.col(c), F.lit("")) if c in text else F.col(c)).alias(n) for c, n in CLEAN_NAMES.items()]
     )

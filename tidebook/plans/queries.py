@@ -96,7 +96,8 @@ class Context:
         return logistics.delivery_data(self.t)
 
     def review_rows(self) -> DataFrame:
-        return reviews.review_clean(reviews.review_sql_join(self.t))
+        joined = reviews.review_sql_join(self.t, by_order=True)
+        return reviews.review_clean(joined, reviews.shared_reviews(self.t["reviews"]))
 
     def hours(self) -> DataFrame:
         return sales.order_hours(self.t["orders"], self.t["items"])
