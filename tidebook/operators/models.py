@@ -22,6 +22,8 @@ from tidebook.sources.settle import settle
 
 FOLDS = 10
 POSITION_BUCKETS = 4096
+#: Rows that one task of the clustering reads, about.
+CLUSTER_ROWS = 250_000
 CATEGORICAL = ("geolocation_state_customer", "geolocation_state_seller", "year", "purchase_month", "purchase_dow")
 NUMERIC = ("distance", "product_size_cm3", "product_weight_g")
 
@@ -224,13 +226,22 @@ def operational_factors(tables: Mapping[str, DataFrame]) -> DataFrame:
     return joined.select("order_id", "order_status", "year_quarter", *[F.col(c).cast("double").alias(c) for c in FACTORS])
 
 
+def in_parts(stored: DataFrame, rows: int) -> DataFrame:
+    """A stored frame, stored again in more partitions where its own hold more than ``rows`` rows on average."""
+    total = stored.count()
+    if total <= rows * stored.rdd.getNumPartitions():
+        return stored
+    return settle(stored.repartition(-(-total // rows)))
+
+
 def order_clusters(factors: DataFrame, k: int = 6, seed: int = 32123, scale: bool = False) -> DataFrame:
     """KMeans labels on the six factors; raw values unless ``scale``.
 
     Rows with equal factors are merged into one weighted row, which every iteration reads from
-    storage. Iterations go on until no centre moves.
+    storage, in parts of so many rows that no task's share grows with the input. Iterations go on until no
+    centre moves.
     """
-    distinct = settle(factors.groupBy(*FACTORS).agg(F.count(F.lit(1)).cast("double").alias("_weight")))
+    distinct = in_parts(settle(factors.groupBy(*FACTORS).agg(F.count(F.lit(1)).cast("double").alias("_weight"))), CLUSTER_ROWS)
     stages = [VectorAssembler(inputCols=list(FACTORS), outputCol="_raw")]
     if scale:
         stages.append(MinMaxScaler(inputCol="_raw", outputCol="_scaled"))
