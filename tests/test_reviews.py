@@ -77,3 +77,29 @@ def test_merge_sums_are_stored_once(spark, monkeypatch):
         ("order_id", "1"): 4, ("order_id", "2"): 1, ("product_id", "5"): 2, ("product_id", "6"): 1, ("seller_id", "3"): 4, ("customer_id", "7"): 4,
         ("kind", "a"): 2, ("kind", "b"): 2, ("score", "4"): 1, ("size", "1"): 2, ("size", "2"): 1, ("state", "X"): 4, ("zone", "Y"): 4,
     }
+
+
+def test_categories_meet_in_one_shuffle(spark, tables):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = reviews.review_sql_join(tables, by_order=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # customers and orders, reviews and orders by order, items and products, categories by order
+    assert plan.count("Exchange hashpartitioning") == 7
+
+
+def test_missing_values_are_dropped_before_the_joins(spark, tables, monkeypatch):
+    nan = float("nan")
+    rows = spark.createDataFrame([(1, "a", 1.0, 2), (2, None, 1.0, 2), (3, "b", nan, 2), (4, "c", None, 2), (5, "d", 1.0, None)], "i int, s string, x double, n int")
+    seen = []
+    monkeypatch.setattr(reviews, "small_side", lambda df: seen.append(df) or df)
+    assert reviews._complete(rows).collect() == rows.dropna().collect() and reviews._complete(rows).count() == 1
+    few = tables | {"reviews": tables["reviews"].where("review_id > 3")}
+    reviews.review_delivery(reviews.review_clean(reviews.review_sql_join(few, by_order=True), reviews.shared_reviews(few["reviews"])))
+    lines = seen[-1]._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [i for i, line in enumerate(lines) if "Join" in line]
+    filters = [i for i, line in enumerate(lines) if "Filter" in line and "review_comment_message" in line]
+    assert filters and min(filters) > min(joins)

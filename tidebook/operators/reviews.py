@@ -22,9 +22,7 @@ FROM {reviews} r
 JOIN (SELECT s.order_id, s.order_status, s.order_approved_at, s.order_delivered_carrier_date,
              s.order_estimated_delivery_date, c.customer_state
       FROM {orders} s JOIN {customers} c ON c.customer_id = s.customer_id) o ON r.order_id = o.order_id
-JOIN (SELECT order_id, collect_list(struct(product_category_name, item_rows)) AS categories
-      FROM {counted}
-      GROUP BY order_id) p ON o.order_id = p.order_id
+JOIN {categories} p ON o.order_id = p.order_id
 """
 
 # Column names after cleaning, in their order.
@@ -46,13 +44,17 @@ CLEAN_NAMES = {
 def review_sql_join(tables: Mapping[str, DataFrame], by_order: bool = False) -> DataFrame:
     """The five-way inner join as SQL over the given tables; ``item_rows`` is each row's multiplicity.
 
-    ``by_order``: a row for every review and order only, with the order's id, and its categories and their
-    item rows as ``categories``.
+    ``by_order``: a row for every review and order only, with the order's id, and its distinct categories as
+    ``categories``. Nothing counts their items, so they meet in one shuffle by order.
     """
     products = tables["products"].select("product_id", "product_category_name")
     items = tables["items"].where("order_id is not null").select("order_id", "product_id").join(products, "product_id")
-    counted = items.groupBy("order_id", "product_category_name").agg(F.count(F.lit(1)).alias("item_rows"))
-    joined = items.sparkSession.sql(REVIEW_QUERY, counted=counted, **{n: tables[n] for n in ("reviews", "orders", "customers")})
+    if by_order:
+        categories = items.groupBy("order_id").agg(F.collect_set(F.struct("product_category_name")).alias("categories"))
+    else:
+        counted = items.groupBy("order_id", "product_category_name").agg(F.count(F.lit(1)).alias("item_rows"))
+        categories = counted.groupBy("order_id").agg(F.collect_list(F.struct("product_category_name", "item_rows")).alias("categories"))
+    joined = items.sparkSession.sql(REVIEW_QUERY, categories=categories, **{n: tables[n] for n in ("reviews", "orders", "customers")})
     return joined if by_order else joined.select("*", F.inline("categories")).drop("order_id", "categories")
 
 
@@ -117,13 +119,22 @@ def category_share_by_score(clean: DataFrame, n: int = 10) -> DataFrame:
     return counts.withColumns({"percent": share, "place": place}).where(F.col("place") <= n)
 
 
+def _complete(df: DataFrame) -> DataFrame:
+    """Rows without a missing value, as ``dropna``, in one condition per column, so that each is met before the joins."""
+    for f in df.schema.fields:
+        df = df.where(F.col(f.name).isNotNull())
+        if f.dataType.simpleString() in ("double", "float"):
+            df = df.where(~F.isnan(f.name))
+    return df
+
+
 def review_delivery(clean: DataFrame) -> DataFrame:
     """Complete rows with days from approval to carrier, missing or reversed ones imputed.
 
     The substitute is the absolute mean of the customer's state.
     """
     days = guarded_days("order_approved", "delivered_carrier").cast("double")
-    complete = clean.dropna().withColumn("days_raw", days)
+    complete = _complete(clean).withColumn("days_raw", days)
     # The mean per state comes from a small aggregate: a window would gather a hot state in one task.
     means = small_side(complete.groupBy("customer_state").agg(F.abs(F.avg("days_raw")).alias("_mean")))
     return complete.join(means, "customer_state", "left").withColumn(
