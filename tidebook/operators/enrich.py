@@ -1,10 +1,12 @@
 """The item-grain enriched table every other operator consumes.
 
 Join order matters at scale. Order-side attributes (customer) are attached to the order row
-before it meets its items, and product and seller attributes come first, so the three joins
-on ``order_id`` share one partitioning that order-grain aggregations can then reuse. No side
-is hinted: Spark broadcasts one only when its measured size is under the threshold, and
-splits hot keys in the shuffled joins.
+before it meets its items, and seller and product attributes come first, so the three joins
+on ``order_id`` share one partitioning that order-grain aggregations can then reuse. Sellers
+are counted: few are broadcast to the joined rows, so that their columns are never shuffled; many
+come before products, so that a shuffle by seller moves no product column. No other side is
+hinted: Spark broadcasts one only when its measured size is under the threshold, and splits hot
+keys in the shuffled joins.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ REVIEW_COLUMNS = ("review_score", "review_count", "review_creation_date")
 CUSTOMER_COLUMNS = ("customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state")
 SELLER_COLUMNS = ("seller_zip_code_prefix", "seller_city", "seller_state")
 
+# Spark multiplies the estimates of a join's sides, so by itself it would shuffle items even by a few sellers.
+FEW_SELLERS = 500_000
+
 _TS = "order_purchase_timestamp"
 
 
@@ -81,12 +86,19 @@ ENRICHED_COLUMNS = (
 )
 
 
-def payments_per_order(payments: DataFrame) -> DataFrame:
+def payments_per_order(payments: DataFrame, types: bool = True) -> DataFrame:
     """Sum, max installments, most frequent type (smallest on ties), distinct types, rows.
 
     Counting per (order, type) first lets a hot order combine before the shuffle, and the
-    mode and the distinct count then need no collected values.
+    mode and the distinct count then need no collected values. Without ``types`` those two are
+    absent, and payments are shuffled once.
     """
+    if not types:
+        return payments.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
+            sum0("payment_value").alias("payment_value"),
+            F.max("payment_installments").alias("payment_installments"),
+            F.count(F.lit(1)).alias("payment_rows"),
+        )
     per_type = payments.groupBy("order_id", "payment_type").agg(
         sum0("payment_value").alias("_v"), F.max("payment_installments").alias("_i"), F.count(F.lit(1)).alias("_n")
     )
@@ -132,14 +144,18 @@ def build_enriched(tables: Mapping[str, DataFrame], columns: Iterable[str] | Non
     side = lambda available: [c for c in available if c in needed]
     df = tables["items"].select("order_id", *[c for c in ITEM_COLUMNS if c != "order_id" and (c in needed or c in ("product_id", "seller_id"))])
 
+    sellers, few = None, False
+    if seller_side := side(SELLER_COLUMNS):
+        sellers = tables["sellers"].select("seller_id", *seller_side)
+        few = sellers.limit(FEW_SELLERS + 1).count() <= FEW_SELLERS
+    if sellers is not None and not few:
+        df = df.join(sellers, "seller_id", "left")
     product_side = side(PRODUCT_COLUMNS)
     if CATEGORY in needed:
         products = english_categories(tables["products"], tables["translations"])
         df = df.join(products.select("product_id", *product_side, CATEGORY), "product_id", "left")
     elif product_side:
         df = df.join(tables["products"].select("product_id", *product_side), "product_id", "left")
-    if seller_side := side(SELLER_COLUMNS):
-        df = df.join(tables["sellers"].select("seller_id", *seller_side), "seller_id", "left")
 
     order_side, customer_side = side(ORDER_COLUMNS), side(CUSTOMER_COLUMNS)
     if order_side or customer_side:
@@ -148,9 +164,12 @@ def build_enriched(tables: Mapping[str, DataFrame], columns: Iterable[str] | Non
             orders = orders.join(tables["customers"].select("customer_id", *customer_side), "customer_id", "left")
         df = df.join(orders, "order_id", "left")
     if payment_side := side(PAYMENT_COLUMNS):
-        df = df.join(payments_per_order(tables["payments"]).select("order_id", *payment_side), "order_id", "left")
+        types = not {"payment_type", "payment_methods_count"}.isdisjoint(payment_side)
+        df = df.join(payments_per_order(tables["payments"], types).select("order_id", *payment_side), "order_id", "left")
     if review_side := side(REVIEW_COLUMNS):
         df = df.join(reviews_per_order(tables["reviews"]).select("order_id", *review_side), "order_id", "left")
+    if few:
+        df = df.join(F.broadcast(sellers), "seller_id", "left")
 
     return df.select(*[derived[c][1].alias(c) if c in derived else F.col(c) for c in wanted])
 
