@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions.calendar import dense_months
-from tidebook.functions.scalar import safe_div, share_true, sum0
+from tidebook.functions.scalar import is_true, safe_div, sum0
 from tidebook.functions.stats import percent_rank_avg, row_mean
-from tidebook.operators.enrich import CATEGORY, UNKNOWN
-from tidebook.operators.granularity import category_items
+from tidebook.operators.enrich import CATEGORY, UNKNOWN, delivered
 from tidebook.operators.seasonality import distinct_states, eligible
+from tidebook.sources.settle import settle
 
 # Names of the features.
 EARLY_COLUMNS = (
@@ -22,6 +22,10 @@ FEATURES = (
     "h1_freight_share", "h1_avg_review_score", "h1_customer_state_nunique", "h1_seller_state_nunique",
     "h1_growth_jan_to_jun", "h1_weekday_concentration",
 )
+SUMMED = (
+    "price", "freight_value", "freight_share", "payment_installments", "review_score", "delivery_time_days",
+    "product_weight_g", "product_volume_cm3", "product_photos_qty", "product_name_lenght", "product_description_lenght",
+)
 SCORE_FEATURES = (
     "h1_growth_jan_to_jun", "h1_weekday_concentration", "h1_avg_item_price", "h1_avg_payment_installments",
     "h1_customer_state_nunique",
@@ -56,16 +60,49 @@ def h1_patterns(daily: DataFrame, year: int = 2017) -> DataFrame:
     )
 
 
-def h1_features(enriched: DataFrame, daily: DataFrame, year: int = 2017) -> DataFrame:
-    """Eleven features per category over January to June."""
-    items = category_items(enriched, year).where(F.col("month").between(1, 6))
-    measured = items.groupBy("category").agg(
-        sum0("price").alias("h1_revenue"),
-        F.avg("price").alias("h1_avg_item_price"),
-        F.avg("payment_installments").alias("h1_avg_payment_installments"),
-        share_true(F.col("payment_installments") >= 6).alias("h1_share_installments_6_plus"),
-        F.avg("freight_share").alias("h1_freight_share"),
-        F.avg("review_score").alias("h1_avg_review_score"),
+def _first_half(year: int) -> Column:
+    return (F.col("year") == year) & F.col("month").between(1, 6)
+
+
+def state_sums(enriched: DataFrame, year: int | None = None) -> DataFrame:
+    """Counts and sums of the delivered items per category, states of customer and seller, and first half of the year.
+
+    Categories and states are few, so items combine before they are shuffled, in an aggregate without
+    sets; the features of all items and those of the first half are derived from it in one pass.
+    """
+    half = F.lit(False) if year is None else is_true(_first_half(year))
+    summed = [c for c in SUMMED if c in enriched.columns]
+    low = [F.count_if("is_low_review").alias("low_reviews")] if "is_low_review" in enriched.columns else []
+    return delivered(enriched).groupBy(F.col(CATEGORY).alias("category"), half.alias("first_half"), "customer_state", "seller_state").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.count_if(F.col("payment_installments") >= 6).alias("installments_6_plus"),
+        *low,
+        *[F.sum(c).alias(f"sum_{c}") for c in summed],
+        *[F.count(c).alias(f"n_{c}") for c in summed],
+    )
+
+
+def mean_of(column: str) -> Column:
+    """Mean of a column from its sums and counts."""
+    return safe_div(F.sum(f"sum_{column}"), F.sum(f"n_{column}"))
+
+
+def share_of_items(column: str) -> Column:
+    """Share of items from their counts."""
+    return safe_div(F.sum(column), F.sum("items"))
+
+
+def h1_features(enriched: DataFrame, daily: DataFrame, year: int = 2017, sums: DataFrame | None = None) -> DataFrame:
+    """Eleven features per category over January to June, from the ``sums`` of the items if given."""
+    if sums is None:
+        sums = state_sums(enriched.where(_first_half(year)), year)
+    measured = sums.where("first_half").groupBy(F.coalesce("category", F.lit(UNKNOWN)).alias("category")).agg(
+        sum0("sum_price").alias("h1_revenue"),
+        mean_of("price").alias("h1_avg_item_price"),
+        mean_of("payment_installments").alias("h1_avg_payment_installments"),
+        share_of_items("installments_6_plus").alias("h1_share_installments_6_plus"),
+        mean_of("freight_share").alias("h1_freight_share"),
+        mean_of("review_score").alias("h1_avg_review_score"),
         distinct_states("customer_state").alias("h1_customer_state_nunique"),
         distinct_states("seller_state").alias("h1_seller_state_nunique"),
     )
@@ -82,10 +119,15 @@ def h2_target(daily: DataFrame, year: int = 2017) -> DataFrame:
     )
 
 
-def early_features(enriched: DataFrame, daily: DataFrame, ranking: DataFrame, year: int = 2017) -> DataFrame:
-    """Features, target and ranking attributes, labelled against the eligible P75."""
-    joined = (
-        h1_features(enriched, daily, year)
+def early_features(
+    enriched: DataFrame, daily: DataFrame, ranking: DataFrame, year: int = 2017, sums: DataFrame | None = None
+) -> DataFrame:
+    """Features, target and ranking attributes, labelled against the eligible P75.
+
+    The joined table (one row per category) is stored, since the threshold reads it as well.
+    """
+    joined = settle(
+        h1_features(enriched, daily, year, sums)
         .join(h2_target(daily, year), "category", "inner")
         .join(ranking.select("category", "confidence_level", "seasonality_type", "seasonality_score"), "category", "left")
     )

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidebook.functions.quantiles import percentile_columns
-from tidebook.functions.scalar import share_true, sum0
+from tidebook.functions.scalar import sum0
 from tidebook.functions.stats import binary_scores, spearman_importance
 from tidebook.operators.early import FEATURES as H1_FEATURES
-from tidebook.operators.early import early_eligible
+from tidebook.operators.early import early_eligible, mean_of, share_of_items, state_sums
 from tidebook.operators.enrich import CATEGORY, delivered
 from tidebook.operators.impact import seasonal_threshold
 from tidebook.operators.seasonality import distinct_states, eligible
@@ -31,6 +31,7 @@ FEATURE_SOURCE = (
     "review_score", "is_low_review", "delivery_time_days", "product_weight_g", "product_volume_cm3",
     "product_photos_qty", "product_name_lenght", "product_description_lenght", "customer_state", "seller_state",
 )
+PRICE_SOURCE = (CATEGORY, "is_delivered", "price")
 FEATURES = (
     "avg_price", "median_price", "avg_freight_value", "freight_share", "avg_payment_installments",
     "share_installments_6_plus", "avg_review_score", "share_low_reviews", "avg_delivery_time_days",
@@ -40,37 +41,41 @@ FEATURES = (
 SEED = 42
 
 
-def category_features(enriched: DataFrame, daily: DataFrame) -> DataFrame:
-    """Eighteen aggregates per category over all delivered items; distinct orders from the daily table."""
-    items = delivered(enriched).where(F.col(CATEGORY).isNotNull()).withColumn("category", F.col(CATEGORY))
-    measured = items.groupBy("category").agg(
-        F.avg("price").alias("avg_price"),
-        F.avg("freight_value").alias("avg_freight_value"),
-        F.avg("freight_share").alias("freight_share"),
-        F.avg("payment_installments").alias("avg_payment_installments"),
-        share_true(F.col("payment_installments") >= 6).alias("share_installments_6_plus"),
-        F.avg("review_score").alias("avg_review_score"),
-        share_true(F.col("is_low_review")).alias("share_low_reviews"),
-        F.avg("delivery_time_days").alias("avg_delivery_time_days"),
-        F.avg("product_weight_g").alias("avg_product_weight_g"),
-        F.avg("product_volume_cm3").alias("avg_product_volume_cm3"),
-        F.avg("product_photos_qty").alias("avg_product_photos_qty"),
-        F.avg("product_name_lenght").alias("avg_product_name_length"),
-        F.avg("product_description_lenght").alias("avg_product_description_length"),
+def category_features(enriched: DataFrame, daily: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """Eighteen aggregates per category over all delivered items; distinct orders from the daily table.
+
+    With the ``sums`` of the same items given, only the prices of ``enriched`` are read, for their median.
+    """
+    sums = state_sums(enriched) if sums is None else sums
+    measured = sums.where(F.col("category").isNotNull()).groupBy("category").agg(
+        mean_of("price").alias("avg_price"),
+        mean_of("freight_value").alias("avg_freight_value"),
+        mean_of("freight_share").alias("freight_share"),
+        mean_of("payment_installments").alias("avg_payment_installments"),
+        share_of_items("installments_6_plus").alias("share_installments_6_plus"),
+        mean_of("review_score").alias("avg_review_score"),
+        share_of_items("low_reviews").alias("share_low_reviews"),
+        mean_of("delivery_time_days").alias("avg_delivery_time_days"),
+        mean_of("product_weight_g").alias("avg_product_weight_g"),
+        mean_of("product_volume_cm3").alias("avg_product_volume_cm3"),
+        mean_of("product_photos_qty").alias("avg_product_photos_qty"),
+        mean_of("product_name_lenght").alias("avg_product_name_length"),
+        mean_of("product_description_lenght").alias("avg_product_description_length"),
         distinct_states("customer_state").alias("customer_state_nunique"),
         distinct_states("seller_state").alias("seller_state_nunique"),
-        sum0("price").alias("total_revenue"),
+        sum0("sum_price").alias("total_revenue"),
     )
+    items = delivered(enriched).where(F.col(CATEGORY).isNotNull()).withColumn("category", F.col(CATEGORY))
     medians = percentile_columns(items, "price", {"median_price": 0.5}, ["category"])
     orders = daily.where(F.col("category").isNotNull()).groupBy("category").agg(F.sum("orders_count").alias("total_orders"))
     return measured.join(medians, "category", "left").join(orders, "category").select("category", *FEATURES)
 
 
-def prediction_features(enriched: DataFrame, ranking: DataFrame, daily: DataFrame) -> DataFrame:
+def prediction_features(enriched: DataFrame, ranking: DataFrame, daily: DataFrame, sums: DataFrame | None = None) -> DataFrame:
     """Features joined with the ranking and labelled: score at or above the eligible P75."""
     scores = ranking.select("category", "seasonality_score", "confidence_level", "seasonality_type")
     label = F.coalesce((F.col("seasonality_score") >= seasonal_threshold(ranking)).cast("int"), F.lit(0))
-    return category_features(enriched, daily).join(scores, "category", "inner").withColumn("is_seasonal", label)
+    return category_features(enriched, daily, sums).join(scores, "category", "inner").withColumn("is_seasonal", label)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.35, seed: int = SEED) -> DataFrame:

@@ -69,12 +69,18 @@ class Context:
     def large(self) -> DataFrame:
         return self.enriched(large.LARGE_COLUMNS)
 
+    def sums(self) -> DataFrame:
+        """Sums of all items, of which those of the first half are a part."""
+        return self.once("sums", lambda: early.state_sums(self.enriched((*prediction.FEATURE_SOURCE, "year", "month")), YEAR))
+
     def early(self) -> DataFrame:
-        build = lambda: early.early_features(self.enriched(early.EARLY_COLUMNS), self.daily(), self.ranking(), YEAR)
+        sums = self._settled.get("sums")  # without them, only the first half is read
+        build = lambda: early.early_features(self.enriched(early.EARLY_COLUMNS), self.daily(), self.ranking(), YEAR, sums)
         return self.once("early", build)
 
     def labelled(self) -> DataFrame:
-        build = lambda: prediction.prediction_features(self.enriched(prediction.FEATURE_SOURCE), self.ranking(), self.daily())
+        prices = self.enriched(prediction.PRICE_SOURCE)
+        build = lambda: prediction.prediction_features(prices, self.ranking(), self.daily(), self.sums())
         return self.once("labelled", build)
 
     def holdout(self) -> DataFrame:
