@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidebook.operators import enrich
+from tidebook.operators import enrich, prediction
 
 
 @pytest.fixture
@@ -42,3 +42,14 @@ def test_payments_without_types(star):
     plain = enrich.payments_per_order(star["payments"], types=False)
     assert sorted(plain.collect()) == sorted(whole.select(*plain.columns).collect())
     assert plain.where("order_id = 2").first()["payment_value"] == 0.0
+
+
+def test_prices_count_items_of_repeated_keys(spark, star):
+    make = spark.createDataFrame
+    more = star | {
+        "items": make([(1, 1, 1, 3.0), (2, 1, 2, 5.0)], "order_id int, product_id int, seller_id int, price double"),
+        "orders": make([(1, 7, "delivered"), (2, 8, "delivered")], "order_id int, customer_id int, order_status string"),
+        "customers": make([(7, "X"), (8, "X"), (8, "Y"), (8, "Y")], "customer_id int, customer_state string"),
+    }
+    # two sellers 1, three customers 8
+    assert sorted(r["price"] for r in enrich.build_enriched(more, prediction.PRICE_SOURCE).collect()) == [3.0, 3.0, 5.0, 5.0, 5.0]

@@ -31,7 +31,8 @@ FEATURE_SOURCE = (
     "review_score", "is_low_review", "delivery_time_days", "product_weight_g", "product_volume_cm3",
     "product_photos_qty", "product_name_lenght", "product_description_lenght", "customer_state", "seller_state",
 )
-PRICE_SOURCE = (CATEGORY, "is_delivered", "price")
+# The states only keep the joins of customers and sellers, in which an item with a repeated key counts repeatedly.
+PRICE_SOURCE = (CATEGORY, "is_delivered", "price", "customer_state", "seller_state")
 FEATURES = (
     "avg_price", "median_price", "avg_freight_value", "freight_share", "avg_payment_installments",
     "share_installments_6_plus", "avg_review_score", "share_low_reviews", "avg_delivery_time_days",
