@@ -4,10 +4,12 @@ import hashlib
 import heapq
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tables import DIR
@@ -282,6 +284,32 @@ def test_toxicity(frame):
     assert {r.score for r in toxicity.toxicity(docs.limit(9), labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_term_counts_hold_few_terms(monkeypatch):
+    rng = random.Random(13)
+    rows = [(" ".join(f"{rng.choice('abcd')}{rng.choice(('oken', 'okens', 'ord'))}" for _ in range(20)), i % 2) for i in range(50)]
+    want = Counter((t, v) for text, v in rows for t in toxicity.terms_of(Counter(text.split())))
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([v for _, v in rows], pa.int32())], names=["text", "toxic"])
+    for held in (1, 40, 1 << 16):
+        monkeypatch.setattr(toxicity, "HELD_TERMS", held)
+        got = Counter()
+        for part in toxicity.term_counts(iter([batch.slice(0, 30), batch.slice(0, 0), batch.slice(30)])):
+            for r in part.to_pylist():
+                got[r["term"], r["toxic"]] += r["n"]
+        assert got == want
+    assert list(toxicity.term_counts(iter([batch.slice(0, 0)]))) == []
+    # one batch of 300 texts of 1,000 words, all different
+    name = lambda n: "".join(chr(97 + int(d)) for d in f"{n:09d}"[::-1])
+    texts = pa.array([" ".join(name(1000 * i + j) for j in range(1000)) for i in range(300)])
+    batch = pa.RecordBatch.from_arrays([texts, pa.array([0] * 300, pa.int32())], names=["text", "toxic"])
+    tracemalloc.start()
+    try:
+        total = sum(part.num_rows for part in toxicity.term_counts(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total >= 300_000 and peak < 40e6
+
+
 def test_label_model_learns_rates_and_correlations(frame):
     rng = np.random.default_rng(12)
     y = rng.random(20000) < 0.2

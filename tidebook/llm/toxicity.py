@@ -24,6 +24,8 @@ BEGINNINGS = range(4, 9)
 DENSITIES, VARIETIES = (1, 3, 10), (2, 4)
 MOST_TERMS = 56
 ROUNDS = 8
+#: A task that counts terms passes its counts on when it holds so many.
+HELD_TERMS = 1 << 16
 
 
 def terms_of(words: Counter) -> Iterator[str]:
@@ -106,6 +108,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000,
     return texts.select("text", "toxic", mass.alias("mass"))
 
 
+def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, toxic, n) of (text, toxic) rows: in how many texts a term is, passed on in parts that the caller adds up.
+
+    A part ends with the text that brings its terms to ``HELD_TERMS``, so a task holds so many and those of
+    one text, however many texts its batch has.
+    """
+    schema = pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())])
+    seen: Counter = Counter()
+
+    def part() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen]), pa.array([v for _, v in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], schema=schema)
+        seen.clear()
+        return made
+
+    for data in batches:
+        for text, toxic in zip(data.column(0), data.column(1).to_pylist(), strict=True):
+            seen.update((t, toxic) for t in terms_of(Counter(WORD.findall(text.as_py().lower()))))
+            if len(seen) >= HELD_TERMS:
+                yield part()
+    if seen:
+        yield part()
+
+
 def choose_voters(sample: DataFrame) -> Voters:
     """The terms that tell the labels of the sample apart best, those of toxic documents only.
 
@@ -113,20 +138,8 @@ def choose_voters(sample: DataFrame) -> Voters:
     counts only the best stays. Bounded: some thousand terms reach the driver, at most
     ``MOST_TERMS`` stay.
     """
-    schema = pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data in batches:
-            seen: Counter = Counter()
-            for text, toxic in zip(data.column(0).to_pylist(), data.column(1).to_pylist(), strict=True):
-                seen.update((t, toxic) for t in terms_of(Counter(WORD.findall(text.lower()))))
-            rows = list(seen.items())
-            for a in range(0, len(rows), 65536):
-                some = rows[a : a + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some]), pa.array([k[1] for k, _ in some], pa.int32()), pa.array([n for _, n in some])], schema=schema)
-
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counted = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "term string, toxic int, n long")
+    counted = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(term_counts, "term string, toxic int, n long")
     sums = counted.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("f"))
     p, q = F.col("t") / F.lit(float(sizes[1])), F.col("f") / F.lit(float(sizes[0]))
     both = (F.col("t") + F.col("f")) / F.lit(float(sizes[0] + sizes[1]))
@@ -154,7 +167,8 @@ def votes(docs: DataFrame, voters: Voters, *carried: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = voters.counter()
         for data in batches:
-            rows = [count(t) for t in data.column(len(carried)).to_pylist()]
+            # one text at a time: a batch of them as Python strings may be several times its bytes
+            rows = [count(t.as_py()) for t in data.column(len(carried))]
             mine = [
                 pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([r[1] for r in rows], pa.list_(pa.int32())),
