@@ -241,6 +241,67 @@ def test_local_mining_is_complete():
     assert got == {p: n for p, n in want.items() if n >= 4}
 
 
+@pytest.mark.parametrize("bounds", [(1, 1 << 25, 16, 500_000), (1, 300, 3, 500_000), (1, 60, 16, 1)])
+def test_phrases_by_candidates(frame, monkeypatch, bounds):
+    for name, value in zip(("LEAST_LOCAL", "SHARD_BYTES", "LEAST_SHARDS", "SENT_ROWS"), bounds, strict=True):
+        monkeypatch.setattr(collocations, name, value)
+    rng = random.Random(14)
+    rows = ODD_TEXTS * 3 + [("en", " ".join(rng.choice("abcde") for _ in range(40))) for _ in range(30)]
+    docs = frame(rows, "lang string, text string").repartition(3)
+    for support in (2, 40):
+        assert sorted(tuple(r) for r in collocations.collocations(docs, support, 2000).collect()) == mined_by_hand(rows, support, 2000)
+
+
+def many_words(seed, n):
+    rng = random.Random(seed)
+    some = ["a", "a\x00", "A", "é", "ab", "zz", "b;", "c."]
+    return [("en" if i % 3 else "de", " ".join(rng.choice(some) if rng.random() < 0.7 else f"w{rng.randrange(900)}" for _ in range(60))) for i in range(n)]
+
+
+@pytest.mark.parametrize("bounds", [(1 << 25, 1 << 20, 1 << 21, 1 << 17), (500, 1 << 20, 300, 7), (1 << 25, 50, 40, 1), (2000, 1 << 20, 5, 1 << 17)])
+def test_phrases_of_many_parts(frame, monkeypatch, bounds):
+    for name, value in zip(("RUN_BYTES", "RUN_WORDS", "PART_RUNS", "ROW_RUNS"), bounds, strict=True):
+        monkeypatch.setattr(collocations, name, value)
+    monkeypatch.setattr(collocations, "READ_BYTES", 300)
+    rows = many_words(15, 60) + [("en", "of the " * 200), ("en", "x" * 3000), ("fr", "one")]
+    docs = frame(rows, "lang string, text string").repartition(3)
+    assert sorted(tuple(r) for r in collocations.collocations(docs, 3, 2000).collect()) == mined_by_hand(rows, 3, 2000)
+
+
+def test_many_shards_store_no_rare_phrases(frame, monkeypatch):
+    stored = []
+
+    def counting(table):
+        kept = cut(table)
+        stored.append(kept.count())
+        return kept
+
+    cut = collocations.cut
+    monkeypatch.setattr(collocations, "cut", counting)
+    monkeypatch.setattr(collocations, "SHARD_BYTES", 200)
+    rows = many_words(16, 80)
+    docs = frame(rows, "lang string, text string").repartition(3)
+    assert sorted(tuple(r) for r in collocations.collocations(docs, 10, 2000).collect()) == mined_by_hand(rows, 10, 2000)
+    words = sum(len(text.split()) for _, text in rows)
+    assert max(stored) < words / 4  # nearly all of some 5 phrases a word are rare
+
+
+def test_runs_of_a_shard_are_small():
+    rng = random.Random(17)
+    texts = [" ".join(f"word{int(rng.paretovariate(0.6)) % 5000}" for _ in range(500)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 200), pa.array([t.encode() for t in texts])], names=["lang", "text"])
+    sent = type("Sent", (), {"value": collocations._written(pa.table([pa.array(["en"] * 3), pa.array([b"word11 ", b"word2 ", b"word9 "])], schema=collocations.LOOKED_SCHEMA))})
+    found = [r for part in collocations._runs(sent)(iter([batch.slice(0, 90), batch.slice(90)])) for r in part.to_pylist()]
+    assert [r["part"] for r in found] == [0, 1, 2, 3] and sum(len(r["runs"]) for r in found) < 2 * sum(map(len, texts))
+    got = Counter()
+    for r in found:
+        rows, counts, names = collocations.unpacked(r["n"], r["size"], r["runs"])
+        for row, n in zip(rows.tolist(), counts.tolist(), strict=True):
+            got[tuple(names[w - 1] for w in row if w)] += n
+    want = Counter(tuple(t.encode().split()[i : i + 5]) for t in texts for i in range(500))
+    assert got == want
+
+
 def test_phrases_of_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("lang", "text").collect()]
     got = sorted(tuple(r) for r in queries.op13_phrase_collocations(spark, DIR).collect())
